@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity
+from . import chat, line_dedup, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.counted(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -45,6 +49,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_chat_formatting, op3_document_fingerprints, op4_simhash_near_dedup, op5_packing, op6_secret_scans, op8_toxicity, op9_mixing, op10_quality_rules,
+    op2_chat_formatting, op3_document_fingerprints, op4_simhash_near_dedup, op5_packing, op6_secret_scans, op7_line_dedup, op8_toxicity, op9_mixing, op10_quality_rules,
 )}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_quality_rules": quality.SQL}
