@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity
+from . import chat, html_extract, line_dedup, mixing, packing, quality, secret_scan, simhash, spotsigs, toxicity
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.with_hard_case(table(spark, sf_dir, "conversations"))))
 
@@ -49,6 +53,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_chat_formatting, op3_document_fingerprints, op4_simhash_near_dedup, op5_packing, op6_secret_scans, op7_line_dedup, op8_toxicity, op9_mixing, op10_quality_rules,
+    op1_html_extraction, op2_chat_formatting, op3_document_fingerprints, op4_simhash_near_dedup, op5_packing, op6_secret_scans, op7_line_dedup, op8_toxicity, op9_mixing, op10_quality_rules,
 )}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_quality_rules": quality.SQL}
