@@ -27,7 +27,8 @@ def strip_comments(text: Column) -> Column:
 def normalize_space(text: Column) -> Column:
     """Blank lines become one line break; single line breaks and runs of blanks one blank."""
     text = F.regexp_replace(F.regexp_replace(text, r"[^\S\n]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\u0001"), r"\n", " "), "\u0001", "\n"))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\u0001"), r"\n", " "), "\u0001", "\n")
+    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
 def one_line(text: Column) -> Column:

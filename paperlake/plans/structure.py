@@ -29,7 +29,7 @@ def number_sections(sections: DataFrame, id_col: str = "doc_id", order: str = "p
     for n in range(1, deepest + 1):
         rows = rows.withColumn(f"n{n}", _count((F.col("level") == n) & F.col("numbered"), keys, order))
         keys.append(f"n{n}")
-    first = F.when(F.col("epoch") > 0, F.decode(F.unhex(F.hex(64 + F.col("n1"))), F.lit("US-ASCII"))).otherwise(F.col("n1").cast("string"))
+    first = F.when(F.col("epoch") > 0, F.decode(F.unhex(F.hex(64 + F.col("n1"))), "US-ASCII")).otherwise(F.col("n1").cast("string"))
     parts = [first, *[F.when(F.col("level") >= n, F.col(f"n{n}").cast("string")) for n in range(2, deepest + 1)]]
     return rows.withColumn("numbering", F.when(F.col("numbered") & (F.col("level") >= 1) & (F.col("level") <= deepest), F.concat_ws(".", *parts)))
 
