@@ -21,6 +21,9 @@ ARCHIVES = r"\.(gz|tgz|zip)$"
 FILES = "paper_id string, rel_path string, content binary, error string"
 #: Files that are not preprocessed: they define, and hold no prose.
 DEFINING = ("pgf", "tikz", "sty", "cls", "def", "clo", "fd", "cfg", "ist")
+#: Windows-1252 differs from Latin-1 in these characters.
+_OWN = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_CP1252 = (_OWN.decode("latin-1"), _OWN.decode("cp1252"))
 #: Largest size that an unpacked archive may have, in bytes.
 MOST_BYTES = 512 << 20
 
@@ -90,7 +93,7 @@ def decode(files: DataFrame) -> DataFrame:
     raw = F.col("content")
     odd = F.hex(raw).rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
     encoding = F.when(F.is_valid_utf8(raw.cast("string")), "utf-8").when(odd, "latin-1").otherwise("cp1252")
-    text = F.when(F.col("encoding") == "utf-8", F.decode(raw, "UTF-8")).when(F.col("encoding") == "latin-1", F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "windows-1252"))
+    text = F.when(F.col("encoding") == "utf-8", F.decode(raw, "UTF-8")).when(F.col("encoding") == "latin-1", F.decode(raw, "ISO-8859-1")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), *_CP1252))
     return files.withColumn("encoding", encoding).withColumn("text", F.regexp_replace(text, "^\ufeff", ""))
 
 
