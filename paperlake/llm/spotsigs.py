@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, parts
+from .common import checkpoint, only, parts
 
 #: Common words of English, German, French and Spanish: articles, conjunctions, prepositions, pronouns, auxiliaries.
 ANCHORS = frozenset(
@@ -156,3 +156,47 @@ def with_edits(documents: DataFrame, anchors: frozenset[str] = ANCHORS, chain: i
             yield flush()
 
     return followed(documents).mapInArrow(make, FINGERPRINTED)
+
+
+def signature_sets(documents: DataFrame, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """doc_id, tokens (array<long>, sorted) for each row."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes(anchors)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [signatures(t or "", known, chain).astype(np.int64) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["doc_id", "tokens"])
+
+    return only(documents, doc_id="long", text="string").mapInArrow(make, "doc_id long, tokens array<long>")
+
+
+def similar(documents: DataFrame, over: int = 4, under: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs). classes: doc_id, class_id (least doc_id of those with an equal fingerprint). pairs: a, b, likeness of two classes with a
+    likeness of over / under at least.
+
+    Fingerprints are partitioned by set length, each partition over / under as long as the next, so that likes lie in the same partition or in neighbouring ones; within
+    them, classes meet on the rarest signatures of each (as many as two likes must share one of), and length and place prune before sets are compared.
+    """
+    made = checkpoint(signature_sets(documents).withColumn("key", F.md5(F.array_join("tokens", ","))))
+    sets = made.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens")).filter(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
+    each = sets.select("id", "n", F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").count()
+    place = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
+    prefix = each.join(seen.filter("count > 1"), "token").withColumn("place", place)  # a signature of one class leads to no other
+    alone = each.join(seen.filter("count = 1"), "token", "left_semi").groupBy("id").agg(F.count("*").alias("rare"))
+    prefix = prefix.join(alone, "id", "left").withColumn("place", F.col("place") + F.coalesce("rare", F.lit(0)) - 1)
+    prefix = prefix.filter(F.col("place") < F.col("n") - F.ceil(F.col("n") * over / under) + 1)
+    prefix = prefix.withColumn("part", F.floor(F.log(F.col("n")) / F.log(F.lit(under / over)) + F.lit(1e-9)))
+    small = prefix.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    large = prefix.select("token", "part", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    met = small.join(large, ["token", "part"]).filter("na < nb OR na = nb AND a < b")
+    met = met.filter((F.col("na") * under >= F.col("nb") * over) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (over + under) >= (F.col("na") + F.col("nb")) * over)).select("a", "b").distinct()
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    pairs = both.withColumn("likeness", F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))).filter((F.size("ta") + F.size("tb")) * over <= F.col("both") * (over + under))
+    classes = made.join(made.groupBy("key").agg(F.min("doc_id").alias("class_id")), "key").select("doc_id", "class_id")
+    return classes, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")

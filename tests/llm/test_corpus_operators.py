@@ -271,6 +271,23 @@ def test_spotsigs(docs, none):
     assert spotsigs.with_edits(none).count() == 0
 
 
+def test_spotsigs_pairs(spark, none):
+    rng = random.Random(6)
+    base = ["the " + " the ".join(" ".join(rng.choices([f"w{i}" for i in range(400)], k=3)) for _ in range(rng.randrange(4, 40))) for _ in range(25)]
+    rows = [(d, t) for d, t in enumerate(x for t in base for x in (t, t, t + " the end of it", t.replace("w1", "v1", 1), " ".join(t.split()[:-6])))]
+    classes, pairs = spotsigs.similar(spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string"))
+    known = spotsigs.Hashes(spotsigs.ANCHORS)
+    sets = {d: frozenset(spotsigs.signatures(t, known).tolist()) for d, t in rows}
+    first = {}
+    for d, s in sets.items():
+        first.setdefault(s, d)
+    assert {r.doc_id: r.class_id for r in classes.collect()} == {d: first[s] for d, s in sets.items()} | {900: 900, 901: 900}
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 20
+    assert spotsigs.similar(none)[1].count() == 0
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
