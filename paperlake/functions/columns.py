@@ -93,6 +93,12 @@ def is_main_file(text: Column) -> Column:
     return stripped.contains("\\documentclass") | stripped.contains("\\begin{document}")
 
 
+def preamble(text: Column) -> Column:
+    """What stands between the class and the document; null without a class."""
+    found = F.regexp_extract(strip_comments(text), r"\\documentclass\s*(?:\[[^\]]*\]\s*)?\{[^{}]*\}([\s\S]*?)(?:\\begin\{document\}|$(?![\s\S]))", 1)
+    return F.when(strip_comments(text).contains("\\documentclass"), F.trim(found))
+
+
 def roman(n: Column) -> Column:
     """Lower-case roman numeral of a positive integer below 4000."""
     ones, tens, hundreds = ("i", "v", "x"), ("x", "l", "c"), ("c", "d", "m")

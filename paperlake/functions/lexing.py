@@ -171,3 +171,32 @@ def roman(n: int) -> str:
             out += letters
             n -= value
     return out
+
+
+_KEPT = re.compile(r"\\(?:use[a-zA-Z]+|RequirePackage|(?:re)?newcommand|providecommand|DeclareMathOperator|DeclareRobustCommand|[egx]?def|let|newtheorem|(?:re)?newenvironment|newif|definecolor|DeclarePairedDelimiter)(?![a-zA-Z])")
+
+
+def preamble(text: str) -> str:
+    """Of what stands between the class and the document: packages, blocks between \\makeatletter and \\makeatother, and definitions, a line each."""
+    text = strip_comments(text)
+    m = re.search(r"\\documentclass\s*(?:\[[^\]]*\]\s*)?\{[^{}]*\}", text)
+    text = text[m.end() :] if m else text
+    text = text.split("\\begin{document}")[0]
+    out, at = [], 0
+    whole = re.compile(r"\\makeatletter.*?\\makeatother|" + _KEPT.pattern, re.S)
+    while m := whole.search(text, at):
+        at = m.end()
+        if not m[0].startswith("\\makeatletter"):
+            line_end = text.find("\n", at)
+            at = len(text) if line_end < 0 else line_end
+            while not is_balanced(text[m.start() : at]) and at < len(text):
+                nxt = text.find("\n", at + 1)
+                at = len(text) if nxt < 0 else nxt
+        out.append(text[m.start() : at].strip())
+    return "\n".join(out)
+
+
+def comment_on_line(text: str, at: int) -> bool:
+    """Whether an unescaped comment sign stands before a place on its line."""
+    start = text.rfind("\n", 0, at) + 1
+    return any(text[k] == "%" and not escaped(text, k) for k in range(start, at))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-TOKEN_TYPES = frozenset(
+TOKEN_TYPES = set(
     "document title section paragraph abstract appendix command text quote group environment math_env figure subfigure table tabular caption includegraphics includepdf diagram list item"
     " equation code algorithm algorithmic citation ref url footnote bibliography bibitem author email affiliation keywords address".split()
 )
@@ -66,3 +66,5 @@ CONDITIONS = frozenset("if ifx ifnum ifdim ifcat ifcase iftrue iffalse ifdefined
 #: Skipped with their arguments.
 SKIPPED = {"newcolumntype": "{[[{", "newtheoremstyle": "{{{{{{{{{", "newtoks": "", "newcount": "", "newdimen": "", "newskip": "", "newmuskip": "", "newfam": "", "newboolean": "{", "newlength": "{", "setlength": "{{", "addtolength": "{{", "settoheight": "{{", "settodepth": "{{", "settowidth": "{{",
            "newcounter": "{[", "stepcounter": "{", "setcounter": "{{", "newsavebox": "{", "newbox": "", "forloop": "{{{{", "newbool": "{", "providebool": "{", "setbool": "{{", "booltrue": "{", "boolfalse": "{", "setboolean": "{{", "crefname": "{{{", "Crefname": "{{{", "DeclareMathSizes": "{{{{"}
+#: Files that define and hold no prose, by ending: they are not preprocessed.
+DEFINING = frozenset("pgf tikz sty cls def clo fd cfg ist".split())

@@ -13,7 +13,7 @@ from paperlake.functions import lexing, symbols
 
 from . import bibliography, tables
 from .catalogue import (
-    BOXES, CITES, CONDITIONS, DIAGRAMS, DIMENSIONED, DROP, ENVIRONMENT_ARGS, ENVIRONMENTS, EQUATIONS, FONT_SWITCHES, NUMBERED_THEOREMS, PROTECTED, REFS, SIZE_SWITCHES, SKIPPED, SPACES, STYLES, TABLES, THEOREMS, VERBATIM,
+    BOXES, CITES, CONDITIONS, DEFINING, DIAGRAMS, DIMENSIONED, DROP, ENVIRONMENT_ARGS, ENVIRONMENTS, EQUATIONS, FONT_SWITCHES, NUMBERED_THEOREMS, PROTECTED, REFS, SIZE_SWITCHES, SKIPPED, SPACES, STYLES, TABLES, THEOREMS, TOKEN_TYPES, VERBATIM,
 )
 from .macros import MOST_EXPANSIONS, Input, Macro, parameters, wrap_math
 
@@ -53,11 +53,13 @@ class Parser:
         self.read_styles: set[str] = set()
         self.expansions = 0
         self.depth = 0
+        self.preprocessed = False
 
     # -- entry points -------------------------------------------------------------------------------------------
 
     def document(self, text: str, preprocess: bool = False) -> list[Token]:
         text = lexing.strip_comments(text)
+        self.preprocessed = preprocess
         if preprocess:
             text = self.preprocess(text)
         return self.parse(text)
@@ -652,6 +654,13 @@ def defines(names: str):
     return keep
 
 
+def register(names: str, handler: Handler, token_types: tuple[str, ...] = ()) -> None:
+    """Add commands (blank-separated names) to the language, and token types that they make. A handler gets the parser, the input after the command's name,
+    that name, the tokens so far, and the frame; it appends with parser.put. On a cluster the module that registers must be imported by the workers."""
+    HANDLERS.update(dict.fromkeys(names.split(), handler))
+    TOKEN_TYPES.update(token_types)
+
+
 HANDLERS["begin"] = Parser.begin
 HANDLERS["verb"] = Parser.verbatim_until
 
@@ -805,7 +814,10 @@ def _input(p, source, name, out, frame):
         p.errors.append(("include", f"no file {path}"))
         return
     p.count()
-    source.push(lexing.strip_comments(text) + "\n")
+    text = lexing.strip_comments(text)
+    if p.preprocessed and path.rpartition(".")[2] not in DEFINING:
+        text = p.preprocess(text)
+    source.push(text + "\n")
 
 
 @handles("label")

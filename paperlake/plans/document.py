@@ -13,28 +13,35 @@ from paperlake.operators.kernel import Parser, inline
 
 _OPEN, _CLOSE = re.compile(r"[\s(\[{“‘]$"), re.compile(r"^[\s,.;:!?)\]}”’]")
 #: Keys of a token that go into JSON (others are working columns).
-_KEPT = ("type", "title", "content", "styles", "labels", "level", "numbering", "display", "align", "name", "page", "pages", "command", "format", "cite_key", "label", "fields", "depth", "placeholders")
+_KEPT = ("type", "title", "content", "styles", "labels", "level", "numbering", "display", "align", "name", "page", "pages", "command", "format", "cite_key", "label", "fields", "depth", "placeholders", "proof")
 _NAMED = ("environment", "math_env", "list", "diagram")
 
 
 class Tree:
     """Merges text, numbers and nests the flat tokens of one document."""
 
-    def __init__(self):
+    def __init__(self, merge_proofs: bool = False, math_as_text: bool = False):
+        self.merge_proofs, self.math_as_text = merge_proofs, math_as_text
+        self.parts = 0
         self.section: dict[int, int] = {}
         self.counts: dict[str, int] = {}
         self.theorem = 0
         self.appendix = False
 
     def build(self, tokens: list[dict]) -> list[dict]:
+        if self.math_as_text:
+            tokens = rendered(tokens)
         return self.nest(merged(tokens), 0, False)
 
     def number(self, t: dict) -> str | None:
         level = t["level"]
         if level == 1:
             self.theorem = 0
-        if not t.get("numbered") or level < 1:
+        if not t.get("numbered"):
             return None
+        if level < 1:
+            self.parts += 1
+            return str(self.parts)
         self.section[level] = self.section.get(level, 0) + 1
         for deeper in [k for k in self.section if k > level]:
             self.section[deeper] = 0
@@ -75,6 +82,10 @@ class Tree:
                 parent.append(t)
                 stack.append(t)
                 continue
+            into = paragraphs[-1]["content"] if paragraphs else sections[-1]["content"] if sections else top
+            if self.merge_proofs and kind == "math_env" and t["name"] == "proof" and into and into[-1]["type"] == "math_env" and into[-1]["name"] != "proof":
+                into[-1]["proof"] = t | {"content": self.nest(t["content"], lists, True)}
+                continue
             if t.get("numbered"):
                 if kind == "math_env":
                     self.theorem += 1
@@ -92,7 +103,7 @@ class Tree:
                 top.append(t)
                 sections, paragraphs = [], []
                 continue
-            (paragraphs[-1]["content"] if paragraphs else sections[-1]["content"] if sections else top).append(t)
+            into.append(t)
         return root
 
 
@@ -114,6 +125,18 @@ def merged(tokens: list[dict]) -> list[dict]:
     return out
 
 
+def rendered(tokens: list[dict]) -> list[dict]:
+    """Inline equations as text between math tags."""
+    out = []
+    for t in tokens:
+        if t["type"] == "equation" and t.get("display") != "block":
+            t = {"type": "text", "content": f"<math>{t['content']}</math>"}
+        elif isinstance(t.get("content"), list) and t["type"] not in ("citation", "ref", "tabular", "author"):
+            t = t | {"content": rendered(t["content"])}
+        out.append(t)
+    return out
+
+
 def clean(t):
     """A token for JSON: only its public keys, nothing null but empty cells."""
     if isinstance(t, list):
@@ -124,9 +147,10 @@ def clean(t):
     return {k: clean(v) for k, v in keep.items()}
 
 
-def to_tree(text: str, preprocess: bool = False, files: dict[str, str] | None = None) -> tuple[list[dict], dict]:
+def to_tree(text: str, preprocess: bool = False, files: dict[str, str] | None = None, **options: bool) -> tuple[list[dict], dict]:
+    """The numbered tree and the colour map. options: merge_proofs (a proof becomes part of the theorem before it), math_as_text."""
     parser = Parser(files)
-    return clean(Tree().build(parser.document(text, preprocess))), parser.colors
+    return clean(Tree(**options).build(parser.document(text, preprocess))), parser.colors
 
 
 def to_json(text: str, preprocess: bool = False, files: dict[str, str] | None = None) -> str:

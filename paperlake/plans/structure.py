@@ -17,11 +17,11 @@ def _count(when: Column, keys: list[str], order: str) -> Column:
     return F.coalesce(F.sum(when.cast("long")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*UPTO)), F.lit(0))
 
 
-def number_sections(sections: DataFrame, id_col: str = "doc_id", order: str = "pos", deepest: int = 3) -> DataFrame:
+def number_sections(sections: DataFrame, id_col: str = "doc_id", order: str = "pos", deepest: int = 5) -> DataFrame:
     """Adds numbering to rows (id, order, level, numbered) and appendix markers (level null, if there is a column appendix).
 
     Unnumbered sections neither count nor reset. After an appendix marker the first part is a letter and counts start anew. A section
-    deeper than any before it counts under 0.
+    deeper than any before it counts under 0. Parts (level 0) are counted by themselves and reset nothing.
     """
     rows = sections if "appendix" in sections.columns else sections.withColumn("appendix", F.lit(False))
     rows = rows.withColumn("epoch", _count(F.col("appendix"), [id_col], order))
@@ -31,7 +31,9 @@ def number_sections(sections: DataFrame, id_col: str = "doc_id", order: str = "p
         keys.append(f"n{n}")
     first = F.when(F.col("epoch") > 0, F.decode(F.unhex(F.hex(64 + F.col("n1"))), "US-ASCII")).otherwise(F.col("n1").cast("string"))
     parts = [first, *[F.when(F.col("level") >= n, F.col(f"n{n}").cast("string")) for n in range(2, deepest + 1)]]
-    return rows.withColumn("numbering", F.when(F.col("numbered") & (F.col("level") >= 1) & (F.col("level") <= deepest), F.concat_ws(".", *parts)))
+    rows = rows.withColumn("n0", _count((F.col("level") == 0) & F.col("numbered"), [id_col], order))
+    numbering = F.when(F.col("level") == 0, F.col("n0").cast("string")).when(F.col("level") <= deepest, F.concat_ws(".", *parts))
+    return rows.withColumn("numbering", F.when(F.col("numbered"), numbering))
 
 
 def section_parents(sections: DataFrame, id_col: str = "doc_id", order: str = "pos", deepest: int = DEEPEST) -> DataFrame:

@@ -19,8 +19,6 @@ from paperlake.functions import columns
 
 ARCHIVES = r"\.(gz|tgz|zip)$"
 FILES = "paper_id string, rel_path string, content binary, error string"
-#: Files that are not preprocessed: they define, and hold no prose.
-DEFINING = ("pgf", "tikz", "sty", "cls", "def", "clo", "fd", "cfg", "ist")
 #: Windows-1252 differs from Latin-1 in these characters.
 _OWN = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 _CP1252 = (_OWN.decode("latin-1"), _OWN.decode("cp1252"))

@@ -168,3 +168,31 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest(spark, str(tmp_path / "in"), out, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert spark.read.parquet(out).filter("type = 'section'").count() == 3
+
+
+def test_tree_options_and_parts():
+    tree, _ = document.to_tree(r"\begin{lemma}a\end{lemma}\begin{proof}p\end{proof} x $y$ z", merge_proofs=True, math_as_text=True)
+    assert tree[0]["proof"]["content"] == [{"type": "text", "content": "p"}] and tree[1] == {"type": "text", "content": "x <math>y</math> z"}
+    tree, _ = document.to_tree(r"\part{P}\section{S}\subsubsubsection{D}\part{Q}")
+    assert [t["numbering"] for t in tree] == ["1", "2"] and tree[0]["content"][0]["numbering"] == "1" and tree[0]["content"][0]["content"][0]["numbering"] == "1.0.0.1"
+
+
+def test_registered_command():
+    from paperlake.operators import kernel
+
+    kernel.register("shout", lambda p, source, name, out, frame: p.put(out, {"type": "shout", "content": source.block()}, frame), ("shout",))
+    try:
+        assert document.to_tree(r"\shout{x}")[0] == [{"type": "shout", "content": "x"}]
+    finally:
+        kernel.HANDLERS.pop("shout")
+        kernel.TOKEN_TYPES.discard("shout")
+
+
+def test_preamble(spark):
+    from paperlake.functions import columns, lexing
+
+    tex = "junk\n\\documentclass[a]{b}\n\\usepackage{p}\n\\newcommand{\\x}{\n y}\nprose\n\\makeatletter\n\\z\n\\makeatother\n\\begin{document}\\def\\no{}"
+    assert lexing.preamble(tex) == "\\usepackage{p}\n\\newcommand{\\x}{\n y}\n\\makeatletter\n\\z\n\\makeatother"
+    got = spark.createDataFrame([(tex,)], "t string").select(columns.preamble(F.col("t"))).first()[0]
+    assert got.strip().startswith("\\usepackage{p}") and got.strip().endswith("\\makeatother")
+    assert lexing.comment_on_line("a % b\nc", 4) and not lexing.comment_on_line("a % b\nc", 7) and not lexing.comment_on_line(r"a \% b", 5)
