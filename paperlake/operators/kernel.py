@@ -21,6 +21,7 @@ Token = dict
 _PLAIN = re.compile(r"[^\\${}%~\s]+")
 _SPACE = re.compile(r"\s+")
 _COMMAND = re.compile(r"\\(?:([a-zA-Z]+|@[a-zA-Z@]+)|(.))", re.S)
+_CODE_POINT = re.compile(r"\\u(?=[a-fA-F]{0,3}\d)(0?[0-9a-fA-F]{4}(?![0-9a-fA-F])|10[0-9a-fA-F]{4}|[0-9a-fA-F]{4})")
 _LETTERED = re.compile(r"\\([a-zA-Z@]+)")
 _DIMENSION = re.compile(r"\s*=?\s*(?:by\s*)?-?\s*(?:\\[a-zA-Z]+|[\d.,]*\s*(?:true)?\s*(?:pt|em|ex|cm|mm|in|bp|pc|dd|cc|sp|mu|fil+)?(?![a-zA-Z])\s*(?:\\[a-zA-Z]+)?)(?:\s*(?:plus|minus)\s*-?[\d.]+\s*(?:pt|em|ex|cm|mm|in|fil+)?)*")
 _COND = re.compile(r"\\(if[a-zA-Z@]*|elseif|elsif|else|or|fi)(?![a-zA-Z@])")
@@ -276,6 +277,9 @@ class Parser:
     # -- commands -----------------------------------------------------------------------------------------------
 
     def command(self, source: Input, out: list[Token], frame: Frame) -> None:
+        if source.text.startswith("\\u", source.at) and (m := source.match(_CODE_POINT)):
+            self.put_text(out, chr(int(m[1], 16)), frame)
+            return
         m = source.match(_COMMAND)
         if not m:
             source.at += 1

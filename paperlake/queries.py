@@ -144,7 +144,7 @@ def theorem_proofs(spark, d):
 
 def texts(made: DataFrame) -> DataFrame:
     """doc_id and the digest of all text, merged."""
-    rows = structure.merge_text(parse_documents(made, types=["text"]))
+    rows = structure.merge_text(parse_documents(made))
     joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: F.trim(x["text"])), " ").alias("t"))
     return joined.select("doc_id", F.md5("t").alias("digest"))
 
@@ -433,3 +433,118 @@ def main_files(spark, d):
     rows = table(spark, d, "conversations")
     files = rows.select(F.col("conv_id").alias("paper_id"), F.when(F.col("turn") == 0, "main.tex").otherwise(tex("a", F.col("turn").cast("string"), ".tex")).alias("rel_path"), F.when(F.col("turn") == 0, tex("\\begin{document}", F.col("text"))).otherwise(tex("% \\documentclass{x}\n", F.col("text"))).alias("text"))
     return bundles.main_files(files).select("paper_id", "rel_path")
+
+
+# -- one command a line, read back as text ----------------------------------------------------------------------------
+
+
+def read_back(name: str, piece: Callable[[F.Column, F.Column], F.Column], sql: str, before: str = "") -> None:
+    """A query that writes a command around every line and must read the SQL expression's text."""
+
+    def run(spark, d):
+        made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece(escape(F.col("line")), F.col("i").cast("string")), "\n", before)
+        return texts(made)
+
+    run.__name__ = name
+    query(with_lines(f"SELECT doc_id, md5(string_agg({sql}, ' ' ORDER BY i)) AS digest FROM l WHERE line <> '' GROUP BY doc_id"))(run)
+
+
+read_back("boxes", lambda x, i: tex("\\fbox{", x, "} \\raisebox{1pt}[2pt]{r} \\hbox to 3in{", i, "}"), "line || ' r ' || i")
+read_back("saved_boxes", lambda x, i: tex("\\sbox{\\bx}{", x, "}\\usebox{\\bx}"), "line", "\\newsavebox{\\bx}\n")
+read_back("font_switches", lambda x, i: tex("{\\bf ", x, "} \\textsc{", i, "} {\\large b}"), "line || ' ' || i || ' b'")
+read_back("colors", lambda x, i: tex("\\textcolor[HTML]{FF0000}{", x, "} {\\color{red}", i, "}"), "line || ' ' || i")
+read_back("fractions", lambda x, i: tex("\\nicefrac{", x, "} {", i, "}"), "line || ' / ' || i")
+read_back("pdf_strings", lambda x, i: tex("\\texorpdfstring{$x$}{", x, "}\\citetext{ ", i, "}"), "line || ' ' || i")
+read_back("dropped_layout", lambda x, i: tex("\\noindent\\vskip 3pt plus 1pt\\hypersetup{a=b}\\addcontentsline{a}{b}{c}\\setlength{\\parskip}{1pt}\\pagestyle{p}", x, " \\protect\\cite{q}\\maketitle"), "line")
+read_back("key_values", lambda x, i: tex("\\setkeys{f}{k={", x, "}, j=", i, "}"), "'<' || line || '>' || i", "\\makeatletter\\define@key{f}{k}{<#1>}\\define@key{f}{j}{#1}\\makeatother\n")
+read_back("starred_macros", lambda x, i: tex("\\cmd ", x, " \\cmd*"), "'plain ' || line || ' star'", "\\makeatletter\\def\\cmd{\\@ifstar{star}{plain }}\\makeatother\n")
+read_back("edef_snapshot", lambda x, i: tex("\\b{} ", x), "'1 ' || line", "\\def\\a{1}\\edef\\b{\\a}\\def\\a{2}\n")
+read_back("groups", lambda x, i: tex("{a {", x, "} \\begingroup b\\endgroup}"), "'a ' || line || ' b'")
+read_back("layout_environments", lambda x, i: tex("\\begin{minipage}[t]{2cm}", x, "\\end{minipage}\\begin{quote}q\\end{quote}\\begin{unheard}[o]u\\end{unheard}"), "line || ' q u'")
+read_back("loops_and_comments", lambda x, i: tex("\\foreach \\k in {1,2}{no}\\forloop{a}{b}{c}{d}\\begin{comment}", x, "\\end{comment}", x), "line")
+read_back("unicode_escapes", lambda x, i: tex(x, " \\u00e9\\alpha{}"), "line || ' éα'")
+read_back("line_breaks", lambda x, i: tex("\\mbox{", x, "}\\\\[2pt] next"), "line || chr(10) || 'next'")
+read_back("typed_conditions", lambda x, i: tex("\\ifnum 1<2 ", x, "\\else no\\fi \\ifthenelse{c}{", i, "}{no} \\@ifundefined{z}{t}{no}"), "line || ' ' || i || ' t'")
+
+
+# -- more structure ------------------------------------------------------------------------------------------------------
+
+
+@query(with_lines("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::VARCHAR AS numbering, 'f:' || i AS key, 'caption' AS owner FROM l WHERE line <> ''"))
+def figure_labels(spark, d):
+    """A label after a caption belongs to the caption; the figure has the number."""
+    i = F.col("i").cast("string")
+    made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", tex("\\begin{figure}[h]\\includegraphics{x}\\caption[s]{", escape(F.col("line")), "}\\label{f:", i, "}\\end{figure}"))
+    tokens = parse_documents(made)
+    owners = graph.labels(tokens).withColumnsRenamed({"token_id": "caption", "type": "owner"})
+    parent = tokens.select("doc_id", F.col("token_id").alias("caption"), F.col("parent_id").alias("token_id"))
+    return structure.number_blocks(tokens).join(owners.join(parent, ["doc_id", "caption"]), ["doc_id", "token_id"]).select("doc_id", "numbering", "key", "owner")
+
+
+@query(with_lines("SELECT doc_id, i AS k, line AS title FROM l WHERE line <> ''"))
+def citation_aliases(spark, d):
+    i = F.col("i").cast("string")
+    made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", tex("\\defcitealias{k", i, "}{", escape(F.col("line")), "}\\citetalias{k", i, "}"))
+    tokens = parse_documents(made)
+    titles = tokens.filter("slot = 'title'").select("doc_id", F.col("parent_id").alias("token_id"), F.col("text").alias("title"))
+    return graph.cite_edges(tokens).join(titles, ["doc_id", "token_id"]).select("doc_id", F.substring("key", 2, 9).cast("long").alias("k"), "title")
+
+
+@query(with_lines("SELECT doc_id, count(*)::BIGINT AS paragraphs, sum(i % 3 + 1)::BIGINT AS levels FROM l WHERE line <> '' GROUP BY doc_id"))
+def paragraphs(spark, d):
+    piece = tex("\\", F.repeat(F.lit("sub"), (F.col("i") % 3).cast("int")), "paragraph{", escape(F.col("line")), "} x")
+    tokens = parse_documents(write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece), types=["paragraph"])
+    return tokens.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum("level").alias("levels"))
+
+
+@query("SELECT p_partkey % 20 AS doc_id, 'b' || p_partkey AS cite_key, p_name AS title, p_brand || ' and ' || p_type AS author FROM part")
+def amsrefs_fields(spark, d):
+    piece = tex("\\bib{b", F.col("p_partkey").cast("string"), "}{book}{title={", F.col("p_name"), "}, author={", F.col("p_brand"), "}, author={", F.col("p_type"), "}}")
+    made = write(table(spark, d, "part").withColumn("doc_id", F.col("p_partkey") % 20), "doc_id", "p_partkey", piece, "\n", "\\begin{bibdiv}\n", "\\end{bibdiv}")
+    files = made.select("doc_id", F.lit("\\bibliography{refs}").alias("text"), F.create_map(F.lit("refs.bbl"), F.col("text")).alias("files"))
+    return graph.bib_entries(parse_documents(files, files_col="files", types=["bibitem"])).select("doc_id", "cite_key", *[F.col("fields")[f].alias(f) for f in ("title", "author")])
+
+
+@query("SELECT 'c' || p_partkey AS cite_key, p_brand || ', J.' AS author, p_name AS journal FROM part")
+def compiled_bibliography(spark, d):
+    k = F.col("p_partkey").cast("string")
+    piece = tex("\\entry{c", k, "}{article}{}\\name{author}{1}{}{{{hash=1}{family={", F.col("p_brand"), "},familyi={X},given={Jo},giveni={J\\bibinitperiod}}}}\\field{journaltitle}{", F.col("p_name"), "}\\endentry")
+    made = write(table(spark, d, "part").withColumn("doc_id", F.col("p_partkey") % 20), "doc_id", "p_partkey", piece)
+    files = made.select("doc_id", F.lit("\\bibliography{refs}").alias("text"), F.create_map(F.lit("refs.bbl"), F.col("text")).alias("files"))
+    return graph.bib_entries(parse_documents(files, files_col="files", types=["bibitem"])).select("cite_key", *[F.col("fields")[f].alias(f) for f in ("author", "journal")])
+
+
+@query("SELECT p_partkey AS doc_id, 'newcommand' AS kind, 'mac' AS name, (p_size % 3)::BIGINT AS n_args FROM part UNION ALL SELECT p_partkey, 'theorem', 'thm', 0 FROM part")
+def definitions(spark, d):
+    from paperlake.operators import tokens
+
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), tex("\\newcommand{\\mac}[", (F.col("p_size") % 3).cast("string"), "]{x}\\newtheorem{thm}{T}").alias("text"))
+    return tokens.definitions(docs).select("doc_id", "kind", "name", "n_args")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def encodings(spark, d):
+    docs = table(spark, d, "documents")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    return bundles.decode(docs.select("doc_id", content.alias("content"))).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT conv_id AS paper_id, turn, md5(text) AS digest FROM conversations")
+def archives(spark, d):
+    """Conversations zipped, a file a turn, and unpacked again."""
+    import io
+    import zipfile
+
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("turns"))
+
+    def zipped(turns) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for t in turns:
+                z.writestr(f"t{t['turn']}.tex", t["text"])
+        return out.getvalue()
+
+    packed = rows.select(F.concat(F.lit("/c"), F.col("conv_id").cast("string"), F.lit(".zip")).alias("path"), F.udf(zipped, "binary")("turns").alias("content"))
+    files = bundles.decode(bundles.explode(packed))
+    number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("long")
+    return files.select(number("paper_id").alias("paper_id"), number("rel_path").alias("turn"), F.md5("text").alias("digest"))
