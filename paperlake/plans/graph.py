@@ -32,6 +32,24 @@ def resolve_citations(edges: DataFrame, entries: DataFrame, id_col: str = "doc_i
     return edges.join(known, [id_col, "key"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def citations_in_place(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, token_id, key, found, as resolve_citations gives them, from one reading of the tokens: citations and entries are dealt by (id, key) together."""
+    rows = tokens.filter("type IN ('citation', 'bibitem')")
+    rows = rows.select(id_col, "token_id", (F.col("type") == "bibitem").alias("entry"), F.explode(F.when(F.col("type") == "bibitem", F.array("cite_key")).otherwise(F.col("keys"))).alias("key"))
+    found = F.max("entry").over(Window.partitionBy(id_col, "key"))
+    return rows.withColumn("found", found).filter("NOT entry").select(id_col, "token_id", "key", "found")
+
+
+def references_in_place(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, token_id, key, target_id, target_type, as resolve_references gives them, from one reading of the tokens."""
+    named = lambda keys, owns: F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(k.alias("key"), F.lit(owns).alias("owns")))
+    refs = F.when(F.col("type") == "ref", F.col("keys"))
+    rows = tokens.filter("type = 'ref' OR labels IS NOT NULL").select(id_col, "token_id", "type", F.explode(F.concat(named(refs, False), named(F.col("labels"), True))).alias("n"))
+    own = F.when(F.col("n.owns"), F.struct("token_id", "type"))
+    target = F.min(own).over(Window.partitionBy(id_col, F.col("n.key")))
+    return rows.withColumn("target", target).filter("NOT n.owns").select(id_col, "token_id", F.col("n.key").alias("key"), F.col("target.token_id").alias("target_id"), F.col("target.type").alias("target_type"))
+
+
 def unresolved_citations(edges: DataFrame, entries: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return edges.join(entries.select(id_col, F.col("cite_key").alias("key")), [id_col, "key"], "left_anti")
 

@@ -48,18 +48,18 @@ def section_parents(sections: DataFrame, id_col: str = "doc_id", order: str = "p
     return rows.withColumn("parent", parent.cast("long")).drop(*[f"__l{n}" for n in range(deepest)])
 
 
-def number_blocks(tokens: DataFrame, id_col: str = "doc_id", order: str = "token_id") -> DataFrame:
-    """id, order, type, name, numbering for numbered equations, tables, figures and algorithms (document-wide), and theorems (by level-1 section).
+def number_blocks(tokens: DataFrame, id_col: str = "doc_id", order: str = "token_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, order, type, name, numbering, and the carried columns, for numbered equations, tables, figures and algorithms (document-wide), and theorems (by level-1 section).
 
     Equations in table cells, titles and placeholders are never numbered.
     """
     rows = tokens.filter((F.col("slot") == "content") & (F.col("type").isin("equation", "table", "figure", "algorithm", "math_env", "section")))
-    rows = rows.select(id_col, order, "type", "name", "numbered", "level")
+    rows = rows.select(id_col, order, "type", "name", "numbered", "level", *carry)
     top = (F.col("type") == "section") & (F.col("level") == 1)
     rows = rows.withColumn("seen", _count(top, [id_col], order)).withColumn("n1", _count(top & F.col("numbered"), [id_col], order))
     rows = rows.withColumn("k", _count(F.coalesce("numbered", F.lit(False)), [id_col, "type"], order)).withColumn("kt", _count(F.coalesce("numbered", F.lit(False)), [id_col, "type", "seen"], order))
     numbering = F.when(F.col("type") == "math_env", F.concat_ws(".", F.col("n1").cast("string"), F.col("kt").cast("string"))).otherwise(F.col("k").cast("string"))
-    return rows.filter(F.col("numbered") & (F.col("type") != "section")).select(id_col, order, "type", "name", numbering.alias("numbering"))
+    return rows.filter(F.col("numbered") & (F.col("type") != "section")).select(id_col, order, "type", "name", numbering.alias("numbering"), *carry)
 
 
 OPENING, CLOSING = r"[\s(\[{“‘]$", r"^[\s,.;:!?)\]}”’]"

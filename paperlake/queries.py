@@ -122,7 +122,7 @@ def enclosing_sections(spark, d):
 def equation_numbers(spark, d):
     piece = F.when(F.col("i") % 2 == 0, tex("\\begin{equation}\nx_{", F.col("i").cast("string"), "}\n\\end{equation}")).otherwise(tex("$y$ \\begin{equation*} z \\end{equation*} \\[ w \\]"))
     tokens = parse_documents(write(lines(spark, d), "doc_id", "i", piece))
-    return structure.number_blocks(tokens).join(tokens.select("doc_id", "token_id", "text"), ["doc_id", "token_id"]).select("doc_id", "numbering", "text")
+    return structure.number_blocks(tokens, carry=("text",)).select("doc_id", "numbering", "text")
 
 
 @query(with_lines(", s AS (SELECT *, sum((i % 4 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n1 FROM l) SELECT doc_id, CASE WHEN i % 2 = 0 THEN 'lemma' ELSE 'theorem' END AS name, n1 || '.' || row_number() OVER (PARTITION BY doc_id, n1 ORDER BY i) AS numbering FROM s WHERE i % 4 <> 0 AND line <> ''"))
@@ -212,8 +212,7 @@ def cite_extract(spark, d):
 @query(_CITED + " SELECT c.doc_id, key, count(*)::BIGINT AS n, bool_or(b.cite_key IS NOT NULL) AS found FROM c LEFT JOIN b ON c.doc_id = b.doc_id AND c.key = b.cite_key GROUP BY ALL")
 def cite_resolution(spark, d):
     tokens = parse_documents(cited(spark, d), types=["citation", "bibitem"])
-    found = graph.resolve_citations(graph.cite_edges(tokens), graph.bib_entries(tokens))
-    return found.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_or("found").alias("found"))
+    return graph.citations_in_place(tokens).groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_or("found").alias("found"))
 
 
 @query(_CITED + " SELECT doc_id, count(*)::BIGINT AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.cite_key = c.key) GROUP BY doc_id")
@@ -239,7 +238,7 @@ def ref_labels(spark, d):
     j = F.floor(F.col("i") / 2).cast("string")
     made = tex(F.when(F.col("i") % 2 == 0, tex("\\section{A} \\label{s:", j, "} ")).otherwise(""), "\\ref{s:", j, "}")
     tokens = parse_documents(write(lines(spark, d), "doc_id", "i", made), types=["ref", "section"])
-    return graph.resolve_references(graph.ref_edges(tokens), graph.labels(tokens)).groupBy("doc_id", "key", "target_type").agg(F.count("*").alias("n"))
+    return graph.references_in_place(tokens).groupBy("doc_id", "key", "target_type").agg(F.count("*").alias("n"))
 
 
 def entries(spark, d):

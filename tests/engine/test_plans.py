@@ -94,6 +94,8 @@ def test_graphs(tokens):
     assert [r.key for r in graph.unresolved_citations(graph.cite_edges(tokens), graph.bib_entries(tokens)).collect()] == ["z"]
     refs = graph.resolve_references(graph.ref_edges(tokens), graph.labels(tokens)).collect()
     assert sorted((r.key, r.target_type) for r in refs) == [("none", None), ("s:1", "section")]
+    assert sorted((r.key, r.found) for r in graph.citations_in_place(tokens).collect()) == [("k", True), ("z", False)]
+    assert sorted((r.key, r.target_type) for r in graph.references_in_place(tokens).collect()) == [("none", None), ("s:1", "section")]
     assert graph.table_cells(tokens).count() == 2
     assert {r.type for r in graph.type_histogram(tokens).collect()} >= {"section", "tabular", "bibitem"}
 
