@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,40 +30,59 @@ OVER, UNDER = 4, 5
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
 RUN = 32
-MEMO = 300_000
 WORDS_AT_ONCE = 400_000
 _ENTRY = np.dtype([("token", "<u8"), ("line", "<i8"), ("size", "<u2"), ("place", "<u2")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
 
 
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, at least n of them; kept for the next call."""
+    global _POWERS
+    if len(_POWERS) < n:
+        _POWERS = np.multiply.accumulate(np.full(max(n, 256), np.uint64(0xD6E8FEB86659FD93)))
+    return _POWERS
+
+
+_POWERS = np.zeros(0, np.uint64)
+#: A fixed random number for each byte, and which bytes are white space.
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
 class Lines:
-    """The lines with five words or more of a run of documents: doc (place in the run), number, hash, and all shingles with their line."""
-
-    def __init__(self, texts: list[bytes], known: Hashes):
-        words, doc, number, count = [], [], [], []
-        for d, text in enumerate(texts):
-            for n, line in enumerate(text.split(b"\n")):
-                own = line.split()
-                if len(own) >= SHINGLE:
-                    words += own
-                    doc.append(d)
-                    number.append(n)
-                    count.append(len(own))
-        self.doc, self.number, size = np.array(doc, np.int64), np.array(number, np.int64), np.array(count, np.int64)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    """The lines with five words or more of a run of documents: doc (place in the run), number, hash, and all shingles with their line.
+
+    Words are hashed by columns: a byte's number times a power of its place in the word, summed over the word.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space, breaks = _SPACE[raw], np.flatnonzero(raw == 10)
+        begins = ~space
+        begins[1:] &= space[:-1]
+        start = np.flatnonzero(begins)
+        if len(start):
+            length = np.diff(np.append(start, len(raw)))
+            place = np.arange(start[0], len(raw)) - np.repeat(start, length)
+            value = _BYTE[raw[start[0] :]] * _powers(int(length.max()))[place]
+            value[space[start[0] :]] = 0
+            h = mixed(np.add.reduceat(value, start - start[0]))
+        else:
+            h = np.zeros(0, np.uint64)
+        line = np.searchsorted(breaks, start)  # of each word, counted over the run
+        of = np.bincount(line, minlength=len(breaks))
+        per = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        first = np.cumsum(per) - per
+        kept = np.flatnonzero(of >= SHINGLE)
+        self.doc = np.searchsorted(first, kept, side="right") - 1
+        self.number = kept - first[self.doc] if len(kept) else kept
+        use = of[line] >= SHINGLE
+        h, size = h[use], of[kept]
         start = np.cumsum(size) - size
         place = np.arange(len(h)) - np.repeat(start, size)
         self.hash = np.add.reduceat(mixed(h + _ODD * place.astype(np.uint64)), start).view(np.int64) if len(h) else np.zeros(0, np.int64)
@@ -101,9 +119,9 @@ def survey(documents: DataFrame) -> DataFrame:
     names = ["doc_id", "key", "number", "line", "chunk", "counts"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = Hashes(), np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for b, texts in runs(batches):
-            found = Lines(texts, known)
+            found = Lines(texts)
             counts += np.bincount((found.token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             n = len(found.doc)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found.doc)), b.column(2).take(pa.array(found.doc)), pa.array(found.number), pa.array(found.hash), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
@@ -143,9 +161,9 @@ def prefix_entries(documents: DataFrame, level: np.ndarray, buckets: int) -> Dat
     shared = documents.sparkSession.sparkContext.broadcast(level)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, held, size = Hashes(), set(), [], 0
+        seen, held, size = set(), [], 0
         for _, texts in runs(batches):
-            found = Lines(texts, known)
+            found = Lines(texts)
             _, first = np.unique(found.hash, return_index=True)
             fresh = np.array([k for k in first.tolist() if (h := int(found.hash[k])) not in seen and not seen.add(h)], np.int64)
             wanted = np.zeros(len(found.hash), bool)
@@ -217,10 +235,9 @@ def token_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = _texts(documents).join(per, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("key") == F.col("w_key"))).select("doc_id", "text", "numbers")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b, texts in runs(batches):
             chosen = [b"\n".join(t.split(b"\n")[n] for n in numbers) for t, numbers in zip(texts, b.column(2).to_pylist(), strict=True)]
-            found = Lines(chosen, known)
+            found = Lines(chosen)
             line, token = found.line, found.token
             by = np.lexsort((token, line))
             line, token = line[by], token[by]
