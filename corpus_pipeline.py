@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines equal or near to an earlier one are removed; n_chars follows; documents left without words are left out."""
-    return line_dedup.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return line_dedup.clean(docs, short_lines=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

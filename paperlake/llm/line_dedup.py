@@ -8,7 +8,8 @@ Rarity comes from a frequency sketch of fixed size (2^20 counters, summed over a
 time, never results. Prefix entries travel in packed blocks, one a bucket of tokens. Runs of few lines give candidate pairs; from a
 longer run (``RUN``) only membership is passed on, and its lines are verified where they meet, earliest mates first: no group emits its pairs.
 
-Defined results: lines with fewer than five words have no shingle and are kept, as are null and empty texts; documents that agree in doc_id and text
+Defined results: a line of one to four words has no shingle; with ``short_lines`` (as op7 and the pipeline run it) it goes if an earlier line has the same
+words, without it such lines are kept. Lines without a word are kept, as are null and empty texts; documents that agree in doc_id and text
 are one (their rows come out alike); a line's first occurrence stays unless it is near an earlier line, so a document may lose lines to itself; an
 empty table gives an empty result; extra columns are carried by ``clean`` and ignored otherwise.
 """
@@ -55,12 +56,12 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Lines:
-    """The lines with five words or more of a run of documents: doc (place in the run), number, hash, and all shingles with their line.
+    """The lines with ``least`` words or more of a run of documents: doc (place in the run), number, hash, and all shingles with their line.
 
     Words are hashed by columns: a byte's number times a power of its place in the word, summed over the word.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], least: int = SHINGLE):
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         space, breaks = _SPACE[raw], np.flatnonzero(raw == 10)
         begins = ~space
@@ -78,10 +79,10 @@ class Lines:
         of = np.bincount(line, minlength=len(breaks))
         per = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
         first = np.cumsum(per) - per
-        kept = np.flatnonzero(of >= SHINGLE)
+        kept = np.flatnonzero(of >= least)
         self.doc = np.searchsorted(first, kept, side="right") - 1
         self.number = kept - first[self.doc] if len(kept) else kept
-        use = of[line] >= SHINGLE
+        use = of[line] >= least
         h, size = h[use], of[kept]
         start = np.cumsum(size) - size
         place = np.arange(len(h)) - np.repeat(start, size)
@@ -114,14 +115,14 @@ def _texts(documents: DataFrame) -> DataFrame:
     return only(documents, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("key"))
 
 
-def survey(documents: DataFrame) -> DataFrame:
+def survey(documents: DataFrame, short_lines: bool = False) -> DataFrame:
     """In one pass, a row for each line (doc_id, key, number, line) and, with a chunk number, rows of the frequency sketch."""
     names = ["doc_id", "key", "number", "line", "chunk", "counts"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for b, texts in runs(batches):
-            found = Lines(texts)
+            found = Lines(texts, 1 if short_lines else SHINGLE)
             counts += np.bincount((found.token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             n = len(found.doc)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found.doc)), b.column(2).take(pa.array(found.doc)), pa.array(found.number), pa.array(found.hash), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
@@ -268,9 +269,9 @@ def near_earlier(sets: list[np.ndarray]) -> list[int]:
     return out
 
 
-def removed_lines(documents: DataFrame) -> DataFrame:
+def removed_lines(documents: DataFrame, short_lines: bool = False) -> DataFrame:
     """doc_id, key, number, near for every line to remove; near: not for an equal line alone."""
-    surveyed = checkpoint(survey(documents))
+    surveyed = checkpoint(survey(documents, short_lines))
     lines = surveyed.filter("chunk is null").select("doc_id", "key", "number", "line")
     place = F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "key", "number")
     first = lines.groupBy("line").agg(F.min(place).alias("first"))
@@ -305,23 +306,23 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     return judged.filter(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "key", "number", F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 
-def _per_document(documents: DataFrame) -> DataFrame:
-    gone = removed_lines(documents)
+def _per_document(documents: DataFrame, short_lines: bool) -> DataFrame:
+    gone = removed_lines(documents, short_lines)
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("number")).alias("removed"), F.count_if("near").alias("n_near")).withColumnsRenamed({"doc_id": "__doc", "key": "__key", "removed": "__removed", "n_near": "__near"})
 
 
-def summary(documents: DataFrame) -> DataFrame:
+def summary(documents: DataFrame, short_lines: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near, removed (line numbers from 0, comma-joined) for each row."""
     rows = only(documents, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = rows.join(_per_document(documents), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
+    out = rows.join(_per_document(documents, short_lines), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
     removed = F.coalesce("__removed", F.array().cast("array<long>"))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
-def clean(documents: DataFrame) -> DataFrame:
+def clean(documents: DataFrame, short_lines: bool = False) -> DataFrame:
     """The documents without their removed lines, with their columns; those that lost every word are left out."""
     rows = documents.withColumn("__text_key", F.xxhash64(F.col("text")))
-    out = rows.join(_per_document(documents.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
+    out = rows.join(_per_document(documents.select("doc_id", "text"), short_lines), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
     left = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
     out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
     return out.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[f"`{c}`" for c in documents.columns])

@@ -35,7 +35,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(table(spark, sf_dir, "documents"))
+    return line_dedup.summary(table(spark, sf_dir, "documents"), short_lines=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,33 @@ def test_runs_of_any_length_lose_no_pair(run):
                 assert (a, b) in met
     near = line_dedup.near_earlier(sets)
     assert near == [j for j in range(len(sets)) if any(9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j])) for i in range(j))]
+
+
+def test_short_lines_go_if_equal_to_an_earlier_one(spark):
+    rng = random.Random(9)
+    lines = ["All rights reserved.", "Les.", "one two three four", "four  three two one", "one two three four five", ""]
+    rows = [(d, "\n".join(rng.choices(lines, k=4))) for d in range(40)] + [(50, "Les.\nand  ornd.\n  \nand\tornd. "), (51, "All rights  reserved."), (None, "Les.")]
+    seen, want = set(), {}
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for n, line in enumerate(text.split("\n")):
+            words = tuple(line.split())
+            if words and words in seen:
+                want.setdefault(d, []).append(n)
+            seen.add(words)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.summary(df, short_lines=True).collect()}
+    assert {d: r.removed for d, r in got.items() if r.removed} == {d: ",".join(map(str, n)) for d, n in want.items()} and not any(r.n_near for r in got.values())
+    left = {r.doc_id: r.text for r in line_dedup.clean(df, short_lines=True).collect()}
+    for d, text in rows:
+        kept = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in want.get(d, []))
+        assert left.get(d) == (kept if kept.split() or d not in want else None)
+
+
+def test_registered_query_and_stage_remove_short_repeats(spark, tmp_path):
+    import corpus_pipeline
+    from paperlake.llm import queries
+
+    df = spark.createDataFrame([(1, "Les.\nfirst", 10), (2, "Les.\nsecond", 11)], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0"}
+    assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, df, "").collect()} == {1: ("Les.\nfirst", 10), 2: ("second", 6)}
