@@ -3,9 +3,9 @@
 Text measures are computed per document; for each (lang, source) and measure a sketch is kept: counts in bins of an integer
 scale whose bins double every 32 steps (each bin at most 1/32 wide relative to its values). Such sketches merge by
 adding counts, so they are built by a partial aggregation before the shuffle, a hot source is no single task's work, and the
-result does not depend on the order of merging. From the quartiles of its sketch each group gets its own fences, in place of
-fixed cutoffs; a document fails if a measure lies beyond its group's fence. Fences are no tighter than a floor for what is harmless in any corpus
-(``LEAST``), so a group of clean documents loses none.
+result does not depend on the order of merging. From the quartiles of its sketch each group gets its own fences;
+a document fails if a measure lies beyond its group's fence. Fences are no tighter than a floor for what is harmless in any corpus (``LEAST``),
+so a sketch can only loosen a fixed cutoff; on sf0.1 every fence is its floor (README).
 
 Defined results: a null or empty text has no words and fails the base rules; null lang and source are groups of their own;
 repeated rows count as rows; an empty table gives an empty result; extra columns are ignored.
