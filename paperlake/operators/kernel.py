@@ -53,6 +53,10 @@ class Parser:
         self.errors: list[tuple[str, str]] = []
         self.read_styles: set[str] = set()
         self.expansions = 0
+        self.reading: Input | None = None
+        self.first_read: set[str] = set()
+        self.problem: Exception | None = None
+        self.tokens: list[Token] = []
         self.depth = 0
         self.preprocessed = False
 
@@ -106,14 +110,17 @@ class Parser:
     # -- main loop ----------------------------------------------------------------------------------------------
 
     def parse(self, text: str, line_break: str = "\n") -> list[Token]:
+        """Tokens of a text. At a problem all open levels end, so that the tokens read before it are in ``tokens``; then the outermost raises it."""
         if self.depth > 150:
             raise Problem("nesting is too deep")
         self.depth += 1
         out: list[Token] = []
-        source, frame = Input(text), Frame(line_break)
+        source, frame, outer = self.input(text), Frame(line_break), self.reading
         try:
-            while not source.done():
+            while not self.problem and not source.done():
                 c = source.text[source.at]
+                if c in "\\{$":
+                    self.step(source)
                 if c.isspace():
                     m = source.match(_SPACE)
                     frame.space = frame.space or ("\n" if m[0].count("\n") > 1 else " ")
@@ -142,13 +149,20 @@ class Parser:
                     m = _PLAIN.match(source.text, source.at)
                     source.at = m.end()
                     self.put_text(out, m[0], frame)
+        except (ValueError, RecursionError) as e:
+            self.problem = self.problem or e
         finally:
             self.depth -= 1
+            self.reading = outer
         for t in reversed(out):
             if t["type"] == "text" and isinstance(t["content"], str):
                 t["content"] = t["content"].rstrip(" ") if line_break == "\n" else t["content"].rstrip()
             break
-        return [t for t in out if not (t["type"] == "text" and t["content"] == "")]
+        out = [t for t in out if not (t["type"] == "text" and t["content"] == "")]
+        if self.problem and not self.depth:
+            self.tokens, problem, self.problem = out, self.problem, None
+            raise problem
+        return out
 
     def put_text(self, out: list[Token], text: str, frame: Frame) -> None:
         space, frame.space = frame.space, ""
@@ -232,8 +246,9 @@ class Parser:
         """Macros expanded, formatting dropped, content commands replaced by placeholders."""
         if "\\" not in text:
             return text, {}
-        source, out, held = Input(text), [], {}
+        source, out, held, outer = self.input(text), [], {}, self.reading
         while not source.done():
+            self.step(source)
             m = _MATH_COMMAND.search(source.text, source.at)
             if not m:
                 out.append(source.text[source.at :])
@@ -267,8 +282,24 @@ class Parser:
                 source.push(source.argument())
             else:
                 out.append(m[0])
+        self.reading = outer
         return "".join(out), held
 
+    def input(self, text: str) -> Input:
+        return Input(text, self.reading is None or self.reading.holds(text))
+
+    def step(self, source: Input) -> None:
+        """Before each command, block or formula: expansions are counted from the last reading of source on."""
+        self.reading = source
+        if source.advanced():
+            self.expansions = 0
+
+    def once(self, source: Input, key: str, size: int) -> None:
+        """Text pushed for the first time under a key counts as source: a paper's files and what its environments add."""
+        if key not in self.first_read:
+            self.first_read.add(key)
+            source.mark += size
+
     def count(self) -> None:
         self.expansions += 1
         if self.expansions > MOST_EXPANSIONS:
@@ -502,6 +533,7 @@ class Parser:
             args.append(inner.block() or "")
         self.count()
         begin, end = (lexing.substitute(x, args) if args else x for x in (e.body, e.params[0] if e.params else ""))
+        self.once(source, f"environment {e.name}", len(begin) + len(end) + 2)
         source.push(begin + "\n" + inner.text[inner.at :] + "".join(reversed(inner.below)) + "\n" + end)
 
     def environment(self, name: str, body: str, out: list[Token], frame: Frame) -> None:
@@ -821,6 +853,7 @@ def _input(p, source, name, out, frame):
     text = lexing.strip_comments(text)
     if p.preprocessed and path.rpartition(".")[2] not in DEFINING:
         text = p.preprocess(text)
+    p.once(source, f"file {path}", len(text) + 1)
     source.push(text + "\n")
 
 
@@ -844,7 +877,7 @@ def _item(p, source, name, out, frame):
         elif not depth:
             end = m.start()
             break
-    source.text, source.at, source.below = rest, end, []
+    source.text, source.at, source.below, source.stored = rest, end, [], 0
     p.put(out, p.item(rest[:end]), frame)
 
 
@@ -1084,8 +1117,9 @@ def _def(p, source, kind):
 
 def expanded(p: Parser, text: str) -> str:
     """All known macros of a text replaced, to the fixpoint."""
-    source, out = Input(text), []
+    source, out, outer = p.input(text), [], p.reading
     while not source.done():
+        p.step(source)
         m = _LETTERED.search(source.text, source.at)
         if not m:
             out.append(source.text[source.at :])
@@ -1098,6 +1132,7 @@ def expanded(p: Parser, text: str) -> str:
             source.push(p.macros[m[1]].expand(source))
         else:
             out.append(m[0])
+    p.reading = outer
     return "".join(out)
 
 

@@ -7,25 +7,49 @@ from dataclasses import dataclass, field
 
 from paperlake.functions import lexing
 
+#: Expansions in a row without any of the source being read; a document may have any number of uses.
 MOST_EXPANSIONS = 20_000
 _NAME = re.compile(r"\\(?:[a-zA-Z@]+|.)", re.S)
 
 
 class Input:
-    """Text under a read head, with a stack of texts below it. Expansions are pushed; a block that reaches beyond its text joins the one below."""
+    """Text under a read head, with a stack of texts below it. Expansions are pushed; a block that reaches beyond its text joins the one below.
 
-    def __init__(self, text: str):
+    mark: the least that was left to read when a step began. Less than that means that source was read, as expansions lie before it.
+    own: whether the text is a part of the document, not made by expansions.
+    """
+
+    def __init__(self, text: str, own: bool = False):
         self.text, self.at, self.below = text, 0, []
+        self.stored, self.own, self.mark = 0, own, len(text) + 1
+
+    def unread(self) -> int:
+        return len(self.text) - self.at + self.stored
+
+    def advanced(self) -> bool:
+        """At the begin of a step: whether some of the document's own text was read since the least mark."""
+        left = self.unread()
+        if left >= self.mark:
+            return False
+        self.mark = left
+        return self.own
+
+    def holds(self, text: str) -> bool:
+        """Whether a text taken in this step is no longer than the document's own text that was read for it."""
+        return self.own and len(text) <= self.mark - self.unread()
 
     def push(self, text: str) -> None:
         if self.at < len(self.text):
             self.below.append(self.text[self.at :])
+            self.stored += len(self.text) - self.at
         self.text, self.at = text, 0
 
     def join(self) -> bool:
         if not self.below:
             return False
-        self.text, self.at = self.text[self.at :] + self.below.pop(), 0
+        top = self.below.pop()
+        self.stored -= len(top)
+        self.text, self.at = self.text[self.at :] + top, 0
         return True
 
     def done(self) -> bool:
@@ -33,6 +57,7 @@ class Input:
             if not self.below:
                 return True
             self.text, self.at = self.below.pop(), 0
+            self.stored -= len(self.text)
         return False
 
     def skip_space(self) -> bool:

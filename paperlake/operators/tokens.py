@@ -79,8 +79,8 @@ def flatten(tree: list[dict]) -> list[dict]:
 def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", preprocess: bool = False, types: list[str] | None = None, files_col: str | None = None) -> DataFrame:
     """TOKENS rows, led by the id, of every document; types keeps only rows of those types. files_col: a map of further texts by path.
 
-    Documents are read one at a time and rows written in batches, so memory holds one document. A document that cannot be read to its end gives a row
-    of type error with the reason as its text; null and empty texts give no row.
+    Documents are read one at a time and rows written in batches, so memory holds one document. A document that cannot be read to its end gives the rows
+    read before and one of type error with the reason as its text; null and empty texts give no row.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
@@ -115,7 +115,10 @@ def rows_of(text: str | None, preprocess: bool = False, files: dict[str, str] |
         rows = flatten(parser.document(text, preprocess))
     except (ValueError, RecursionError) as e:
         parser.errors.append(("parse", str(e)))
-        rows = []
+        try:
+            rows = flatten(parser.tokens)
+        except RecursionError:
+            rows = []
     for stage, message in parser.errors:
         n = len(rows)
         rows.append(dict.fromkeys(NAMES) | {"token_id": n, "slot": "error", "type": "error", "name": stage, "text": message, "depth": 0, "ord": 0, "last_desc": n})

@@ -135,3 +135,32 @@ def test_long_texts_stay_linear():
     began = time.time()
     n = len(Parser().document(unit * 3000))
     assert n > 3000 and time.time() - began < 60
+
+
+def test_any_number_of_macro_uses():
+    define = "\\newcommand{\\a}[1]{<\\b{#1}>}\\newcommand{\\b}[1]{(#1)}"
+    body = "\\a{word}\\par\n" * 12_000
+    document = "\\begin{document}" + body + "\\end{document}"
+    for text, files in [
+        (define + body, None), (define + document, None), (define + "{" + body + "}", None), (define + r"\input{x}", {"x.tex": body}), (define + r"\newenvironment{y}{begin text}{" + "end text " * 9 + r"}\begin{y}" + document + r"\end{y}", None),
+        (define + r"\def\bd{\begin{document}}\def\ed{\end{document}}\bd " + body + r"\ed", None), (define + r"\begin{itemize}\item " + body + r"\end{itemize}", None), (define + r"\footnote{\textbf{" + body.replace(r"\par", "") + "}}", None),
+        (define + r"\begin{tabular}{l}" + body.replace(r"\par", "") + r"\end{tabular}", None), (define + r"\newcommand{\c}[1]{\textbf{\a{#1}}}" + body.replace(r"\a", r"\c"), None),
+    ]:
+        rows = rows_of(text, files=files)
+        assert not [r for r in rows if r["type"] == "error"]
+        assert sum((r["text"] or "").count("<(word)>") for r in rows) == 12_000
+    (t,) = parse(define + "$" + "\\a{x} " * 12_000 + "$")
+    assert t["content"].count("<(x)>") == 12_000
+
+
+def test_endless_definitions_stop_and_keep_what_was_read():
+    for define, use in [
+        (r"\def\a{\a}", r"\a"), (r"\def\a{x\a}", r"\a"), (r"\def\a{\a x}", r"\a"), (r"\def\a{\a\a}", r"\a z"), (r"\def\a#1{\a}", r"\a{b} c"), (r"\def\a{\b}\def\b{\a}", "$\\a$"), (r"\newenvironment{e}{\begin{e}\end{e}}{}", r"\begin{e}\end{e}"),
+        ("".join(rf"\def\{x}{{{{\{y}}}{{\{y}}}}}" for x, y in zip("abcdefghijklmnopqrstuvw", "bcdefghijklmnopqrstuvwx")), r"\a"),
+        ("".join(rf"\def\m{x}{{\footnote{{$\m{y}\m{y}$}}}}" for x, y in zip("abcdefghijklmnopqrstuvw", "bcdefghijklmnopqrstuvwx")), r"$\ma$"),
+    ]:
+        rows = rows_of(r"\section{S} before " + define + "\\begin{abstract} inside " + use + "\\end{abstract} after")
+        assert rows[-1]["type"] == "error" and sum(r["type"] == "error" for r in rows) == 1, define
+        texts = [r["text"] or "" for r in rows[:-1]]
+        assert rows[0]["type"] == "section" and any("before" in t for t in texts) and any("inside" in t for t in texts) and not any("after" in t for t in texts), define
+        assert any(r["type"] == "abstract" for r in rows)
