@@ -6,7 +6,7 @@ trained here, by maximum likelihood, on labelled pages that ``labelled_pages`` w
 the blocks labelled as the article are its text.
 
 Defined results: a null or empty page, and one without an article, has the empty text; broken markup is read as far as it goes (an unclosed
-element ends with its parent, an unclosed comment with the page, a lone < is text); repeated rows are pages each; an empty table gives an empty
+element ends with its parent, an unclosed comment or raw-text element with the page, of an unclosed svg, object, noscript or template only the tag is skipped, a lone < is text); repeated rows are pages each; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -30,6 +30,8 @@ BLOCK_TAGS = frozenset(
     " nav ol option p pre section select summary table tbody td tfoot th thead tr ul button iframe".split()
 )
 RAW_TAGS = frozenset("script style textarea title noscript template svg iframe object xmp".split())
+#: Of these, elements that hold markup in HTML: without an end tag only the opening tag is skipped. The others are raw text to the page's end then.
+MARKUP_TAGS = frozenset("noscript template svg object".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that ends open elements of these names, up to the nearest of the stops.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -90,7 +92,7 @@ def blocks(page: str) -> list[Block]:
             held.clear()
             links[:] = [0, 0]
 
-    at, size = 0, len(page)
+    at, size, unclosed = 0, len(page), set()
     while at < size:
         m = _MARKUP.search(page, at)
         if not m:
@@ -118,9 +120,14 @@ def blocks(page: str) -> list[Block]:
         if name in RAW_TAGS:
             if name in BLOCK_TAGS:
                 end()
-            if not (m["attrs"] or "").endswith("/"):
+            if not (m["attrs"] or "").endswith("/") and name not in unclosed:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(page, at)
-                at = stop.end() if stop else size
+                if stop:
+                    at = stop.end()
+                elif name in MARKUP_TAGS:
+                    unclosed.add(name)
+                else:
+                    at = size
             continue
         if name in BLOCK_TAGS:
             end()

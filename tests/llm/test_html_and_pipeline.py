@@ -73,3 +73,11 @@ def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicate(df).collect() if r.text) == [(1, "a b c d e f")]
     assert line_dedup.clean(df).count() == 4
+
+
+@pytest.mark.parametrize("tag", ["svg", "noscript", "template", "object"])
+def test_unclosed_element_with_markup_does_not_take_the_page(tag):
+    article = "<article><p>The first sentence, of some length, stands here.</p><p>And the second one, too.</p></article>"
+    read = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert read(f"<{tag} a=b>" + article) == read(f"<{tag}/>" * 3 + article) == read(article) != []
+    assert read(f"<{tag}><p>gone</p></{tag}>" + article) == read(article)
