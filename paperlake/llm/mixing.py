@@ -1,17 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each document of a source gets a place in a seeded shuffle; its virtual finish time is the source's running token
-count up to its end divided by the source's target. Sorted by virtual time, every prefix of the mix holds the
-sources in the wanted proportions, and cutting at the total budget gives each its target. A source that is too small
-is read again (up to ``max_repeats`` times); what it then still lacks is shared among the others by weight.
+Each document of a source gets a place in a seeded shuffle. A document is served in packets of ``PACKET`` words, and a packet's virtual finish time
+is the source's running word count up to its end divided by the source's target. The queue of all packets of all sources is sorted by virtual
+time and truncated where the total budget is used up, within a packet if need be; a source then has its target but for about a packet. A source that is
+too small is read again (up to ``max_repeats`` times); what it then still lacks is shared among the others by weight.
 
-The running counts are two-level, so a source with a third of all rows is no single task's work: the shuffle key is cut into
-4096 slices, slices are summed before the shuffle, offsets come from a prefix sum over at most 4096 slice totals a source, and
-only rows of one (source, slice) are sorted together.
+How it scales. The running counts are two-level, so a source with a third of all rows is no single task's work: the shuffle key is cut into
+4096 slices a source, slices are summed before the shuffle, and only rows of one (source, slice) are sorted together. The queue's place of truncation is found by range:
+packets are summed in narrow ranges of virtual time before the shuffle, and only the range in which the budget ends is sorted packet by packet. ``mix`` shuffles whole documents twice:
+into slices, and into ranges of virtual time. Targets are filled by rounds of one aggregation over a table of one row a source.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
-never taken; rows that repeat a doc_id are separate documents (their mutual order is that of equal rows); an empty table gives
-an empty mix. Extra columns are ignored by ``plan`` and carried by ``mix``. Reruns agree: the shuffle key is md5(seed:doc_id).
+never taken; rows that repeat a doc_id are separate documents; an empty table gives an empty mix. Extra columns are ignored by ``plan`` and carried by ``mix``.
+Reruns agree: the shuffle key is md5(seed:doc_id:text), equal keys are ordered by doc_id and size, and rows that agree in all of these are interchangeable.
 """
 
 from __future__ import annotations
@@ -19,95 +20,153 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, only
+from .common import checkpoint, n_words, only, parts
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
 MAX_REPEATS = 2
 SEED = 9
-
-
-def targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """source, source_size, target for a table with source and size: water is poured into the sources by weight until the
-    budget is used; a source is full at max_repeats times its size. One row a source, so its windows are small."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weighted = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("double"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    every = Window.partitionBy()
-    limits = (
-        weighted.withColumn("most", F.col("source_size") * max_repeats)
-        .withColumn("budget", F.sum("source_size").over(every) * budget_percent / 100)
-        .withColumn("full_before", F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("budget") - F.col("full_before")) / F.col("weight_left"))
-    )
-    first_open = F.min(F.when(F.col("level") * F.col("weight") < F.col("most"), F.col("level"))).over(every)
-    return limits.withColumn("water", first_open).select(
-        "source", "source_size", "weight",
-        F.when(F.col("water").isNull(), F.col("most").cast("double")).otherwise(F.least(F.col("most").cast("double"), F.col("water") * F.col("weight"))).alias("target"),
-    )
-
-
-def plan(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED, cut_last: bool = True) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken, virtual_finish, in order of virtual_finish.
-
-    taken: the words that the mix takes of it, repeats counted. Within a source the virtual times of the first reading end at
-    source_size / target, those of the second at twice that, and so on; all sources reach their target at virtual time 1, which
-    is therefore where the globally sorted queue has used up the budget. cut_last: the document at the cut is cut there (its
-    source then has its target to the word); otherwise it is taken whole if its middle lies before the cut.
-    """
-    rows = only(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), doc_id="long", source="string", size="long")
-    rows = rows.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("slice", F.substring("place", 1, 3))
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    before = slices.select(
-        F.col("source").alias("s_source"), F.col("slice").alias("s_slice"),
-        F.coalesce(F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-    )
-    goal = targets(slices.withColumnRenamed("slice_size", "size"), weights, budget_percent, max_repeats).withColumnRenamed("source", "t_source")
-    within = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = (
-        rows.withColumn("run", F.sum("size").over(within))
-        .join(before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
-        .join(goal, F.col("source").eqNullSafe(F.col("t_source")))
-        .withColumn("end", F.col("offset") + F.col("run"))
-    )
-    taken = F.lit(0).cast("long")
-    cut = F.floor("target").cast("long")
-    for r in range(max_repeats):
-        left = cut - r * F.col("source_size") - (F.col("end") - F.col("size"))  # words left at its start in this reading
-        part = F.greatest(F.least(left, F.col("size")), F.lit(0).cast("long"))
-        taken = taken + (part if cut_last else F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0))
-    finish = F.when(F.col("target") > 0, F.col("end") / F.col("target"))
-    out = queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"), "place", "source")
-    return out.orderBy(F.col("virtual_finish").asc_nulls_last(), "place", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "virtual_finish", "source")
-
-
-def mix(documents: DataFrame, **rules) -> DataFrame:
-    """The documents that the mix takes, whole, as often as it takes them, with their own columns. Repeats are rows."""
-    rows = documents.withColumn("__size", n_words(F.col("text"))).withColumn("__row", F.xxhash64("doc_id", "source", "text"))
-    chosen = plan(documents, cut_last=False, **rules)
-    # rows that are equal in doc_id, source and size are interchangeable: give out their readings evenly
-    times = chosen.filter("taken > 0").groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.first("size")).cast("long").alias("__times"), F.count("*").alias("__copies"))
-    times = times.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__words"), "__times")
-    order = Window.partitionBy("doc_id", "source", "__size").orderBy("__row")
-    ranked = rows.withColumn("__n", F.row_number().over(order)).withColumn("__of", F.count("*").over(Window.partitionBy("doc_id", "source", "__size")))
-    joined = ranked.join(times, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")))
-    mine = F.floor(F.col("__times") / F.col("__of")) + F.when(F.col("__n") <= F.col("__times") % F.col("__of"), 1).otherwise(0)
-    return joined.withColumn("__mine", mine.cast("int")).filter("__mine > 0").withColumn("__reading", F.explode(F.sequence(F.lit(1), F.col("__mine")))).select(*[f"`{c}`" for c in documents.columns])
-
-
+PACKET = 64
+#: Ranges of virtual time before 1, and in each doubling after it.
+RANGES = 4096
+
+
+def ranked(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """home, source, source_size, rank (by code point, null last), weight: one row a source. Sources are ordered by range and counted by partition, as they may be many."""
+    by = sizes.groupBy("home").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    dealt = checkpoint(by.repartitionByRange(parts(by), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    firsts = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    numbered = dealt.withColumn("own", own).join(F.broadcast(firsts), "part").withColumn("rank", F.col("first") + F.col("own"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    return numbered.select("home", "source", "source_size", "rank", weight.alias("weight"))
+
+
+def targets(sources: DataFrame, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, int]:
+    """(sources with target, whole words that the mix takes). The budget is shared by weight; sources above max_repeats times their size stop there and the
+    rest is shared again among the others, until none is above. A source that is full stays full, so each round is one aggregation."""
+    most = F.col("source_size") * max_repeats
+    total = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    budget, level = (total[0] or 0) * budget_percent / 100, None
+    if total[1]:
+        now = budget / total[1]
+        while now != level:
+            level = now
+            full = F.lit(level) * F.col("weight") > most
+            held, open_ = sources.agg(F.sum(F.when(full, most)), F.sum(F.when(~full, F.col("weight")))).first()
+            now = (budget - (held or 0)) / open_ if open_ else float("inf")
+    filled = F.least(most.cast("double"), F.lit(level) * F.col("weight")) if level is not None else F.lit(0.0)
+    return sources.withColumn("target", filled), min(int(budget), (total[0] or 0) * max_repeats)
+
+
+def _homes(documents: DataFrame, seed: int) -> DataFrame:
+    """The documents' columns with __home (a source's name, never null), __size, and __place and __slice in the source's shuffle."""
+    text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return documents.withColumns({
+        "__home": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")), "__size": n_words(F.col("text")), "__place": F.md5(F.concat_ws(":", F.lit(str(seed)), doc, text)),
+    }).withColumn("__slice", F.substring("__place", 1, 3))
+
+
+class Queue:
+    """The sources' targets and the place where the queue is truncated. ``slices``: a small table of offset, rank, target, source_size for each (home, slice);
+    ``cut``: virtual time, rank, end and words taken of the packet in which the budget ends, None if nothing is taken."""
+
+    def __init__(self, documents: DataFrame, weights, budget_percent: int, max_repeats: int, seed: int):
+        self.repeats = max_repeats
+        homes = _homes(only(documents, doc_id="long", source="string", text="string"), seed)
+        self.rows = checkpoint(homes.select("doc_id", "source", F.col("__home").alias("home"), F.col("__size").alias("size"), F.col("__place").alias("place"), F.col("__slice").alias("slice")))
+        sums = checkpoint(self.rows.groupBy("home", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("size")))
+        goals, budget = targets(ranked(sums, weights), budget_percent, max_repeats)
+        before = Window.partitionBy("home").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select("home", "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+        self.slices = checkpoint(offsets.join(goals, "home").select("home", "slice", "offset", "rank", "target", "source_size"))
+        self.placed = checkpoint(self.place(self.rows, "home", "slice", "place", "doc_id", "size"))
+        self.cut = self._truncate(budget)
+
+    def place(self, rows: DataFrame, home: str, slice_: str, place: str, doc_id: str, size: str) -> DataFrame:
+        """The rows with rank, target, source_size, and end: the source's running count of words up to the row's end."""
+        within = Window.partitionBy(home, slice_).orderBy(place, doc_id, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = rows.withColumn("__run", F.sum(size).over(within))
+        s = self.slices.select(F.col("home").alias("__h"), F.col("slice").alias("__s"), F.col("offset").alias("__offset"), F.col("rank").alias("__rank"), F.col("target").alias("__target"), F.col("source_size").alias("__source_size"))
+        return run.join(s, (F.col(home) == F.col("__h")) & (F.col(slice_) == F.col("__s"))).withColumn("__end", F.col("__offset") + F.col("__run")).drop("__h", "__s", "__run", "__offset")
+
+    def _truncate(self, budget: int) -> tuple[float, int, int, int] | None:
+        open_ = self.placed.filter("size > 0 AND __target > 0")
+        reading = open_.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(self.repeats - 1)))).withColumn("start", F.col("r") * F.col("__source_size") + F.col("__end") - F.col("size"))
+        cutting = reading.withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long"))))
+        n = F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("own"))
+        packets = cutting.select(F.col("__rank").alias("rank"), n.alias("n"), (F.col("start") + F.col("own") + n).alias("end"), "__target").withColumn("finish", F.col("end") / F.col("__target"))
+        packets = packets.withColumn("range", F.when(F.col("finish") < 1, F.floor(F.col("finish") * RANGES)).otherwise(RANGES + F.floor(F.log2("finish") * RANGES)))
+        upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most some thousands of ranges
+        reached = packets.groupBy("range").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") >= budget).orderBy("range").first()
+        if not reached or not budget:
+            return None
+        order = Window.orderBy("finish", "rank", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # packets of one range
+        last = packets.filter(F.col("range") == reached.range).withColumn("upto", F.sum("n").over(order) + (reached.upto - reached.n)).filter(F.col("upto") >= budget).orderBy("finish", "rank", "end").first()
+        return last.finish, last.rank, last.end, budget - (last.upto - last.n)
+
+    def served(self, end, n) -> F.Column:
+        """Words of a packet (n words up to the source's end-th) that lie before the truncation."""
+        finish, rank, at, words = self.cut
+        f, r = end / F.col("__target"), F.col("__rank")
+        here = (f == finish) & (r == rank)
+        return F.when((f < finish) | (f == finish) & (r < rank) | here & (end < at), n).when(here & (end == at), F.lit(words).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    def taken(self, size) -> F.Column:
+        """Words of a placed row that the truncated queue holds. Only a document in service at the truncation is looked at packet by packet."""
+        total = nothing = F.lit(0).cast("long")
+        for r in range(self.repeats if self.cut else 0):
+            total = total + F.when((size > 0) & (F.col("__target") > 0), self._of_reading(r * F.col("__source_size") + F.col("__end") - size, size)).otherwise(nothing)
+        return total
+
+    def _of_reading(self, start, size) -> F.Column:
+        step = F.lit(PACKET).cast("long")
+        packet = lambda own: self.served(start + own + F.least(step, size - own), F.least(step, size - own))
+        each = F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1, step), F.lit(0).cast("long"), lambda a, own: a + packet(own))
+        before, after = (start + size) / F.col("__target") < self.cut[0], start / F.col("__target") > self.cut[0]
+        return F.when(before, size).when(after, F.lit(0).cast("long")).otherwise(each)
+
+
+def plan(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken (the words that the mix takes of it, repeats counted), virtual_finish (of its first reading)."""
+    q = Queue(documents, weights, budget_percent, max_repeats, seed)
+    finish = F.when(F.col("__target") > 0, F.col("__end") / F.col("__target"))
+    return q.placed.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), q.taken(F.col("size")).alias("taken"), finish.alias("virtual_finish"))
+
+
+def mix(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, whole, in order of virtual finish time, with their own columns; repeats are rows. A document is in it once for each reading
+    whose middle lies before the queue's truncation."""
+    q = Queue(documents, weights, budget_percent, max_repeats, seed)
+    if not q.cut:
+        return documents.filter(F.lit(False))
+    placed = q.place(_homes(documents, seed), "__home", "__slice", "__place", "doc_id", "__size")
+    start = [r * F.col("__source_size") + F.col("__end") - F.col("__size") for r in range(max_repeats)]
+    times = F.array(*[F.when((F.col("__size") > 0) & (F.col("__target") > 0) & ((s + F.col("__size") / 2) / F.col("__target") < q.cut[0]), (s + F.col("__size")) / F.col("__target")) for s in start])
+    read = placed.withColumn("__finish", F.explode(F.array_compact(times)))
+    # the sources' words are spread evenly over virtual time, so equal ranges of it hold equal shares
+    n = parts(documents)
+    ranges = read.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("__finish") / q.cut[0] * n)).cast("int"))
+    return ranges.sortWithinPartitions("__finish", "__rank", "__end").select(*[f"`{c}`" for c in documents.columns])
+
+
+#: Written apart from the code above: the refill runs to its end by recursion, and all packets of all documents stand in one queue.
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('9:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
-w AS (SELECT *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2 AS most, (SELECT sum(source_size) FROM s) * 150 / 100 AS budget FROM r),
-l AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-   / sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, coalesce(least(most::DOUBLE, weight * (SELECT min(level) FROM l WHERE level * weight < most)), most::DOUBLE) AS target FROM l),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS cut,
-   sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS fin FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(least(cut - (fin - size), size), 0) + greatest(least(cut - source_size - (fin - size), size), 0))::BIGINT AS taken FROM q
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('9:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST))::BIGINT AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 1 THEN 5.0 WHEN 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, (SELECT sum(source_size) FROM s)::BIGINT * 150 / 100 AS budget FROM s),
+refill AS (
+  SELECT 0 AS round, max(budget)::DOUBLE / sum(weight) AS share FROM w
+  UNION ALL
+  SELECT f.round + 1, (SELECT (max(budget)::DOUBLE - coalesce(sum(2 * source_size) FILTER (f.share * weight > 2 * source_size), 0)) / sum(weight) FILTER (NOT f.share * weight > 2 * source_size) FROM w)
+  FROM refill f WHERE EXISTS (SELECT 1 FROM w WHERE f.share * weight > 2 * source_size) AND f.round <= (SELECT count(*) FROM w)),
+t AS (SELECT *, least(2.0 * source_size, (SELECT arg_max(share, round) FROM refill) * weight)::DOUBLE AS target FROM w),
+o AS (SELECT row_number() OVER () AS id, d.doc_id, size, place, t.source_size, target, rank, floor(budget)::BIGINT AS budget,
+  (sum(size) OVER (PARTITION BY rank ORDER BY place, d.doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+packets AS (SELECT id, rank, budget, least(64, size - own)::BIGINT AS n, (reading * source_size + start + own + least(64, size - own))::BIGINT AS fin, target
+  FROM (SELECT *, unnest(generate_series(0, size - 1, 64)) AS own FROM o CROSS JOIN (VALUES (0), (1)) AS readings(reading) WHERE size > 0 AND target > 0)),
+queue AS (SELECT id, n, budget, sum(n) OVER (ORDER BY fin::DOUBLE / target, rank, fin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM packets),
+got AS (SELECT id, sum(greatest(least(n, budget - (upto - n)), 0))::BIGINT AS taken FROM queue GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN got USING (id)
 """

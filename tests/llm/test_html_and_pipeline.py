@@ -5,9 +5,10 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from paperlake.llm import html_extract, line_dedup, mixing, simhash, toxicity
+from paperlake.llm import html_extract, line_dedup, simhash, toxicity
 from tests.llm.test_corpus_operators import brute_fingerprint, words_of
 from tests.llm.test_line_dedup import brute
+from tests.llm.test_mixing import brute as mixing_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,7 +49,7 @@ def test_pipeline_stages(spark):
     verdict = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     clean = corpus_pipeline.drop_toxic(spark, docs, SF).cache()
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {d for d in rows if not verdict[d]}
-    removed = brute([(r.doc_id, r.text) for r in clean.collect()])
+    removed = brute([(r.doc_id, r.text) for r in clean.collect()], short_lines=True)
     lines = corpus_pipeline.drop_lines(spark, clean, SF).cache()
     want = {r.doc_id: "\n".join(x for n, x in enumerate(r.text.split("\n")) if n not in removed.get(r.doc_id, [])) for r in clean.collect()}
     want = {d: t for d, t in want.items() if d not in removed or words_of(t)}
@@ -63,10 +64,16 @@ def test_pipeline_stages(spark):
     one = corpus_pipeline.drop_near_duplicates(spark, lines, SF).cache()
     assert one.columns == columns and sorted(r.doc_id for r in one.collect()) == sorted(d for d in root if root[d] == d)
     mixed = corpus_pipeline.mix_sources(spark, one, SF).cache()
-    taken = {r.doc_id: r.taken // r["size"] for r in mixing.plan(one, cut_last=False).collect() if r.taken}
-    assert mixed.columns == columns and Counter(r.doc_id for r in mixed.collect()) == taken
+    size, _, target, total = mixing_brute([(r.doc_id, r.text, r.source) for r in one.collect()])
+    taken, words = Counter(), Counter()
+    for r in mixed.collect():
+        taken[r.doc_id] += 1
+        words[r.source] += len(words_of(r.text))
+        assert r.text == want[r.doc_id]
+    assert mixed.columns == columns and taken and max(taken.values()) <= 2
+    assert all(abs(words[s] - target[s]) <= max(size) for s in total) and abs(sum(words.values()) - 1.5 * sum(size)) < 0.1 * sum(size)
     packed = corpus_pipeline.pack_sequences(spark, mixed, SF).collect()
-    assert Counter(r.doc_id for r in packed if r.start == 0) == taken
+    assert packed and Counter(r.doc_id for r in packed if r.start == 0) == taken
 
 
 def test_repeated_rows_leave_one(spark):

@@ -13,14 +13,14 @@ def shingles(line):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute(rows):
+def brute(rows, short_lines=False):
     seen, removed = [], {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for n, line in enumerate((text or "").split("\n")):
             s = shingles(line)
-            if not s:
+            if not s and not (short_lines and line.split()):
                 continue
-            if any(line.split() == o.split() or 5 * len(s & t) >= 4 * len(s | t) for o, t in seen):
+            if any(line.split() == o.split() or (s and 5 * len(s & t) >= 4 * len(s | t)) for o, t in seen):
                 removed.setdefault(doc, []).append(n)
             seen.append((line, s))
     return removed
