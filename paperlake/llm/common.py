@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that the session names; a folder of our own only where none is set."""
+    """Cut the lineage through the shared folder that the session names. Where none is set, a folder of our own serves a local session; on a
+    cluster it would be lost with its executor, so there it is an error."""
     context = df.sparkSession.sparkContext
     if not (context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="paperlake-"))
     return df.checkpoint(eager=True)
 
