@@ -1,11 +1,12 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches, in DataFrame operations only.
 
-Text measures are computed per document; for each (lang, source) and measure a sketch is kept: counts in bins of an integer
-scale whose bins double every 32 steps (each bin at most 1/32 wide relative to its values). Such sketches merge by
+Text measures are computed per document, once, and kept as narrow rows. For each (lang, source) and measure a sketch of the documents that pass the base rules
+is kept: counts in bins of an integer scale whose bins double every 32 steps (each bin at most 1/32 wide relative to its values). Such sketches merge by
 adding counts, so they are built by a partial aggregation before the shuffle, a hot source is no single task's work, and the
-result does not depend on the order of merging. From the quartiles of its sketch each group gets its own fences;
-a document fails if a measure lies beyond its group's fence. Fences are no tighter than a floor for what is harmless in any corpus (``LEAST``),
-so a sketch can only loosen a fixed cutoff; on sf0.1 every fence is its floor (README).
+result does not depend on the order of merging. From its sketches each group gets its own fences: the quartiles, and beyond them ``REACH`` times the spread between them.
+A measure that is nearly constant in a group has no spread of its own; there the spread is what one occurrence (for repeated words, one window) makes
+in a document of the group's median length. A group of fewer than ``LEAST_ROWS`` documents takes the fences of its language's merged sketch, or, if that is too small as well, of all documents'.
+A document fails if a measure lies beyond its group's fence.
 
 Defined results: a null or empty text has no words and fails the base rules; null lang and source are groups of their own;
 repeated rows count as rows; an empty table gives an empty result; extra columns are ignored.
@@ -16,17 +17,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, only
+from .common import checkpoint, only
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
-#: Interquartile ranges beyond the quartiles at which a fence stands.
-REACH = 4
-#: measure: (fence below, fence above at least), in thousandths; None: no fence on that side.
-LEAST = {"symbols": (None, 150), "dup_lines": (None, 300), "repeats": (None, 200), "word_length": (2000, 15000)}
+#: Spreads beyond the quartiles at which a fence stands.
+REACH = 6
+#: Rows of a group below which its sketch is merged into a larger one.
+LEAST_ROWS = 30
+#: measure: (what is counted, in units of what, whether too little fails as well). Fences have these; the sketches also the two lengths.
+FENCED = {"symbols": (1, "words", False), "dup_lines": (1, "lines", False), "repeats": (WINDOW, "words", False), "word_length": (1, "words", True)}
 
 
 def measures(documents: DataFrame) -> DataFrame:
@@ -57,12 +60,13 @@ def measures(documents: DataFrame) -> DataFrame:
     )
     docs = docs.withColumn("again", F.array_sort(again))
     covered = F.aggregate(F.transform(F.col("again"), lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("again"), k + 1) - i, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return docs.select(
+    found = docs.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    return checkpoint(found)  # narrow, read twice; and what is built on it can't be merged into the expressions above
 
 
 def base_failed() -> F.Column:
@@ -82,37 +86,47 @@ def bin_of(v) -> F.Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, measure, bin, count: one mergeable quantile sketch for each group and measure."""
-    r = ratios()
-    long = measured.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bin_of(v).alias("bin")) for k, v in r.items()])).alias("m"))
+    """lang, source, measure, bin, n: one mergeable quantile sketch for each group and measure, of the documents that pass the base rules."""
+    sketched = ratios() | {"words": F.col("n_words"), "lines": F.col("n_lines")}
+    long = measured.filter(~base_failed()).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bin_of(v).alias("bin")) for k, v in sketched.items()])).alias("m"))
     return long.groupBy("lang", "source", F.col("m.measure").alias("measure"), F.col("m.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source, and a low and a high fence for each measure, read off the sketch's quartiles."""
-    group = Window.partitionBy("lang", "source", "measure")
-    run = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
-    q = run.groupBy("lang", "source", "measure").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bin"))).alias("q3")
-    )
+def fences(sketch: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """The group's columns, rows, and a low and a high fence for each measure, read off the group's merged sketch."""
+    merged = sketch.groupBy(*group, "measure", "bin").agg(F.sum("n").alias("n"))
+    per = Window.partitionBy(*group, "measure")
+    run = merged.withColumn("upto", F.sum("n").over(per.orderBy("bin"))).withColumn("rows", F.sum("n").over(per))
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * k, F.col("bin"))).alias(f"q{k}")
+    q = run.groupBy(*group, "measure").agg(F.first("rows").alias("rows"), *map(quartile, (1, 2, 3)))
+    at = lambda c, k: F.max(F.when(F.col("measure") == k, F.col(c)))
+    wide = q.groupBy(*group).agg(F.max("rows").alias("rows"), *[at(f"q{n}", k).alias(f"q{n}_{k}") for k in (*FENCED, "words", "lines") for n in (1, 2, 3)])
     out = []
-    for k, (low, high) in LEAST.items():
-        at = lambda c, k=k: F.max(F.when(F.col("measure") == k, F.col(c)))
-        if low is not None:
-            out.append(F.least(at("q1") - REACH * (at("q3") - at("q1")), F.lit(low)).alias(f"low_{k}"))
-        out.append(F.greatest(at("q3") + REACH * (at("q3") - at("q1")), F.lit(high)).alias(f"high_{k}"))
-    return q.groupBy("lang", "source").agg(*out).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    for k, (counted, unit, both) in FENCED.items():
+        one = F.floor(F.lit(1000 * counted) / F.greatest(F.col(f"q2_{unit}"), F.lit(1)))
+        reach = REACH * F.greatest(F.col(f"q3_{k}") - F.col(f"q1_{k}"), one)
+        out += [(F.col(f"q3_{k}") + reach).alias(f"high_{k}")] + [(F.col(f"q1_{k}") - reach).alias(f"low_{k}")] * both
+    return wide.select(*group, "rows", *out)
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """f_lang, f_source and the fences of every group: its own, or those of the least merged sketch with rows enough."""
+    own, lang = fences(sketch, ("lang", "source")), fences(sketch, ("lang",))
+    every = fences(sketch, ()).first()  # some ten numbers
+    names = [c for c in own.columns if c not in ("lang", "source", "rows")]
+    lang = lang.select(*[F.col(c).alias(f"{c}_of_lang") for c in ("lang", "rows", *names)])
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_of_lang")))
+    best = [F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("rows_of_lang") >= LEAST_ROWS, F.col(f"{c}_of_lang")).otherwise(F.lit(every[c])).alias(c) for c in names]
+    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *best)
 
 
 def judge(documents: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed, kept (false if base_failed, else within all fences of its lang and source)."""
     measured = measures(documents)
-    limits = fences(sketches(measured))
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    joined = measured.join(limits(sketches(measured)), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     inside = F.lit(True)
     for k, v in ratios().items():
-        low, _ = LEAST[k]
-        inside = inside & (v <= F.col(f"high_{k}")) & (v >= F.col(f"low_{k}") if low is not None else F.lit(True))
+        inside = inside & (v <= F.col(f"high_{k}")) & (v >= F.col(f"low_{k}") if FENCED[k][2] else F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
 
 
@@ -135,16 +149,18 @@ m AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(regex
    FROM w LEFT JOIN lines ON w.doc_id IS NOT DISTINCT FROM lines.doc_id LEFT JOIN rep ON w.doc_id IS NOT DISTINCT FROM rep.doc_id),
 r AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines,
    CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeats, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_length FROM m),
-x AS (SELECT lang, source, 'symbols' AS measure, symbols AS v FROM r UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM r
-   UNION ALL SELECT lang, source, 'repeats', repeats FROM r UNION ALL SELECT lang, source, 'word_length', word_length FROM r),
-k AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v // (1::BIGINT << (length(bin(v)) - 6)::INT)) * (1::BIGINT << (length(bin(v)) - 6)::INT) END AS bin, count(*) AS n FROM x GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM k),
-q AS (SELECT lang, source, measure, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 3) AS q3 FROM c GROUP BY ALL),
-f AS (SELECT lang, source, greatest(max(q3 + 4 * (q3 - q1)) FILTER (measure = 'symbols'), 150) AS hs, greatest(max(q3 + 4 * (q3 - q1)) FILTER (measure = 'dup_lines'), 300) AS hd,
-   greatest(max(q3 + 4 * (q3 - q1)) FILTER (measure = 'repeats'), 200) AS hr, greatest(max(q3 + 4 * (q3 - q1)) FILTER (measure = 'word_length'), 15000) AS hw,
-   least(max(q1 - 4 * (q3 - q1)) FILTER (measure = 'word_length'), 2000) AS lw FROM q GROUP BY ALL),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r),
+x AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length', 'words', 'lines']) AS measure, unnest([symbols, dup_lines, repeats, word_length, n_words, n_lines]) AS v FROM b WHERE NOT base_failed),
+k AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v // (1::BIGINT << (length(bin(v)) - 6)::INT)) * (1::BIGINT << (length(bin(v)) - 6)::INT) END AS bin FROM x),
+levels AS (SELECT 0 AS level, * FROM k UNION ALL SELECT 1, lang, NULL, measure, bin FROM k UNION ALL SELECT 2, NULL, NULL, measure, bin FROM k),
+q AS (SELECT level, lang, source, measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM levels GROUP BY ALL),
+u AS (SELECT a.*, 6 * greatest(a.q3 - a.q1, (CASE WHEN a.measure = 'repeats' THEN 5000 ELSE 1000 END) // greatest(c.q2, 1)) AS reach FROM q a JOIN q c ON a.level = c.level AND a.lang IS NOT DISTINCT FROM c.lang
+   AND a.source IS NOT DISTINCT FROM c.source AND c.measure = CASE WHEN a.measure = 'dup_lines' THEN 'lines' ELSE 'words' END),
+f AS (SELECT level, lang, source, max(n) AS n, max(q3 + reach) FILTER (measure = 'symbols') AS hs, max(q3 + reach) FILTER (measure = 'dup_lines') AS hd,
+   max(q3 + reach) FILTER (measure = 'repeats') AS hr, max(q3 + reach) FILTER (measure = 'word_length') AS hw, max(q1 - reach) FILTER (measure = 'word_length') AS lw FROM u GROUP BY ALL),
+best AS (SELECT b.*, level, hs, hd, hr, hw, lw, row_number() OVER (PARTITION BY b.doc_id, b.lang, b.source ORDER BY level) AS choice
+  FROM b LEFT JOIN f ON (level = 2 OR b.lang IS NOT DISTINCT FROM f.lang AND (level = 1 OR b.source IS NOT DISTINCT FROM f.source)) AND (level = 2 OR f.n >= 30))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND symbols <= hs AND dup_lines <= hd AND repeats <= hr AND word_length <= hw AND word_length >= lw AS kept
-FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
+FROM best WHERE choice = 1
 """
