@@ -8,8 +8,8 @@ number of small rows however large the input, and a shard of thousands of tails
 Token ids never leave the task that made them unless ``with_ids`` asks for them: a piece travels as its place, length and checksum.
 
 Words repeat, so ids are looked up by word: the byte-level vocabulary's pre-tokeniser never joins what stands on either side of a single space or line feed
-between two other characters, so a text split there has the ids of its parts one after another. Texts with any other white space, and
-texts with the end marker's own string, are encoded in one piece. The lookup holds ``MEMO`` words at most.
+between two other characters, so a text split there has the ids of its parts one after another. Texts with any other white space (of whatever kind, or two beside each other, or at an end), and
+texts with the end marker's own string, go to the tokenizers library whole. The lookup holds ``MEMO`` words at most.
 
 Defined results: a null or empty text is the single end id; repeated rows are packed each for itself; an empty table gives no piece; extra columns are ignored.
 """
@@ -17,6 +17,7 @@ Defined results: a null or empty text is the single end id; repeated rows are pa
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ MARKS = ".,;:!?)\""
 #: The byte-level vocabulary's public pre-tokeniser.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
+#: White space that isn't one blank or line feed between two other characters.
+_ODD = re.compile(r"[^\S \n]|[ \n](?=[ \n])|\A[ \n]|[ \n]\Z")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long"
 
@@ -50,7 +53,7 @@ def tokenizer_path() -> str:
 class Encoder(dict):
     """Text to little-endian 32-bit ids; as a dict, a word after a space to its ids.
 
-    The tokenizers library encodes what needs its special-token rules. All other text goes through a table of merge ranks made from the same
+    The tokenizers library encodes texts with its special token or with unusual white space. All other text goes through a table of merge ranks made from the same
     file's vocabulary, which gives the same ids several times faster (a byte-level vocabulary numbers its tokens in merge order; tests hold
     the two against each other).
     """
@@ -74,7 +77,7 @@ class Encoder(dict):
         self.starts, self.tails, self.newline = {}, {}, self.plain("\n")
 
     def plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.fast(text)).tobytes()
+        return array("I", self.fast(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.looked_up(word, " ", self)
@@ -102,8 +105,8 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if SPECIAL in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self.plain(text)
+        if SPECIAL in text or not text or _ODD.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         find = self.__getitem__
         return self.newline.join([self.start(w[0]) + b"".join(map(find, w[1:])) for w in (x.split(" ") for x in text.split("\n"))])
 
@@ -167,7 +170,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 def pieces(documents: DataFrame, path: str, shards: int, window: int = WINDOW, end_id: int | None = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each full window and tail of each document's ids: PIECES, and ids if wanted."""
-    rows = only(documents, doc_id="long", text="string").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("long"))
+    rows = only(documents, doc_id="long", text="string").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(shards)).cast("long"))
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard"] + ["ids"] * with_ids
     kinds = [pa.int64()] * 6 + [pa.binary()] * with_ids

@@ -97,6 +97,25 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_equals_the_tokenizer_on_mixed_texts():
+    """All kinds of white space, marks, letters of many scripts, contractions and the end marker, in random mixes; and every letter there is."""
+    e, rng = packing.encoder(packing.tokenizer_path()), random.Random(17)
+    ids = lambda t: np.frombuffer(e.encode(t), "<u4").tolist()
+    want = lambda t: e.tokenizer.encode(t, add_special_tokens=False).ids
+    spaces = [" "] * 20 + ["\n"] * 6 + ["  ", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff", "\x00"]
+    atoms = ["word", "the", "don't", "it's", "IT'S", "we'll", "'s", "\u2019s", "x.", "y,", '"z")', "...", "12", "3.5", "a1", "\u0663", "\u65e5", "\u8a9e", "\u00e9t\u00e9", "e\u0301", "\u00b2", "\u0bbe", "\U0001f600", "\U0001f468\u200d\U0001f469", "#", "$5", "\u017f", "\u0130", "\U0001d400", "-", "_", "<|endoftext|>", "<|end", "\ue000", "\U000e0001", "\U00031350"]
+    for k in range(10_000):
+        plain = k % 2
+        text = "".join(rng.choice(atoms[:-6] if plain else atoms) + (rng.choice(spaces[:26]) if plain else rng.choice(["", *spaces])) for _ in range(rng.randrange(0, 14)))
+        if plain:
+            text = text.rstrip()
+        assert ids(text) == want(text), repr(text)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    for k in range(0, len(letters), 1000):
+        text = " ".join(f"{c} a{c}b {c}, x{c}y." for c in letters[k : k + 1000])
+        assert ids(text) == want(text), k
+
+
 def test_best_fit_decreasing_is_tight():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 2048, 3000)
