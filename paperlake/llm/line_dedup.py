@@ -1,15 +1,17 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are the hashes of its 5-word shingles. A line is removed if an earlier line (by doc_id, then text key, then line number) equals it or has a Jaccard
-ratio of at least 4/5 with it. Equal lines are found by their hash. For the rest, tokens are ordered by rarity, and lines meet where
+A line's tokens are the hashes of its 5-word shingles. A line is removed if an earlier line (by doc_id, then text key, then line number) has the same words or a Jaccard
+ratio of at least 4/5 with it. Lines of the same words, however few, are found by their hash. For the rest, tokens are ordered by rarity, and lines meet where
 their prefixes share a token and the length and positional filters allow the ratio; then the ratio is verified on whole token sets.
 
 Rarity comes from a frequency sketch of fixed size (2^20 counters, summed over all lines): it only orders tokens, so its collisions cost
-time, never results. Prefix entries travel in packed blocks, one a bucket of tokens. Runs of few lines give candidate pairs; from a
+time, never results. Prefix entries travel in packed blocks, one a bucket of tokens, with as many buckets as keep each small. Runs of few lines give candidate pairs; of a
 longer run (``RUN``) only membership is passed on, and its lines are verified where they meet, earliest mates first: no group emits its pairs.
+A run longer than ``TILE`` is dealt to pairs of tiles, each of which meets in a task of its own; a token too frequent even to gather its entries (``WIDE``) is
+dealt so before they meet. A line that very many documents hold is marked by a broadcast of such lines (at most eight a partition, by a count), the others by a shuffle.
 
-Defined results: a line of one to four words has no shingle; with ``short_lines`` (as op7 and the pipeline run it) it goes if an earlier line has the same
-words, without it such lines are kept. Lines without a word are kept, as are null and empty texts; documents that agree in doc_id and text
+Defined results: a line of one to four words has no shingle and goes only if an earlier line has the same
+words. Lines without a word are kept, as are null and empty texts; documents that agree in doc_id and text
 are one (their rows come out alike); a line's first occurrence stays unless it is near an earlier line, so a document may lose lines to itself; an
 empty table gives an empty result; extra columns are carried by ``clean`` and ignored otherwise.
 """
@@ -31,7 +33,10 @@ OVER, UNDER = 4, 5
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
 RUN = 32
-WORDS_AT_ONCE = 400_000
+TILE = 2048
+WIDE = 1 << 22
+#: Prefix entries in a bucket, about, and bytes of text taken at a time.
+BUCKET, BYTES_AT_ONCE = 400_000, 1_200_000
 _ENTRY = np.dtype([("token", "<u8"), ("line", "<i8"), ("size", "<u2"), ("place", "<u2")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,14 +102,14 @@ class Lines:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches whose second column holds about WORDS_AT_ONCE words of text."""
+    """Slices of batches whose second column holds about BYTES_AT_ONCE of text."""
     for b in batches:
         at, held, size = 0, [], 0
         for k in range(b.num_rows):
             text = b.column(1)[k].as_py() or b""
             held.append(text)
             size += len(text)
-            if size > 6 * WORDS_AT_ONCE:
+            if size > BYTES_AT_ONCE:
                 yield b.slice(at, k + 1 - at), held
                 at, held, size = k + 1, [], 0
         if held:
@@ -115,14 +120,14 @@ def _texts(documents: DataFrame) -> DataFrame:
     return only(documents, doc_id="long", text="string").select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("key"))
 
 
-def survey(documents: DataFrame, short_lines: bool = False) -> DataFrame:
+def survey(documents: DataFrame) -> DataFrame:
     """In one pass, a row for each line (doc_id, key, number, line) and, with a chunk number, rows of the frequency sketch."""
     names = ["doc_id", "key", "number", "line", "chunk", "counts"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for b, texts in runs(batches):
-            found = Lines(texts, 1 if short_lines else SHINGLE)
+            found = Lines(texts, 1)
             counts += np.bincount((found.token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             n = len(found.doc)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found.doc)), b.column(2).take(pa.array(found.doc)), pa.array(found.number), pa.array(found.hash), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
@@ -134,18 +139,19 @@ def survey(documents: DataFrame, short_lines: bool = False) -> DataFrame:
     return _texts(documents).mapInArrow(make, "doc_id long, key long, number long, line long, chunk long, counts binary")
 
 
-def frequencies(surveyed: DataFrame) -> np.ndarray:
-    """The sketch, summed: one byte a counter, its rank on a scale of quarter doublings. 2^20 bytes whatever the input."""
+def frequencies(surveyed: DataFrame) -> tuple[np.ndarray, int]:
+    """The sketch, summed: one byte a counter, its rank on a scale of quarter doublings (2^20 bytes whatever the input); and the number of tokens."""
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in t["counts"])
         level = np.minimum(255, np.round(4 * np.log2(1 + total))).astype(np.uint8)
-        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([level.tobytes()], pa.binary())})
+        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([level.tobytes()], pa.binary()), "total": [int(total.sum())]})
 
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
-    for r in surveyed.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect():
+    out, tokens = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8), 0
+    for r in surveyed.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary, total long").collect():
         out[r.chunk] = np.frombuffer(r.counts, np.uint8)
-    return out.reshape(-1)
+        tokens += r.total
+    return out.reshape(-1), tokens
 
 
 def ordered(token: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +163,19 @@ def ordered(token: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.
     return token[new], line[new]
 
 
-def prefix_entries(documents: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
+def to_tile_pairs(token: np.ndarray, line: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token of a tile pair, place of its member) so that any two lines of a token meet in at least one of its tile pairs, and none holds over two tiles."""
+    at = np.repeat(np.arange(len(token)), tiles)
+    mate = (np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)).astype(np.uint64)
+    own = mixed(line.view(np.uint64) + _ODD)[at] % tiles[at].astype(np.uint64)
+    pair = np.minimum(own, mate) * tiles[at].astype(np.uint64) + np.maximum(own, mate)
+    return mixed(token.view(np.uint64)[at] + mixed(pair + _ODD)), at
+
+
+def prefix_entries(documents: DataFrame, level: np.ndarray, buckets: int, wide: int = WIDE) -> DataFrame:
     """bucket, entries: packed prefix entries of every line (of equal lines in a task, once)."""
     shared = documents.sparkSession.sparkContext.broadcast(level)
+    tiles_of = np.ceil(2.0 ** (np.arange(256) / 4) / wide).astype(np.int64)  # by level; 1 but for very frequent tokens
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -178,9 +194,14 @@ def prefix_entries(documents: DataFrame, level: np.ndarray, buckets: int) -> Dat
             e = np.zeros(int(use.sum()), _ENTRY)
             e["token"], e["line"] = token[use], found.hash[line[use]]
             e["size"], e["place"] = np.minimum(n[line[use]], 65535), np.minimum(place[use], 65535)
+            tiles = tiles_of[shared.value[(e["token"] & np.uint64(COUNTERS - 1)).astype(np.int64)]]
+            if len(e) and tiles.max() > 1:
+                to, at = to_tile_pairs(e["token"], e["line"], tiles)
+                e = e[at]
+                e["token"] = to
             held.append(e)
             size += len(e)
-            if size > 1_000_000:
+            if size > BUCKET:
                 yield from deal(held)
                 held, size = [], 0
         yield from deal(held)
@@ -219,11 +240,16 @@ def meetings(e: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.
     return p[0], p[1], e["token"][long].view(np.int64), e["line"][long]
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """x, y for candidate pairs; token, x for members of long runs."""
+def candidates(entries: DataFrame, run: int = RUN, tile: int = TILE) -> DataFrame:
+    """x, y for candidate pairs; token, x for members of long runs (or of a tile pair of one)."""
 
     def meet(t: pa.Table) -> pa.Table:
-        x, y, token, line = meetings(np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in t["entries"]]))
+        x, y, token, line = meetings(np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in t["entries"]]), run)
+        _, of, size = np.unique(token, return_inverse=True, return_counts=True)
+        tiles = -(-size // tile)[of] if len(token) else np.zeros(0, np.int64)
+        if len(token) and tiles.max() > 1:
+            to, at = to_tile_pairs(token, line, tiles)
+            token, line = np.where(tiles[at] > 1, to.view(np.int64), token[at]), line[at]
         none = lambda n: pa.nulls(n, pa.int64())
         return pa.table({"token": pa.concat_arrays([none(len(x)), pa.array(token)]), "x": np.concatenate((x, line)), "y": pa.concat_arrays([pa.array(y), none(len(token))])})
 
@@ -269,13 +295,15 @@ def near_earlier(sets: list[np.ndarray]) -> list[int]:
     return out
 
 
-def removed_lines(documents: DataFrame, short_lines: bool = False) -> DataFrame:
+def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide: int = WIDE) -> DataFrame:
     """doc_id, key, number, near for every line to remove; near: not for an equal line alone."""
-    surveyed = checkpoint(survey(documents, short_lines))
+    surveyed = checkpoint(survey(documents))
     lines = surveyed.filter("chunk is null").select("doc_id", "key", "number", "line")
     place = F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "key", "number")
     first = lines.groupBy("line").agg(F.min(place).alias("first"))
-    met = checkpoint(candidates(prefix_entries(documents, frequencies(surveyed), 4 * parts(documents))).distinct())
+    level, tokens = frequencies(surveyed)
+    buckets = max(4 * parts(documents), tokens // (4 * BUCKET))  # a prefix is about a fifth of a line's tokens
+    met = checkpoint(candidates(prefix_entries(documents, level, buckets, wide), run, tile).distinct())
     pairs, members = met.filter("token is null").select("x", "y"), met.filter("token is not null").select("token", F.col("x").alias("line"))
     wanted = met.select(F.col("x").alias("line")).unionByName(met.filter("y is not null").select(F.col("y").alias("line"))).distinct()
     at = first.join(wanted, "line").select("line", "first", "first.doc_id", "first.key", "first.number")
@@ -302,27 +330,31 @@ def removed_lines(documents: DataFrame, short_lines: bool = False) -> DataFrame:
         yield done()
 
     lost = lost.unionByName(grouped.mapInArrow(verify, "line long")).distinct().withColumn("near", F.lit(True))
-    judged = lines.join(first, "line").join(lost, "line", "left")
+    common = max(64, lines.count() // (8 * parts(lines)))
+    many = checkpoint(lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter(F.col("n") > common).drop("n").join(lost, "line", "left"))
+    hot = lines.join(F.broadcast(many), "line")
+    cold = lines.join(F.broadcast(many.select("line")), "line", "left_anti").join(first, "line").join(lost, "line", "left").select(hot.columns)
+    judged = hot.unionByName(cold)
     return judged.filter(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "key", "number", F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 
-def _per_document(documents: DataFrame, short_lines: bool) -> DataFrame:
-    gone = removed_lines(documents, short_lines)
+def _per_document(documents: DataFrame) -> DataFrame:
+    gone = removed_lines(documents)
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("number")).alias("removed"), F.count_if("near").alias("n_near")).withColumnsRenamed({"doc_id": "__doc", "key": "__key", "removed": "__removed", "n_near": "__near"})
 
 
-def summary(documents: DataFrame, short_lines: bool = False) -> DataFrame:
+def summary(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near, removed (line numbers from 0, comma-joined) for each row."""
     rows = only(documents, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = rows.join(_per_document(documents, short_lines), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
+    out = rows.join(_per_document(documents), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
     removed = F.coalesce("__removed", F.array().cast("array<long>"))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
-def clean(documents: DataFrame, short_lines: bool = False) -> DataFrame:
+def clean(documents: DataFrame) -> DataFrame:
     """The documents without their removed lines, with their columns; those that lost every word are left out."""
     rows = documents.withColumn("__text_key", F.xxhash64(F.col("text")))
-    out = rows.join(_per_document(documents.select("doc_id", "text"), short_lines), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
+    out = rows.join(_per_document(documents.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
     left = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
     out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
     return out.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[f"`{c}`" for c in documents.columns])

@@ -13,12 +13,12 @@ def shingles(line):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute(rows, short_lines=False):
+def brute(rows):
     seen, removed = [], {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for n, line in enumerate((text or "").split("\n")):
             s = shingles(line)
-            if not s and not (short_lines and line.split()):
+            if not line.split():
                 continue
             if any(line.split() == o.split() or (s and 5 * len(s & t) >= 4 * len(s | t)) for o, t in seen):
                 removed.setdefault(doc, []).append(n)
@@ -102,9 +102,9 @@ def test_short_lines_go_if_equal_to_an_earlier_one(spark):
                 want.setdefault(d, []).append(n)
             seen.add(words)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in line_dedup.summary(df, short_lines=True).collect()}
+    got = {r.doc_id: r for r in line_dedup.summary(df).collect()}
     assert {d: r.removed for d, r in got.items() if r.removed} == {d: ",".join(map(str, n)) for d, n in want.items()} and not any(r.n_near for r in got.values())
-    left = {r.doc_id: r.text for r in line_dedup.clean(df, short_lines=True).collect()}
+    left = {r.doc_id: r.text for r in line_dedup.clean(df).collect()}
     for d, text in rows:
         kept = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in want.get(d, []))
         assert left.get(d) == (kept if kept.split() or d not in want else None)
@@ -118,3 +118,22 @@ def test_registered_query_and_stage_remove_short_repeats(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0"}
     assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, df, "").collect()} == {1: ("Les.\nfirst", 10), 2: ("second", 6)}
+
+
+def test_hot_tokens_in_tiles_lose_nothing(spark):
+    """A family of lines that share a frequent passage and differ in their ends, with runs, tiles and gathered entries of all sizes."""
+    rng = random.Random(21)
+    shared = [f"p{i}" for i in range(24)]
+    tails = [" ".join(rng.choices([f"t{i}" for i in range(60)], k=rng.randrange(1, 12))) for _ in range(300)]
+    rows = [(d, "\n".join(" ".join(shared) + " " + rng.choice(tails) for _ in range(2)) + "\nall the same short line") for d in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(d, n) for d, numbers in brute(rows).items() for n in numbers}
+    for run, tile, wide in ((32, 2048, 1 << 22), (4, 16, 1 << 22), (4, 16, 64), (2, 5, 20)):
+        assert {(r.doc_id, r.number) for r in line_dedup.removed_lines(df, run, tile, wide).collect()} == want
+    token, line = np.repeat(np.arange(3), 40), np.arange(120)
+    pair, at = line_dedup.to_tile_pairs(token, line, np.repeat([4, 1, 3], 40))
+    met = {p: set(at[pair == p].tolist()) for p in np.unique(pair)}
+    for t in range(3):
+        own = np.flatnonzero(token == t).tolist()
+        assert all(any({a, b} <= m for m in met.values()) for a in own for b in own)
+    assert all(len({token[k] for k in m}) == 1 for m in met.values())
