@@ -300,7 +300,8 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
     surveyed = checkpoint(survey(documents))
     lines = surveyed.filter("chunk is null").select("doc_id", "key", "number", "line")
     place = F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "key", "number")
-    first = lines.groupBy("line").agg(F.min(place).alias("first"))
+    distinct = checkpoint(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    first = distinct.select("line", "first")
     level, tokens = frequencies(surveyed)
     buckets = max(4 * parts(documents), tokens // (4 * BUCKET))  # a prefix is about a fifth of a line's tokens
     met = checkpoint(candidates(prefix_entries(documents, level, buckets, wide), run, tile).distinct())
@@ -329,9 +330,9 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
                 held.append((line, b.column(2)[k].values.to_numpy()))
         yield done()
 
-    lost = lost.unionByName(grouped.mapInArrow(verify, "line long")).distinct().withColumn("near", F.lit(True))
-    common = max(64, lines.count() // (8 * parts(lines)))
-    many = checkpoint(lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter(F.col("n") > common).drop("n").join(lost, "line", "left"))
+    lost = checkpoint(lost.unionByName(grouped.mapInArrow(verify, "line long")).distinct()).withColumn("near", F.lit(True))
+    common = max(64, (distinct.agg(F.sum("n")).first()[0] or 0) // (8 * parts(lines)))
+    many = checkpoint(distinct.filter(F.col("n") > common).select("line", "first").join(lost, "line", "left"))
     hot = lines.join(F.broadcast(many), "line")
     cold = lines.join(F.broadcast(many.select("line")), "line", "left_anti").join(first, "line").join(lost, "line", "left").select(hot.columns)
     judged = hot.unionByName(cold)
