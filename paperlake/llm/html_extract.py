@@ -15,8 +15,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,7 @@ _MARKUP = re.compile(
 )
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?=[\s=>/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+_DIGIT = re.compile(r"\d")
 
 #: Class, id and role words by what they say about a block.
 KINDS = {
@@ -57,8 +59,11 @@ _TAGS = "nav header footer aside form article main section table figure blockquo
 
 @dataclass
 class Block:
+    """A leaf block's text; the names of the elements that it lies in and of the innermost block element; what their class, id and role words say; its share of link text."""
+
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    inner: str
     kinds: frozenset[str]
     hidden: bool
     linked: float
@@ -66,29 +71,44 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open element. All but name and block hold for it and those around it, so no stack is walked at a block."""
+
     name: str
+    tags: frozenset[str] = frozenset()
+    inner: str = ""
     kinds: frozenset[str] = frozenset()
     hidden: bool = False
-    block: bool = field(default=False)
+    block: bool = False
+
+
+_OUTSIDE = _Open("")
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order, those without text left out."""
     out: list[Block] = []
     stack: list[_Open] = []
+    open_: Counter[str] = Counter()  # how many elements of a name are open
     held: list[str] = []
     links = [0, 0]  # characters inside and outside of links in the open block
 
+    around = lambda: stack[-1] if stack else _OUTSIDE
+
     def put(raw: str) -> None:
         held.append(raw)
-        links[any(e.name == "a" for e in stack)] += len(raw.strip())
+        links["a" in around().tags] += len(raw.strip())
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.name] -= 1
+        del stack[k:]
 
     def end() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                kinds = frozenset().union(*(e.kinds for e in stack))
-                out.append(Block(text, tuple(e.name for e in stack), kinds, any(e.hidden for e in stack), links[1] / max(1, sum(links))))
+                e = around()
+                out.append(Block(text, e.tags, e.inner, e.kinds, e.hidden, links[1] / max(1, sum(links))))
             held.clear()
             links[:] = [0, 0]
 
@@ -107,9 +127,9 @@ def blocks(page: str) -> list[Block]:
         if m["close"] or m["close2"]:
             if name in BLOCK_TAGS:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_[name] else ():
                 if stack[k].name == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if name not in BLOCK_TAGS and stack[k].block:
                     break
@@ -132,16 +152,19 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             end()
             ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(open_[x] for x in ends) else ():
                 if stack[k].name in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name in STOPS:
                     break
         if name in VOID_TAGS or (m["attrs"] or "").endswith("/"):
             continue
-        attrs = m["attrs"] or ""
-        stack.append(_Open(name, *_marks(attrs), name in BLOCK_TAGS) if "=" in attrs or "hidden" in attrs else _Open(name, block=name in BLOCK_TAGS))
+        attrs, e, block = m["attrs"] or "", around(), name in BLOCK_TAGS
+        kinds, hidden = _marks(attrs) if "=" in attrs or "hidden" in attrs else (frozenset(), False)
+        tags = e.tags if name in e.tags else e.tags | {name}
+        stack.append(_Open(name, tags, name if block else e.inner, e.kinds if kinds <= e.kinds else e.kinds | kinds, e.hidden or hidden, block))
+        open_[name] += 1
     end()
     return out
 
@@ -167,15 +190,14 @@ def _vocabulary() -> dict[str, int]:
 
 def features(b: Block, place: int, of: int) -> list[int]:
     """Indexes of a block's features."""
-    v, tags = _vocabulary(), set(b.tags)
+    v, tags = _vocabulary(), b.tags
     n = b.text.count(" ") + 1
     names = ["bias", *[f"in:{t}" for t in tags], *[f"kind:{k}" for k in b.kinds], f"words:{min(6, n.bit_length() - 1)}", f"linked:{min(3, int(4 * b.linked))}"]
-    inner = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "")
-    names.append(f"at:{inner}")
+    names.append(f"at:{b.inner}")
     article = "article" in tags or "main" in tags
     names += ["no kind"] * (not b.kinds) + ["hidden"] * b.hidden + ["in article or main"] * article + ["header in article"] * (article and "header" in tags) + ["aside in article"] * (article and "aside" in tags)
-    names += ["sentence"] * (b.text[-1] in ".!?…。\"”»") + ["copyright"] * ("©" in b.text) + ["digits"] * (sum(c.isdigit() for c in b.text[:80]) > 8) + ["commas"] * ("," in b.text)
-    names += ["first"] * (place == 0) + ["last"] * (place == of - 1) + ["shouting"] * b.text[:40].isupper()
+    names += ["sentence"] * (b.text[-1] in ".!?…。\"”»") + ["copyright"] * ("©" in b.text) + ["digits"] * (10 * len(_DIGIT.findall(b.text)) > len(b.text)) + ["commas"] * ("," in b.text)
+    names += ["first"] * (place == 0) + ["last"] * (place == of - 1) + ["shouting"] * b.text.isupper()
     return [v[x] for x in names if x in v]
 
 
