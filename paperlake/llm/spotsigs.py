@@ -1,8 +1,9 @@
 """SpotSigs document fingerprints: chains of content words that follow common-word anchors.
 
 Wherever an anchor (a very common word) stands, it and the next ``CHAIN`` content words form a signature; a document's fingerprint is its set of
-signatures. Likeness is the Jaccard ratio of two sets, pruned by their lengths: sets whose lengths differ too much for the threshold are not
-intersected. ``similar`` finds all similar pairs of classes of equal fingerprints: fingerprints are partitioned by set length, so only like-sized ones meet.
+signatures, 64 bits each. Fingerprints are partitioned by set length (``length_class``): two sets as like as a threshold lie in the same partition or in neighbouring ones. Likeness is
+the Jaccard ratio of two sets, pruned: sets of partitions further apart have likeness 0 without being compared, as do sets whose common part is found, while it is counted, to be too small.
+``with_edits`` uses the threshold ``LEAST``; ``similar`` finds all similar pairs of classes of equal fingerprints at 0.8.
 
 Defined results: a null or empty text has an empty fingerprint; a text without any anchor chain has its words as signatures, one without words
 the whole text; two empty sets have likeness 1, an empty and another 0; equal texts have equal fingerprints; extra columns are ignored.
@@ -33,6 +34,10 @@ ANCHORS = frozenset(
     " el los las una y o del al con por para se su es son no lo como".split()
 )
 CHAIN = 2
+#: Likeness below this is 0 in with_edits.
+LEAST = 0.2
+#: Signatures of the smaller set that are counted between two looks at the bound.
+STRETCH = 64
 MEMO = 300_000
 _WORD = re.compile(r"\w+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -52,7 +57,7 @@ class Hashes(dict):
 
 
 def signatures(text: str, known: Hashes, chain: int = CHAIN) -> np.ndarray:
-    """Sorted distinct 32-bit signatures of a whole text."""
+    """Sorted distinct signatures of a whole text."""
     words = _WORD.findall(text.lower())
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     anchor = (h & np.uint64(1)).astype(bool)
@@ -69,23 +74,39 @@ def signatures(text: str, known: Hashes, chain: int = CHAIN) -> np.ndarray:
         s = h * _MIX[0]
     else:
         s = np.array([xxhash.xxh64_intdigest(text)] if text else [], np.uint64)
-    return np.unique((s >> np.uint64(32)).astype(np.uint32))
+    return np.unique(s ^ (s >> np.uint64(32)))
 
 
 def as_text(signature: np.ndarray) -> str:
-    """Eight hex digits a signature, ascending."""
-    return signature.astype(">u4").tobytes().hex()
+    """Sixteen hex digits a signature, ascending."""
+    return signature.astype(">u8").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard ratio of two sorted sets; 0 without intersecting if their lengths alone keep it below least."""
-    small, large = sorted((len(a), len(b)))
-    if not large:
+def length_class(n: int, least: float = LEAST) -> int:
+    """Partition of a set length: each is 1 / least times as long as the one before; -1 for the empty set."""
+    k = -1
+    while n > 0:
+        n, k = int(n * least), k + 1
+    return k
+
+
+def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Jaccard ratio of two sorted sets, or 0 if it is below least. The smaller set is counted stretch by stretch; as soon as even all that is left of it
+    can't make up for what was missed, the rest is not looked at."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(large):
         return 1.0
-    if small < least * large or not small:
+    if not len(small) or (least and abs(length_class(len(small), least) - length_class(len(large), least)) > 1) or len(small) < least * len(large):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (small + large - both)
+    both, total = 0, len(small) + len(large)
+    for k in range(0, len(small), STRETCH):
+        own = small[k : k + STRETCH]
+        at = np.minimum(np.searchsorted(large, own), len(large) - 1)
+        both += int(np.count_nonzero(large[at] == own))
+        most = both + len(small) - k - len(own)
+        if most < least * (total - most):
+            return 0.0
+    return both / (total - both)
 
 
 def edited(text: str, following: str) -> str:
@@ -94,8 +115,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-FINGERPRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+FINGERPRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_class int"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64()), ("length_class", pa.int32())])
 
 
 def followed(documents: DataFrame) -> DataFrame:
@@ -146,7 +167,7 @@ def with_edits(documents: DataFrame, anchors: frozenset[str] = ANCHORS, chain: i
                     p_doc, p_text, p_own = previous
                     changed = edited(p_text, text)
                     other = signatures(changed, known, chain)
-                    row = (p_doc, len(p_text), hashlib.sha256(changed.encode()).hexdigest(), as_text(p_own), as_text(other), likeness(p_own, other), likeness(p_own, own))
+                    row = (p_doc, len(p_text), hashlib.sha256(changed.encode()).hexdigest(), as_text(p_own), as_text(other), likeness(p_own, other), likeness(p_own, own), len(p_own), length_class(len(p_own)))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                     if len(out[0]) == 256:
@@ -166,7 +187,7 @@ def signature_sets(documents: DataFrame, anchors: frozenset[str] = ANCHORS, chai
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                sets = [signatures(t or "", known, chain).astype(np.int64) for t in part.column(1).to_pylist()]
+                sets = [signatures(t or "", known, chain).view(np.int64) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["doc_id", "tokens"])
