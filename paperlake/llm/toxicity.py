@@ -4,9 +4,10 @@ Folding lower-cases, strips accents, maps homoglyphs of other scripts to Latin l
 (i, l and 1 are one letter), drops zero-width characters and turns other signs into spaces. The lexicon is learnt: words whose share
 among toxic training documents is significantly above their share among the others, weighted by the log of the ratio. A document's hits
 are summed, in total and per length, and a logistic curve over the two turns them into a score. Where an exception phrase matches, the hits
-inside it don't count.
+inside it don't count. Exception phrases are learnt too: a lexicon word with the word before or after it, if that pair is seen in ``LEAST_SEEN`` other training documents or more and is no more frequent in
+toxic ones than in those.
 
-Training uses at most ``MAX_TRAIN`` labelled rows (those of least hash), so the lexicon (``MAX_TERMS`` words at most) and its curve are bounded
+Training uses at most ``MAX_TRAIN`` labelled rows (those of least hash), so the lexicon, the phrases and the curve are bounded by that sample
 whatever the input; scoring reads every document whole. Neither labels, lang, source nor doc_id enter a score.
 
 Defined results: a null or empty text has no hit and the curve's score for none; without usable labels nothing is learnt and all scores are ``NO_MODEL``; of repeated labels the highest counts;
@@ -27,15 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import checkpoint, only
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 2_000
 LEAST_SEEN, LEAST_Z = 3, 2.6
 NO_MODEL = 0.0
 FOLDS = 5
-#: Phrases in which a word of the lexicon is meant harmlessly.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "sore loser board", "pond scum", "soap scum", "class clown")
 #: Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("абвеёзікмнорстухѕјԁԛԝүһαβγεικνορτυχωηℓ", "abbeeeikmhopctyxsjdqwyhabyeikvoptuxwni", strict=True))
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
@@ -64,18 +62,18 @@ _TABLE: dict[int, str | None] = {}
 
 
 def fold(text: str) -> str:
-    """Lower-case Latin words between single or more spaces, with a space at either end."""
+    """Lower-case Latin words with single spaces between them and at either end."""
     if not _TABLE:
         _TABLE.update(_table())
     if "@" in text or "$" in text or "!" in text or "|" in text:
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return f" {text.lower().translate(_TABLE)} "
+    return f" {' '.join(text.lower().translate(_TABLE).split())} "
 
 
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, float, float] | None = None
 
     def automaton(self):
@@ -83,12 +81,11 @@ class Model:
 
         a = ahocorasick.Automaton()
         for term, w in self.weights.items():
-            a.add_word(f" {term} ", (w, len(term) + 1, None))
+            a.add_word(f" {term} ", (w, len(term) + 2))
         for phrase in self.exceptions:
-            words = fold(phrase).split()
-            inside = sum(self.weights.get(x, 0.0) for x in words)
-            if inside:
-                a.add_word(f" {' '.join(words)} ", (-inside, 0, None))
+            words = " ".join(fold(phrase).split())
+            if any(x in self.weights for x in words.split()) and words not in self.weights:
+                a.add_word(f" {words} ", (0.0, len(words) + 2))
         a.make_automaton()
         return a
 
@@ -104,13 +101,24 @@ def features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def hits(text: str, automaton) -> float:
-    """Sum of the weights matched in a folded text."""
-    return max(0.0, sum(v[0] for _, v in automaton.iter(text)))
-
-
-def _log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
-    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
-    return ratio, ratio / np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+    """Sum of the weights matched in a folded text, but for matches within an exception phrase."""
+    found = [(end + 1 - n, end + 1, w) for end, (w, n) in automaton.iter(text)]
+    phrases = [(start, end) for start, end, w in found if not w]
+    if not phrases:
+        return sum(w for _, _, w in found)
+    total, k = 0.0, 0
+    for start, end, w in sorted(found):  # phrases and matches by their start; a phrase that ends before a match can't hold it
+        while k < len(phrases) - 1 and phrases[k][1] < end:
+            k += 1
+        total += 0.0 if any(p <= start and end <= q for p, q in phrases[max(0, k - 1) : k + 2]) else w
+    return total
+
+
+def _log_odds(n_toxic: int, n_other: int) -> tuple[F.Column, F.Column]:
+    """Log of the ratio of a term's shares among toxic and among other documents, and how many standard deviations that is."""
+    toxic, other = F.col("toxic") + 0.5, F.col("other") + 0.5
+    ratio = F.log(toxic / (n_toxic + 1)) - F.log(other / (n_other + 1))
+    return ratio, ratio / F.sqrt(1 / toxic + 1 / other)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -129,32 +137,38 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """A model from the labelled documents outside the held-out fold."""
+def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = ()) -> Model:
+    """A model from the labelled documents outside the held-out fold. exceptions: phrases known beforehand."""
     marks = only(labels, doc_id="long", toxic="int").dropna().filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(max_train)
-    rows = only(documents, doc_id="long", text="string").join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    rows = checkpoint(only(documents, doc_id="long", text="string").join(F.broadcast(marks), "doc_id").select("text", "toxic"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[toxic > 0].update({*fold(text or "").split(), ""})  # "" counts documents
-        terms = [*dict.fromkeys([*seen[0], *seen[1]])]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[t] for t in terms], pa.int64()) for s in reversed(seen)]], names=["term", "toxic", "other"])
-
-    terms = rows.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counted = terms.filter((F.col("term") == "") | (F.col("toxic") >= LEAST_SEEN)).orderBy(F.col("term") != "", F.desc(F.col("toxic") / (F.col("other") + 1)), "term").limit(4 * MAX_TERMS).toPandas()
-    totals, counted = counted[counted.term == ""], counted[counted.term != ""]
-    if totals.empty or not totals.toxic.iloc[0] or not totals.other.iloc[0]:
+    def counted(units) -> DataFrame:
+        """term, toxic, other: how many training documents of either kind hold each unit; those of the empty term are all."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = (Counter(), Counter())
+            for b in batches:
+                for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    seen[toxic > 0].update({*units(fold(text or "").split()), ""})
+            terms = [*dict.fromkeys([*seen[0], *seen[1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[t] for t in terms], pa.int64()) for s in reversed(seen)]], names=["term", "toxic", "other"])
+
+        return rows.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+    terms = checkpoint(counted(lambda words: words))
+    totals = terms.filter("term = ''").first()
+    if not totals or not totals.toxic or not totals.other:
         return Model({}, exceptions)
-    n_toxic, n_other = int(totals.toxic.iloc[0]), int(totals.other.iloc[0])
-    ratio, z = _log_odds(counted.toxic.to_numpy(), counted.other.to_numpy(), n_toxic, n_other)
-    chosen = [k for k in np.argsort(-z, kind="stable") if z[k] > LEAST_Z and ratio[k] > math.log(4)][:MAX_TERMS]
-    model = Model({counted.term.iloc[k]: float(ratio[k]) for k in chosen}, exceptions)
+    ratio, z = _log_odds(totals.toxic, totals.other)
+    chosen = terms.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_SEEN) & (z > LEAST_Z) & (ratio > math.log(4))).select("term", ratio.alias("weight")).orderBy("term").collect()
+    weights = {r.term: r.weight for r in chosen}
+    pairs = counted(lambda words: (f"{x} {y}" for x, y in zip(words, words[1:], strict=False) if x in weights or y in weights))
+    harmless = pairs.filter((F.col("term") != "") & (F.col("other") >= LEAST_SEEN) & (ratio <= 0)).select("term").orderBy("term").collect()
+    model = Model(weights, (*exceptions, *[r.term for r in harmless]))
     known = matched(rows.select("text", F.col("toxic").cast("long").alias("key")), model, "key long").toPandas()
     curve = logistic(features(known.total.to_numpy(), known.words.to_numpy()), (known.key > 0).to_numpy().astype(float))
-    return Model(model.weights, exceptions, tuple(map(float, curve)))
+    return Model(model.weights, model.exceptions, tuple(map(float, curve)))
 
 
 def matched(rows: DataFrame, model: Model, carried: str) -> DataFrame:
