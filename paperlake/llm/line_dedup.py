@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only, parts
+from .common import checkpoint, join_hot, only, parts
 
 SHINGLE = 5
 #: Least Jaccard ratio, as a fraction.
@@ -331,11 +331,7 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
         yield done()
 
     lost = checkpoint(lost.unionByName(grouped.mapInArrow(verify, "line long")).distinct()).withColumn("near", F.lit(True))
-    common = max(64, (distinct.agg(F.sum("n")).first()[0] or 0) // (8 * parts(lines)))
-    many = checkpoint(distinct.filter(F.col("n") > common).select("line", "first").join(lost, "line", "left"))
-    hot = lines.join(F.broadcast(many), "line")
-    cold = lines.join(F.broadcast(many.select("line")), "line", "left_anti").join(first, "line").join(lost, "line", "left").select(hot.columns)
-    judged = hot.unionByName(cold)
+    judged = join_hot(lines, first.join(lost, "line", "left"), "line", distinct.select("line", "n"))
     return judged.filter(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "key", "number", F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 
