@@ -156,3 +156,20 @@ def with_hard_case(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     rows = only(conversations, conv_id="long", turn="long", role="string", text="string")
     return rows.unionByName(spark.createDataFrame([Row(*r) for r in HARD], rows.schema))
+
+
+#: The lengths of the template's parts and of its escapes (a backslash, a turn mark, and each place where three signs begin) are counted, not written.
+SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+m AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+  length(role) + length(text) + len(regexp_extract_all(role || chr(0) || text, '\\|</?turn>')) + len(regexp_extract_all(role, ':'))
+    + length(array_to_string(regexp_extract_all(role || chr(0) || text, '#{3,}'), '')) - 2 * len(regexp_extract_all(role || chr(0) || text, '#{3,}')) + length('<turn>### : </turn>') + 1 AS written
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(written) OVER (PARTITION BY conv_id ORDER BY n) AS upto FROM m)
+SELECT conv_id, max(n_turns)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (coalesce(sum(upto) FILTER (role = 'assistant'), 0) + coalesce(sum(upto) FILTER (n = n_turns AND role <> 'assistant'), 0))::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant' OR n = n_turns) AS n_examples
+FROM p GROUP BY conv_id
+"""

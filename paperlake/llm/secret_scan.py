@@ -3,7 +3,10 @@ r"""Secret scans with an incremental blob ledger, in DataFrame operations only.
 Every historical version of every path is a blob, addressed by the SHA-256 of its content. A ledger holds which (blob, rule, rule version)
 have been scanned and what was found; only pairs that it lacks are scanned, each blob once however many versions hold it, and findings
 are joined back to all paths. Giving the ledger that a scan returns to the next one makes scanning incremental; a changed rule (a new version) is scanned
-over all blobs again, the others not.
+over all blobs again, the others not. ``counted`` scans so in two steps: all versions with the base rules, then, with the ledger of that, with all rules, of which
+only the added ones are still to be scanned.
+
+A blob that very many versions hold is one row of the scan; its findings go back to them by a broadcast of such blobs (``join_hot``), the others' by a shuffle.
 
 Spans are code points, end exclusive. The engine's regex functions return texts, not places: a rule's matches and the gaps between them
 alternate, so a match begins at the sum of the lengths before it, a running sum per (blob, rule).
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import checkpoint, join_hot, only
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     scan added; append them to the ledger so far.
     """
     addressed = versions.select(F.col("path").alias("path"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")).withColumn("blob", F.sha2("content", 256))
+    paths = checkpoint(addressed.select("path", "blob"))
     blobs = addressed.groupBy("blob").agg(F.first("content").alias("content"))
     every = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     if ledger is None:
@@ -75,7 +79,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         both = placed.unionByName(known.select("blob", "rank", F.col("s.start").alias("start"), F.col("s.stop").alias("stop")))
         per_blob = both.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "stop"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    findings = addressed.select("path", "blob").join(per_blob, "blob", "left").withColumn("spans", F.coalesce("spans", empty))
+    findings = join_hot(paths, checkpoint(per_blob), "blob", paths.groupBy("blob").agg(F.count("*").alias("n")), "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
     ranks = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for k, r in enumerate(rules)])
     new = blobs.select("blob", F.explode(F.filter(ranks, lambda r: F.array_contains("todo", F.concat_ws(":", r["rule"], r["version"])))).alias("r")).select("blob", "r.*")
     found = placed.groupBy("blob", "rank").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
@@ -97,9 +101,10 @@ def _hits(rank: int, rule: Rule) -> F.Column:
 
 
 def counted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the findings of a scan of all documents with an empty ledger."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the findings of all documents' scans, first by the base rules into a new ledger, then by all."""
     docs = only(documents, doc_id="long", text="string").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    findings, _ = scan(docs, None, rules)
+    _, ledger = scan(docs, None, BASE)
+    findings, _ = scan(docs, checkpoint(ledger), rules)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
@@ -108,3 +113,24 @@ def counted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         F.col("path").alias("doc_id"), *[number(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
     )
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+r(kind, rank, least, grp, pattern) AS (VALUES
+  ('assign', 0, 8, 2, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 16, 0, 'AKIA[A-Z0-9]+'), ('hex', 2, 32, 0, '[0-9a-f]+'),
+  ('private_key', 3, 0, 0, '-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----'),
+  ('web_token', 4, 0, 0, 'eyJ[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}'),
+  ('service_token', 5, 0, 0, '(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{16,}|sk_live_[A-Za-z0-9]{16,})')),
+h AS (
+  SELECT id, kind, rank, least, regexp_extract_all(text, pattern) AS own, CASE WHEN grp = 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern) END AS judged, string_split_regex(text, pattern) AS gap
+  FROM d, r),
+one AS (SELECT id, kind, rank, least, unnest(own) AS own, unnest(judged) AS judged, unnest(gap[1:len(own)]) AS gap, unnest(generate_series(1, len(own))) AS n FROM h WHERE len(own) > 0),
+placed AS (SELECT id, kind, rank, length(judged) >= least AS kept, length(own) AS size, (sum(length(gap) + length(own)) OVER (PARTITION BY id, rank ORDER BY n))::BIGINT AS stop FROM one),
+s AS (SELECT id, rank, kind, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM placed WHERE kept),
+g AS (SELECT id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS x,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS every FROM s GROUP BY id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN g USING (id)
+"""

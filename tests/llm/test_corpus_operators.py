@@ -195,6 +195,36 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert secret_scan.scan(first, ledger, again)[1].count() == 2
 
 
+def test_added_rules_find_their_secrets(spark):
+    token = "eyJ" + "a1_-" * 4 + "." + "b" * 12 + "." + "C" * 15
+    text = f"é -----BEGIN RSA PRIVATE KEY----- x {token} gh" + "p_" + "A9" * 18 + " xoxb-" + "1" * 16 + " sk_live_" + "k" * 20 + " -----BEGIN public KEY----- eyJabc.d.e ghp_short"
+    df = spark.createDataFrame([(1, text), (2, "no secrets")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.counted(df).collect()}
+    want = []
+    for piece, kind in (("-----BEGIN RSA PRIVATE KEY-----", "private_key"), (token, "web_token"), ("ghp_" + "A9" * 18, "service_token"), ("xoxb-" + "1" * 16, "service_token"), ("sk_live_" + "k" * 20, "service_token")):
+        at = text.index(piece)
+        want.append((at, f"{kind}:{at}:{at + len(piece)}"))
+    assert got == {1: ",".join(x for _, x in sorted(want)), 2: ""}
+
+
+def test_second_step_scans_added_rules_only(spark):
+    df = spark.createDataFrame([("a", SECRET), ("b", SECRET), ("c", "clean")], "path string, content string")
+    _, first = secret_scan.scan(df, None, secret_scan.BASE)
+    ledger = spark.createDataFrame(first.collect(), secret_scan.LEDGER)
+    _, added = secret_scan.scan(df, ledger)
+    assert {r.rule for r in added.collect()} == {r.kind for r in secret_scan.ADDED} and added.count() == 2 * len(secret_scan.ADDED)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_join_like_any_other(spark, how):
+    from paperlake.llm.common import join_hot
+
+    many = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(3000)] + [(8, -k) for k in range(1, 500)] + [(None, 5000)], "key long, v long")
+    one = spark.createDataFrame([(k, f"x{k}") for k in range(0, 3000, 2)] + [(7, "seven")], "key long, w string")
+    got = join_hot(many, one, "key", many.groupBy("key").count().withColumnRenamed("count", "n"), how)
+    assert key(tuple(r) for r in got.collect()) == key(tuple(r) for r in many.join(one, "key", how).collect())
+
+
 def brute_fingerprint(text):
     w = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
