@@ -144,27 +144,26 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, e
     rows = checkpoint(only(documents, doc_id="long", text="string").join(F.broadcast(marks), "doc_id").select("text", "toxic"))
 
     def counted(units) -> DataFrame:
-        """term, toxic, other: how many training documents of either kind hold each unit; those of the empty term are all."""
+        """term, toxic, other: how many training documents of either kind hold each unit."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = (Counter(), Counter())
             for b in batches:
                 for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    seen[toxic > 0].update({*units(fold(text or "").split()), ""})
+                    seen[toxic > 0].update({*units(fold(text or "").split())})
             terms = [*dict.fromkeys([*seen[0], *seen[1]])]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[t] for t in terms], pa.int64()) for s in reversed(seen)]], names=["term", "toxic", "other"])
 
         return rows.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
-    terms = checkpoint(counted(lambda words: words))
-    totals = terms.filter("term = ''").first()
-    if not totals or not totals.toxic or not totals.other:
+    totals = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("other")).first()
+    if not totals.toxic or not totals.other:
         return Model({}, exceptions)
     ratio, z = _log_odds(totals.toxic, totals.other)
-    chosen = terms.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_SEEN) & (z > LEAST_Z) & (ratio > math.log(4))).select("term", ratio.alias("weight")).orderBy("term").collect()
+    chosen = counted(lambda words: words).filter((F.col("toxic") >= LEAST_SEEN) & (z > LEAST_Z) & (ratio > math.log(4))).select("term", ratio.alias("weight")).orderBy("term").collect()
     weights = {r.term: r.weight for r in chosen}
     pairs = counted(lambda words: (f"{x} {y}" for x, y in zip(words, words[1:], strict=False) if x in weights or y in weights))
-    harmless = pairs.filter((F.col("term") != "") & (F.col("other") >= LEAST_SEEN) & (ratio <= 0)).select("term").orderBy("term").collect()
+    harmless = pairs.filter((F.col("other") >= LEAST_SEEN) & (ratio <= 0)).select("term").orderBy("term").collect()
     model = Model(weights, (*exceptions, *[r.term for r in harmless]))
     known = matched(rows.select("text", F.col("toxic").cast("long").alias("key")), model, "key long").toPandas()
     curve = logistic(features(known.total.to_numpy(), known.words.to_numpy()), (known.key > 0).to_numpy().astype(float))
