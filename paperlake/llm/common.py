@@ -42,14 +42,13 @@ def parts(df: DataFrame, at_least: int = 8) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_hot(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
-    """many joined with one (a row a key) where a key may hold any share of many. counts: key, n (rows of many), cheap to read again.
+def join_hot(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """many joined with one (a row a key) where a key may hold any share of many. counts: key, n (rows of many); total: all rows of many.
 
     Keys with more than an eighth of a partition's even share are, whatever the input, at most eight a partition: their rows of one are broadcast to many as it
     lies. All other rows meet by a shuffle. how: inner, or left for rows of many without a partner.
     """
-    width = parts(many)
-    common = max(64, (counts.agg(F.sum("n")).first()[0] or 0) // (8 * width))
+    common = max(64, total // (8 * parts(many)))
     hot = checkpoint(counts.filter(F.col("n") > common).select(key).join(one, key, how))
     dealt = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one, key, how)
     return many.join(F.broadcast(hot), key).select(dealt.columns).unionByName(dealt)

@@ -38,6 +38,8 @@ WIDE = 1 << 22
 #: Prefix entries in a bucket, about, and bytes of text taken at a time.
 BUCKET, BYTES_AT_ONCE = 400_000, 1_200_000
 _ENTRY = np.dtype([("token", "<u8"), ("line", "<i8"), ("size", "<u2"), ("place", "<u2")])
+#: As it travels: a bucket and half of a token's bits name it well enough; lines that meet by chance are told apart when their sets are compared.
+_PACKED = np.dtype([("token", "<u4"), ("line", "<i8"), ("size", "<u2"), ("place", "<u2")])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,37 +123,40 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def survey(documents: DataFrame) -> DataFrame:
-    """In one pass, a row for each line (doc_id, key, number, line) and, with a chunk number, rows of the frequency sketch."""
+    """In one pass, a row for each line (doc_id, key, number, line) and, with a chunk number, rows of the frequency sketch (number: how many lines were seen)."""
     names = ["doc_id", "key", "number", "line", "chunk", "counts"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, lines = np.zeros(COUNTERS, np.int64), 0
         for b, texts in runs(batches):
             found = Lines(texts, 1)
+            lines += len(found.hash)
             counts += np.bincount((found.token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             n = len(found.doc)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found.doc)), b.column(2).take(pa.array(found.doc)), pa.array(found.number), pa.array(found.hash), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
-        if counts.any():
+        if lines:
             n = COUNTERS // CHUNK
             blocks = pa.array([c.astype("<u4").tobytes() for c in counts.reshape(n, CHUNK)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.array(np.arange(n)), blocks], names=names)
+            numbers = pa.array([lines] + [0] * (n - 1))
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 2 + [numbers, pa.nulls(n, pa.int64()), pa.array(np.arange(n)), blocks], names=names)
 
     return _texts(documents).mapInArrow(make, "doc_id long, key long, number long, line long, chunk long, counts binary")
 
 
-def frequencies(surveyed: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch, summed: one byte a counter, its rank on a scale of quarter doublings (2^20 bytes whatever the input); and the number of tokens."""
+def frequencies(surveyed: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The sketch, summed: one byte a counter, its rank on a scale of quarter doublings (2^20 bytes whatever the input); and the numbers of tokens and of lines."""
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in t["counts"])
         level = np.minimum(255, np.round(4 * np.log2(1 + total))).astype(np.uint8)
-        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([level.tobytes()], pa.binary()), "total": [int(total.sum())]})
+        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([level.tobytes()], pa.binary()), "total": [int(total.sum())], "lines": [sum(t["number"].to_pylist())]})
 
-    out, tokens = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8), 0
-    for r in surveyed.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary, total long").collect():
+    out, tokens, lines = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8), 0, 0
+    for r in surveyed.filter("chunk is not null").select("chunk", "counts", "number").groupBy("chunk").applyInArrow(add, "chunk long, counts binary, total long, lines long").collect():
         out[r.chunk] = np.frombuffer(r.counts, np.uint8)
         tokens += r.total
-    return out.reshape(-1), tokens
+        lines += r.lines
+    return out.reshape(-1), tokens, lines
 
 
 def ordered(token: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +214,11 @@ def prefix_entries(documents: DataFrame, level: np.ndarray, buckets: int, wide:
     def deal(held):
         e = np.concatenate(held) if held else np.zeros(0, _ENTRY)
         to = (mixed(e["token"]) % np.uint64(buckets)).astype(np.int64)
-        e, edge = e[np.argsort(to, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(to, minlength=buckets))))
+        packed = np.zeros(len(e), _PACKED)
+        for name in ("line", "size", "place"):
+            packed[name] = e[name]
+        packed["token"] = (e["token"] >> np.uint64(32)).astype(np.uint32)
+        e, edge = packed[np.argsort(to, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(to, minlength=buckets))))
         full = np.flatnonzero(np.diff(edge))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([e[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "entries"])
 
@@ -244,7 +253,12 @@ def candidates(entries: DataFrame, run: int = RUN, tile: int = TILE) -> DataFram
     """x, y for candidate pairs; token, x for members of long runs (or of a tile pair of one)."""
 
     def meet(t: pa.Table) -> pa.Table:
-        x, y, token, line = meetings(np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in t["entries"]]), run)
+        packed = np.concatenate([np.frombuffer(b.as_py(), _PACKED) for b in t["entries"]])
+        e = np.zeros(len(packed), _ENTRY)
+        for name in ("line", "size", "place"):
+            e[name] = packed[name]
+        e["token"] = mixed(packed["token"].astype(np.uint64) + mixed(np.full(1, t["bucket"][0].as_py(), np.uint64) + _ODD))
+        x, y, token, line = meetings(e, run)
         _, of, size = np.unique(token, return_inverse=True, return_counts=True)
         tiles = -(-size // tile)[of] if len(token) else np.zeros(0, np.int64)
         if len(token) and tiles.max() > 1:
@@ -300,9 +314,8 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
     surveyed = checkpoint(survey(documents))
     lines = surveyed.filter("chunk is null").select("doc_id", "key", "number", "line")
     place = F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "key", "number")
-    distinct = checkpoint(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    first = distinct.select("line", "first")
-    level, tokens = frequencies(surveyed)
+    first = lines.groupBy("line").agg(F.min(place).alias("first"))
+    level, tokens, n_lines = frequencies(surveyed)
     buckets = max(4 * parts(documents), tokens // (4 * BUCKET))  # a prefix is about a fifth of a line's tokens
     met = checkpoint(candidates(prefix_entries(documents, level, buckets, wide), run, tile).distinct())
     pairs, members = met.filter("token is null").select("x", "y"), met.filter("token is not null").select("token", F.col("x").alias("line"))
@@ -331,7 +344,7 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
         yield done()
 
     lost = checkpoint(lost.unionByName(grouped.mapInArrow(verify, "line long")).distinct()).withColumn("near", F.lit(True))
-    judged = join_hot(lines, first.join(lost, "line", "left"), "line", distinct.select("line", "n"))
+    judged = join_hot(lines, first.join(lost, "line", "left"), "line", lines.groupBy("line").agg(F.count("*").alias("n")), n_lines)
     return judged.filter(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "key", "number", F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 

@@ -79,7 +79,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         both = placed.unionByName(known.select("blob", "rank", F.col("s.start").alias("start"), F.col("s.stop").alias("stop")))
         per_blob = both.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "stop"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    findings = join_hot(paths, checkpoint(per_blob), "blob", paths.groupBy("blob").agg(F.count("*").alias("n")), "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
+    findings = join_hot(paths, checkpoint(per_blob), "blob", paths.groupBy("blob").agg(F.count("*").alias("n")), paths.count(), "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
     ranks = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for k, r in enumerate(rules)])
     new = blobs.select("blob", F.explode(F.filter(ranks, lambda r: F.array_contains("todo", F.concat_ws(":", r["rule"], r["version"])))).alias("r")).select("blob", "r.*")
     found = placed.groupBy("blob", "rank").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))

@@ -221,7 +221,7 @@ def test_hot_keys_join_like_any_other(spark, how):
 
     many = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(3000)] + [(8, -k) for k in range(1, 500)] + [(None, 5000)], "key long, v long")
     one = spark.createDataFrame([(k, f"x{k}") for k in range(0, 3000, 2)] + [(7, "seven")], "key long, w string")
-    got = join_hot(many, one, "key", many.groupBy("key").count().withColumnRenamed("count", "n"), how)
+    got = join_hot(many, one, "key", many.groupBy("key").count().withColumnRenamed("count", "n"), 3500, how)
     assert key(tuple(r) for r in got.collect()) == key(tuple(r) for r in many.join(one, "key", how).collect())
 
 
