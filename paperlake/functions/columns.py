@@ -19,9 +19,15 @@ FOOTNOTE = r"\\footnote(?:text)?\s*(?:\[[^\]]*\]\s*)?\{((?:[^{}]|\{[^{}]*+\})*+)
 BIB_FIELD = r"(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*+\})*+)\}|\"([^\"]*+)\")"
 
 
+#: Comments, trailing blanks, and the last line break: what to replace by what, in this order.
+COMMENT_RULES = ((r"(?m)(?<!\\)((?:\\\\)*+)%.*$", "$1"), (r"(?m)[ \t]+$", ""), (r"\n$", ""))
+
+
 def strip_comments(text: Column) -> Column:
     """Comments and trailing blanks go, line structure stays."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?m)(?<!\\)((?:\\\\)*+)%.*$", "$1"), r"(?m)[ \t]+$", ""), r"\n$", "")
+    for pattern, put in COMMENT_RULES:
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def normalize_space(text: Column) -> Column:

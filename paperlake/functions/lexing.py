@@ -115,6 +115,58 @@ def environment(text: str, name: str, at: int = 0) -> tuple[int, int, str] | Non
     return None
 
 
+_PAIR = re.compile(r"\\(end)?([a-zA-Z]+)(\*?)(?![a-zA-Z])")
+
+
+def pairs_as_environments(text: str) -> str:
+    r"""Environments written as \name … \endname, nested ones too, written as \begin{name} … \end{name}. One pass: an opening counts only if its end follows."""
+    if "\\end" not in text:
+        return text
+    found = [m for m in _PAIR.finditer(text) if not escaped(text, m.start())]
+    ends = {m[2] for m in found if m[1]}
+    open_: dict[str, list[re.Match]] = {}
+    put: dict[int, tuple[int, str]] = {}
+    for m in found:
+        if m[1] and open_.get(m[2]):
+            begin = open_[m[2]].pop()
+            put[begin.start()], put[m.start()] = (begin.end(), f"\\begin{{{m[2]}}}"), (m.end(), f"\\end{{{m[2]}}}")
+        elif not m[1] and m[2] in ends:
+            open_.setdefault(m[2], []).append(m)
+    out, at = [], 0
+    for start in sorted(put):
+        out += [text[at:start], put[start][1]]
+        at = put[start][0]
+    return "".join(out) + text[at:]
+
+
+def nested(text: str, opening: str, closing: str, at: int = 0) -> tuple[int, int, str] | None:
+    """Start, end and content of the next block between two patterns, nested ones of the same patterns inside it."""
+    depth, start, inner = 0, 0, 0
+    for m in re.compile(f"(?P<open__>{opening})|(?P<close__>{closing})", re.S).finditer(text, at):
+        if m["open__"] is not None:
+            if not depth:
+                start, inner = m.start(), m.end()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                return start, m.end(), text[inner : m.start()]
+    return None
+
+
+def substitute_patterns(text: str, table: list[tuple[str, object]]) -> str:
+    """Each pattern's matches replaced, by a text or a function of the match; where several match at one place, the first of the table does."""
+    if not table:
+        return text
+    patterns = [re.compile(p, re.S) for p, _ in table]
+    out, at = [], 0
+    while (best := min(((m.start(), k, m) for k, p in enumerate(patterns) if (m := p.search(text, at)) and m.end() > m.start()), key=lambda x: x[:2], default=None)) is not None:
+        start, k, m = best
+        out += [text[at:start], table[k][1](m) if callable(table[k][1]) else m.expand(table[k][1])]
+        at = m.end()
+    return "".join(out) + text[at:]
+
+
 def is_balanced(text: str, opening: str = "{", closing: str = "}") -> bool:
     depth = 0
     for m in re.finditer(rf"\\.|{re.escape(opening)}|{re.escape(closing)}", text, re.S):
@@ -144,7 +196,7 @@ def has_parameters(text: str) -> bool:
 def substitute(definition: str, args: list[str | None], math: bool = False) -> str:
     r"""Put arguments for #n. Of nested definitions only the outermost level (fewest #) is filled, others lose one level's worth; \# is literal.
 
-    In math an argument is braced where it would run into a letter before it.
+    In math an argument is braced where a letter stands beside it: without its parameter's mark between them, the two would be read as one word.
     """
     levels = [len(m[2]) for m in _HASH.finditer(definition) if not (m[1] and len(m[2]) == 1)]
     if not levels:
@@ -157,7 +209,7 @@ def substitute(definition: str, args: list[str | None], math: bool = False) -> s
         if own != least or k > len(args):
             return m[0]
         value = args[k - 1] or ""
-        if math and value and m.start() and definition[m.start() - 1].isalpha() and value[0].isalnum():
+        if math and value and (definition[m.start() - 1 : m.start()].isalpha() or definition[m.end() : m.end() + 1].isalpha()):
             value = "{" + value + "}"
         return ("\\#" if escape else "") + value
 

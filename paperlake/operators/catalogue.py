@@ -43,25 +43,29 @@ BOXES = {
 }
 #: Layout commands that are dropped, by their arguments.
 DROPPED = {
-    "": "maketitle makeatletter makeatother tableofcontents listoffigures listoftables @title today centering raggedright raggedleft noindent par clearpage cleardoublepage hfill vfill break sloppy fussy flushbottom raggedbottom flushleft flushright smallskip medskip bigskip"
-    " hline toprule midrule bottomrule endhead endfoot endfirsthead endlastfoot ignorespaces relax global null FloatBarrier phantomsection linenumbers nolinenumbers frontmatter mainmatter backmatter nonumber notag"
-    " newblock protect hfil vfil selectfont boldmath unboldmath mathversion normalcolor allowbreak nobreak unskip leavevmode expandafter noexpand endcsname csname arraycolsep hss vss strut newline@ tracing Xhline@ dotfill hrulefill fill @empty obeylines strutbox"
-    " linewidth textwidth columnwidth textheight paperwidth paperheight hsize vsize z@ p@ item@ balance onecolumngrid twocolumngrid endgroup@ limits nolimits pdfoutput@ string unvbox stackMath",
-    "{": "date subjclass pagestyle thispagestyle urlstyle theoremstyle bibliographystyle setcitestyle hypersetup lstset pagecolor usetikzlibrary usepgflibrary usepgfplotslibrary pgfplotsset tcbset tcbuselibrary mathtoolsset graphicspath numberwithin@ vspace@ cline cdashline nocite pagenumbering arabic Roman"
-    " Alph alph fnsymbol value refstepcounter hyphenation pacs typeout pdfinfo setdefaultlanguage setlist@ color@ ProcessOptionsX@ thispagestyle printindex@ enlargethispage contentsline titlelabel newpagestyle@ curraddr linespread captionsetup@ phantom@",
-    "[{": "captionsetup setlist documentclass usepackage RequirePackage LoadClass documentstyle bookmark setmainfont setsansfont setmonofont setmathfont newmdenv rowcolor columncolor cellcolor setdefaultlanguage pdfbookmark@ geometry titleline ExecuteBibliographyOptions",
-    "[": "printbibliography ProcessOptions addlinespace tableofcontents@ linenumbers@ item@",
-    "{{": "addtocontents addtocounter setcounter@ numberwithin counterwithin counterwithout @addtoreset PassOptionsToPackage PassOptionsToClass fontsize DeclareOption renewbibmacro DeclareGraphicsExtensions@ specialrule@ stretch@ titlespacing@ hdashline@",
-    "{{{": "addcontentsline specialrule AddEnumerateCounter titlecontents@ DeclareSymbolFontX@", "{{{{": "usefont DeclareFontFamily@", "[{{": "pdfbookmark belowpdfbookmark currentpdfbookmark", "{[": "NeedsTeXFormat ProvidesClass ProvidesPackage",
-    "{{{{{": "DeclareSymbolFont DeclareSetMathAlphabet@ titleformat SetMathAlphabet@", "{{{{{{": "DeclareFontShape SetMathAlphabet titlecontents", "{{[": "newpagestyle renewpagestyle", "{{{{[": "titlespacing",
+    "": "maketitle makeatletter makeatother tableofcontents listoffigures listoftables @title today centering raggedright raggedleft noindent par clearpage cleardoublepage hfill vfill break sloppy fussy flushbottom raggedbottom flushleft flushright flushtop smallskip medskip bigskip"
+    " hline toprule midrule bottomrule endhead endfoot endfirsthead endlastfoot ignorespaces relax global null FloatBarrier phantomsection linenumbers nolinenumbers linesnumbered frontmatter mainmatter backmatter nonumber notag"
+    " newblock protect hfil vfil selectfont boldmath unboldmath mathversion normalcolor allowbreak nobreak allowdisplaybreaks samepage filbreak goodbreak smallbreak medbreak bigbreak unskip lastskip leavevmode expandafter noexpand endcsname arraycolsep hss vss strut tracing dotfill hrulefill fill"
+    " hrule morecmidrules centerline colrule noalign @empty obeylines strutbox linewidth textwidth columnwidth textheight paperwidth paperheight hsize vsize labelwidth leftmargin rightmargin balance onecolumngrid twocolumngrid limits nolimits unvbox stackMath printindex"
+    " contentspage thepage c@page the showthe string escapechar footins repeat @tempboxa @plus @minus hdashline z@ p@",
+    "{": "date subjclass pagestyle thispagestyle urlstyle theoremstyle bibliographystyle setcitestyle hypersetup lstset pagecolor usetikzlibrary usepgflibrary usepgfplotslibrary pgfplotsset tcbset tcbuselibrary mathtoolset graphicspath cline cdashline nocite pagenumbering arabic Roman roman"
+    " Alph alph fnsymbol value refstepcounter hyphenation pacs typeout pdfinfo setdefaultlanguage enlargethispage contentsline titlelabel curraddr linespread DeclareGraphicsExtensions labelsep fboxsep Xhline",
+    "[{": "captionsetup setlist documentclass usepackage RequirePackage LoadClass documentstyle bookmark setmainfont setsansfont setmonofont setmathfont newmdenv rowcolor columncolor cellcolor geometry titleline ExecuteBibliographyOptions",
+    "[": "printbibliography ProcessOptions addlinespace startcontents",
+    "{{": "addtocontents addtocounter numberwithin counterwithin counterwithout @addtoreset PassOptionsToPackage PassOptionsToClass fontsize DeclareOption renewbibmacro rule",
+    "{{{": "addcontentsline specialrule AddEnumerateCounter DeclareFontFamily", "{{{{": "usefont", "[{{": "pdfbookmark belowpdfbookmark currentpdfbookmark", "[{{{": "printcontents", "{[": "NeedsTeXFormat ProvidesClass ProvidesPackage",
+    "{{{{{": "DeclareSymbolFont titleformat", "{{{{{{": "DeclareFontShape SetMathAlphabet titlecontents", "{{[": "newpagestyle renewpagestyle", "{{{{[": "titlespacing",
 }
-DROP = {name: spec for spec, names in DROPPED.items() for name in names.split() if not name.endswith("@")} | {"DeclareGraphicsExtensions": "{", "hdashline": "", "z@": "", "p@": ""}
+DROP = {name: spec for spec, names in DROPPED.items() for name in names.split()}
 #: Lengths assigned or skipped in TeX's own way: the command and the dimension after it.
-DIMENSIONED = frozenset("vskip hskip kern mkern raise lower penalty hoffset voffset topmargin oddsidemargin evensidemargin baselineskip lineskip parskip parindent tabcolsep itemsep parsep topsep partopsep abovedisplayskip belowdisplayskip advance divide multiply hangindent tolerance emergencystretch clubpenalty widowpenalty".split())
+DIMENSIONED = frozenset("vskip hskip kern mkern raise lower penalty hoffset voffset topmargin oddsidemargin evensidemargin baselineskip lineskip parskip parindent tabcolsep itemsep parsep topsep partopsep abovedisplayskip belowdisplayskip advance divide multiply hangindent tolerance emergencystretch clubpenalty widowpenalty interfootnotelinepenalty abovedisplayshortskip belowdisplayshortskip abovecaptionskip belowcaptionskip footskip headheight headsep footnotesep marginparsep marginparwidth itemindent vfuzz hfuzz arrayrulewidth heavyrulewidth overfullrule pdfoutput pdfsuppresswarningpagegroup tracinglostchars".split())
 #: Commands for white space and the text that they leave.
 SPACES = {"quad": " ", "qquad": " ", "xspace": " ", "space": " ", ",": " ", ";": " ", ":": " ", " ": " ", "!": "", "/": "", ">": " ", "thinspace": " ", "enspace": " ", "indent": "\t", "newline": "\n", "linebreak": "\n", "pagebreak": "\n", "newpage": "\n", "nopagebreak": "\n", "nolinebreak": "\n"}
 #: User macros may not take these names.
-PROTECTED = frozenset("begin end section subsection subsubsection paragraph part chapter item label ref cite input include documentclass usepackage newcommand renewcommand def let caption title author footnote bibliography bibitem verb maketitle document left right frac".split())
+PROTECTED = frozenset(
+    "newcommand begin end section subsection subsubsection paragraph subparagraph newline maketitle title author and thanks date part chapter abstract table figure cite citep citet caption captionof bibitem url ref appendix appendices \\ text"
+    " textbf textit textsl textsc textsf texttt textrm textup textmd textnormal emph texttiny textscriptsize textfootnotesize textsmall textlarge texthuge boldmath unboldmath mathversion document documentclass def let renewcommand verb".split()
+) | FONT_SWITCHES.keys() | SIZE_SWITCHES.keys()
 CONDITIONS = frozenset("if ifx ifnum ifdim ifcat ifcase iftrue iffalse ifdefined ifundefined ifcsname ifodd ifmmode ifvmode ifhmode ifpdf ifeof ifvoid".split())
 #: Skipped with their arguments.
 SKIPPED = {"newcolumntype": "{[[{", "newtheoremstyle": "{{{{{{{{{", "newtoks": "", "newcount": "", "newdimen": "", "newskip": "", "newmuskip": "", "newfam": "", "newboolean": "{", "newlength": "{", "setlength": "{{", "addtolength": "{{", "settoheight": "{{", "settodepth": "{{", "settowidth": "{{",

@@ -24,6 +24,8 @@ _COMMAND = re.compile(r"\\(?:([a-zA-Z]+|@[a-zA-Z@]+)|(.))", re.S)
 _CODE_POINT = re.compile(r"\\u(?=[a-fA-F]{0,3}\d)(0?[0-9a-fA-F]{4}(?![0-9a-fA-F])|10[0-9a-fA-F]{4}|[0-9a-fA-F]{4})")
 _LETTERED = re.compile(r"\\([a-zA-Z@]+)")
 _DIMENSION = re.compile(r"\s*=?\s*(?:by\s*)?-?\s*(?:\\[a-zA-Z]+|[\d.,]*\s*(?:true)?\s*(?:pt|em|ex|cm|mm|in|bp|pc|dd|cc|sp|mu|fil+)?(?![a-zA-Z])\s*(?:\\[a-zA-Z]+)?)(?:\s*(?:plus|minus)\s*-?[\d.]+\s*(?:pt|em|ex|cm|mm|in|fil+)?)*")
+_ASSIGNED = re.compile(r"\s*=\s*-?(?:[\d.]+\s*(?:pt|em|ex|cm|mm|in)?(?![a-zA-Z])|\\[a-zA-Z@]+)")
+_FACTOR = re.compile(r"-?\d*\.?\d+\Z")
 _COND = re.compile(r"\\(if[a-zA-Z@]*|elseif|elsif|else|or|fi)(?![a-zA-Z@])")
 _BEGIN = re.compile(r"\\(begin|end)\s*\{([^{}]*)\}|\\item(?![a-zA-Z])")
 _LABEL = re.compile(r"\\label\s*\{([^{}]*)\}\s*")
@@ -32,6 +34,16 @@ _AND = re.compile(r"\\and(?![a-zA-Z])", re.I)
 _KEY = re.compile(r"\s*([^=,]+?)\s*(?:=\s*(\{(?:[^{}]|\{[^{}]*\})*\}|[^,]*))?\s*(?:,|$)")
 
 
+#: What preprocessing leaves as it stands.
+_VERBATIM_BLOCK = re.compile(r"\\begin\s*\{(verbatim|Verbatim|lstlisting|algorithm|algorithmic|picture|tikzpicture|pgfpicture)\}.*?\\end\s*\{\1\}|\\verb\*?([^a-zA-Z\s*]).*?\2", re.S)
+_QUOTED = re.compile(r"``(.*?)''|`(.*?)'", re.S)
+_FORMULA = re.compile(r"\$\$(?:[^$\\]|\\.)*\$\$|\$(?:[^$\\]|\\.)*\$", re.S)
+_FORMULA_ENVIRONMENT = re.compile(r"\\\[.*?\\\]|\\\(.*?\\\)|\\begin\s*\{((?:%s)\*?)\}.*?\\end\s*\{\1\}" % "|".join(sorted(EQUATIONS)), re.S)
+_NEXT_MARK = re.compile(r"[\\`$]")
+#: Layout that means something to the parser after it.
+KEPT_LAYOUT = frozenset("maketitle documentclass usepackage RequirePackage par protect newblock endcsname expandafter noexpand appendix nonumber notag hline toprule midrule bottomrule cline value arabic roman Roman alph Alph fnsymbol limits nolimits string the".split())
+
+
 class Problem(ValueError):
     pass
 
@@ -78,13 +90,63 @@ class Parser:
         for m in re.finditer(r"\\(?:usepackage|RequirePackage)\s*(?:\[[^\]]*\]\s*)?\{([^{}]*)\}", text):
             for name in m[1].split(","):
                 self.style(name.strip() + ".sty")
-        parts = re.split(r"(\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}|\\verb\*?([^a-zA-Z\s*]).*?\3)", text, flags=re.S)
-        out = []
-        for k in range(0, len(parts), 4):
-            piece = re.sub(r"``(.*?)''", r'"\1"', parts[k], flags=re.S)
-            out.append(re.sub(r"`(.*?)'", r"'\1'", piece, flags=re.S))
-            out.append(parts[k + 1] if k + 1 < len(parts) else "")
-        return re.sub(r"\\addto\s*\\[a-zA-Z]+\s*(?=\{)", "", "".join(out))
+        return self.expand_text(text)
+
+    def expand_text(self, text: str) -> str:
+        """Definitions without parameters are taken out and their uses replaced, quotes become plain, conditionals their chosen branch, layout goes, white space takes its normal form;
+        formulas, definitions with parameters, verbatim text, algorithms and pictures stay as they are. Conditions on classes and packages (with @) leave nothing."""
+        source, out, held = Input(text), [], []
+
+        def keep(piece: str) -> None:
+            out.append(f"\0{len(held)}\0")
+            held.append(piece)
+
+        while not source.done():
+            if m := _VERBATIM_BLOCK.match(source.text, source.at):
+                source.at = m.end()
+                keep(m[0])
+                continue
+            if m := source.match(_QUOTED) if source.text[source.at] == "`" else None:
+                mark = '"' if m[1] is not None else "'"
+                source.push(f"{mark}{m[1] if m[1] is not None else m[2]}{mark}")
+                continue
+            if source.text[source.at] != "\\" and (m := _FORMULA.match(source.text, source.at)) or (m := _FORMULA_ENVIRONMENT.match(source.text, source.at)):
+                source.at = m.end()
+                keep(m[0])
+                continue
+            m = re.compile(r"\\([a-zA-Z@]+)").match(source.text, source.at)
+            if not m:
+                end = _NEXT_MARK.search(source.text, source.at + 1 + (source.text[source.at] == "\\"))
+                stop = end.start() if end else len(source.text)
+                out.append(source.text[source.at : stop])
+                source.at = stop
+                continue
+            name, start, below = m[1], source.at, len(source.below)
+            source.at = m.end()
+            if name == "addto":
+                source.match(re.compile(r"\s*\{?\s*\\[a-zA-Z@]+\s*\}?"))
+            elif name in DEFINITIONS:
+                before, environments = dict(self.macros), dict(self.environments)
+                DEFINITIONS[name](self, source, name)
+                made = [x for k, x in self.macros.items() if before.get(k) is not x] + [x for k, x in self.environments.items() if environments.get(k) is not x]
+                if name == "define@key" or any(x.n_args or x.params or x.kind == "environment" or lexing.has_parameters(x.body) for x in made):
+                    for x in made:  # to be expanded when its arguments are known
+                        self.macros.pop(x.name, None) if x.kind != "environment" else self.environments.pop(x.name, None)
+                    keep(source.text[start : source.at] if len(source.below) == below else m[0])
+            elif (macro := self.macros.get(name)) is not None and not macro.math_only:
+                self.count()
+                source.push(macro.expand(source))
+            elif (name in CONDITIONS or name in self.ifs) and self.conditional(source, name):
+                continue
+            elif name in ("@ifclassloaded", "@ifpackageloaded", "@ifundefined"):
+                source.arguments("{{{")
+            elif name in DROP and name not in KEPT_LAYOUT:
+                star(source)
+                source.arguments(DROP[name])
+            else:
+                out.append(m[0])
+        text = re.sub(r"[^\S\n]+", " ", "".join(out))
+        return re.sub(r"\0(\d+)\0", lambda m: held[int(m[1])], text)
 
     def style(self, path: str) -> None:
         """Definitions of a local style or class file; their bodies are erased unless expand_styles."""
@@ -98,10 +160,21 @@ class Parser:
                     self.style(name.strip() + end)
         known = set(self.macros)
         source = Input(text)
-        while (m := re.compile(r"\\([a-zA-Z@]+)").search(source.text, source.at)) is not None:
+        while (m := re.compile(r"\\([a-zA-Z@]+)").search(source.text, source.at)) is not None or source.join():
+            if m is None:
+                continue
             source.at = m.end()
-            if m[1] in DEFINITIONS:
+            if m[1].lower() == "atbegindocument":
+                source.push(source.block() or "")
+            elif m[1] in DEFINITIONS:
                 DEFINITIONS[m[1]](self, source, m[1])
+            elif m[1] == "IfFileExists":
+                parts = [*source.arguments("{{{"), "", "", ""]
+                source.push((parts[1] if (parts[0] or "").strip() in self.files else parts[2]) or "")
+            elif m[1] in ("@ifclassloaded", "@ifpackageloaded", "@ifundefined"):
+                source.arguments("{{{")
+            elif m[1] in CONDITIONS or m[1] in self.ifs:
+                self.conditional(source, m[1])
         for name in set(self.macros) - known:
             self.macros[name].from_style = True
             if not self.expand_styles:
@@ -226,7 +299,7 @@ class Parser:
 
     def equation(self, content: str, display: bool, numbered: bool = False, align: bool = False) -> Token | None:
         found = [k.strip() for k in _LABEL.findall(content)]
-        content, placeholders = self.math(_LABEL.sub("", content))
+        content, placeholders = self.math(_LABEL.sub("", lexing.pairs_as_environments(content)))
         if not content.strip():
             return None
         t: Token = {"type": "equation", "content": content.strip()}
@@ -273,6 +346,8 @@ class Parser:
                 key = f"___PLACEHOLDER_{len(held)}___"
                 held[key] = tokens
                 out.append(key)
+            elif name == "csname" and (named := _csname_of(self, source)) is not None:
+                source.push("\\" + named + (" " if source.text[source.at : source.at + 1].isalpha() else ""))
             elif name in BOXES:
                 source.arguments(BOXES[name])
                 source.push(source.block() or "")
@@ -322,6 +397,14 @@ class Parser:
         if (longer := _LETTERED.match(m[0] + source.text[source.at : source.at + 40])) and longer[1] != name and (longer[1] in self.macros or longer[1] in DEFINITIONS or longer[1] in HANDLERS or longer[1] in DROP):
             source.at += len(longer[1]) - len(name)
             name = longer[1]
+        elif longer and longer[1].startswith("Hy@"):
+            source.at += len(longer[1]) - len(name)
+            source.arguments("{")
+            return
+        self.named(name, source, out, frame)
+
+    def named(self, name: str, source: Input, out: list[Token], frame: Frame) -> None:
+        """What a command means, by its name; its arguments follow in the source."""
         macro = self.macros.get(name)
         if macro and not macro.math_only:
             self.count()
@@ -963,6 +1046,44 @@ def _num(p, source, name, out, frame):
     p.put_text(out, value, frame)
 
 
+@handles("csname")
+def _csname(p, source, name, out, frame):
+    named = _csname_of(p, source)
+    if named is not None:
+        p.named(named, source, out, frame)
+
+
+def _csname_of(p, source) -> str | None:
+    """The name that stands up to \\endcsname, with the macros in it replaced."""
+    m = source.match(re.compile(r"((?:(?!\\endcsname).)*)\\endcsname(?![a-zA-Z@])", re.S))
+    return re.sub(r"\s|\\(?:expandafter|string)(?![a-zA-Z@])", "", expanded(p, m[1])) if m else None
+
+
+@handles("wd ht dp")
+def _box_size(p, source, name, out, frame):
+    source.match(re.compile(r"\s*(?:\d+|\\[a-zA-Z@]+(?:\s*\{[^{}]*\})?)"))
+    source.match(_ASSIGNED)
+
+
+@handles("textfont scriptfont scriptscriptfont")
+def _math_font(p, source, name, out, frame):
+    source.match(re.compile(r"\s*(?:\d+|\\[a-zA-Z@]+)\s*=\s*\\[a-zA-Z@]+"))
+
+
+@handles("cmidrule")
+def _cmidrule(p, source, name, out, frame):
+    source.match(re.compile(r"\s*\([^()]*\)"))
+    source.arguments("[{")
+
+
+@handles("baselineskip lineskip")
+def _line_skip(p, source, name, out, frame):
+    """The length after it goes; so does a factor before it, which was read as text: 1.5\\baselineskip."""
+    if out and out[-1]["type"] == "text" and isinstance(out[-1]["content"], str) and not frame.space:
+        out[-1]["content"] = _FACTOR.sub("", out[-1]["content"])
+    source.match(_DIMENSION)
+
+
 @handles("backslash textbackslash arraybackslash")
 def _backslash(p, source, name, out, frame):
     source.match(re.compile(r"\{\}"))

@@ -184,12 +184,21 @@ def parameters(text: str) -> list[str]:
     return re.split(r"#\d", text)
 
 
+#: One atom of math: a braced group, a command without arguments, or a character.
+_ATOM = re.compile(r"\{(?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{[^{}]*\})*\})*\}|\\[a-zA-Z@]+|\\.|[^\\{}]", re.S)
+#: A command whose argument is not braced: it takes in what comes next.
+_OPEN_END = re.compile(r"\\[a-zA-Z@]+\s+\w+\Z")
+
+
 def wrap_math(expanded: str, before: str, after: str) -> str:
-    """Braces around an expansion in math where its neighbours would run into it."""
+    """An expansion as it can stand between its neighbours in math. TeX reads tokens, so there a macro's result never joins the text around it; in a text that is
+    read again it would, and gets braces: where it is more than one atom and the sign before binds only one, where a word or number on either side would grow together
+    with it, and where it ends in a command with a bare argument.
+    """
     text = expanded.strip()
-    if not text or (text[0] == "{" and text[-1] == "}"):
-        return text
-    wrap = (text[0].isalnum() and before[-1:].isalnum()) or (text[-1].isalnum() and after[:1].isalnum())
-    if not wrap and text[0] == "\\" and not text[1:].isalpha() and before:
-        wrap = before[-1] in "_^" or re.search(r".\s+\w+$", text) is not None
-    return "{" + text + "}" if wrap else text
+    if not text or _ATOM.fullmatch(text):
+        joined = bool(text) and text[-1].isalnum() and text[0] != "\\" and (before[-1:].isalnum() or after[:1].isalnum())
+        return "{" + text + "}" if joined else text
+    binds = before[-1:] in ("_", "^")
+    grows = (text[0].isalnum() and before[-1:].isalnum()) or (text[-1].isalnum() and after[:1].isalnum())
+    return "{" + text + "}" if binds or grows or _OPEN_END.search(text) and before else text

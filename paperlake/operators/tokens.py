@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .catalogue import TOKEN_TYPES
 from .kernel import Parser
@@ -83,7 +84,7 @@ def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     read before and one of type error with the reason as its text; null and empty texts give no row.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    arrow_id = to_arrow_type(documents.schema[id_col].dataType)
     schema = pa.schema([(id_col, arrow_id), *COLUMNS])
     wanted = set(types) | {"error"} if types else None
     chosen = documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *([F.col(f"`{files_col}`")] if files_col else []))
@@ -155,13 +156,16 @@ def definitions(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def register_sql(spark) -> None:
-    """SQL functions latex_strip_comments, latex_to_text, latex_to_json, and the table function latex_tokens for LATERAL use."""
+    """SQL functions latex_strip_comments (native), latex_to_text, latex_to_json, and the table function latex_tokens for LATERAL use."""
     from pyspark.sql.functions import udf, udtf
 
-    from paperlake.functions import lexing
+    from paperlake.functions import columns
     from paperlake.plans import document
 
-    spark.udf.register("latex_strip_comments", udf(lambda x: None if x is None else lexing.strip_comments(x), "string", useArrow=True))
+    body = "x"
+    for pattern, put in columns.COMMENT_RULES:
+        body = f"regexp_replace({body}, r'{pattern}', '{put}')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION latex_strip_comments(x STRING) RETURNS STRING RETURN {body}")
     spark.udf.register("latex_to_text", udf(lambda x: None if x is None else document.plain_text(Parser().document(x)), "string", useArrow=True))
     spark.udf.register("latex_to_json", udf(lambda x: None if x is None else document.to_json(x), "string", useArrow=True))
     short = T.StructType([T.StructField(n, {"long": T.LongType(), "string": T.StringType()}[_SPARK[t]]) for n, t in COLUMNS if _SPARK[t] in ("long", "string")])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlake.operators.catalogue import TOKEN_TYPES
 from paperlake.operators.kernel import Parser, inline
@@ -183,9 +186,29 @@ def plain_text(tokens: list[dict]) -> str:
 
 
 def documents_json(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", preprocess: bool = False, files_col: str | None = None) -> DataFrame:
-    """id, json: one numbered document tree a row, made where its text is: no shuffle."""
-    if files_col:
-        make = F.udf(lambda x, files: None if x is None else to_json(x, preprocess, dict(files or {})), "string", useArrow=True)
-        return documents.select(id_col, make(F.col(text_col), F.col(files_col)).alias("json"))
-    make = F.udf(lambda x: None if x is None else to_json(x, preprocess), "string", useArrow=True)
-    return documents.select(id_col, make(F.col(text_col)).alias("json"))
+    """id, json: one numbered document tree a row, made in one Arrow pass where its text is: no shuffle, one document in memory at a time. A null text has no JSON."""
+    chosen = documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *([F.col(f"`{files_col}`")] if files_col else []))
+    kind = documents.schema[id_col].dataType
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py()
+                files = dict(b.column(2)[k].as_py() or {}) if files_col else None
+                made = None if text is None else to_json(text, preprocess, files)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([made], pa.string())], names=[id_col, "json"])
+
+    return chosen.mapInArrow(make, T.StructType([T.StructField(id_col, kind), T.StructField("json", T.StringType())]))
+
+
+def flattened(tokens: list[dict]) -> tuple[str, dict[str, dict]]:
+    """A token list as one text, and what stands behind its marks: every token that isn't plain text is written as `|REF_n|`, numbered in order."""
+    parts, held = [], {}
+    for t in tokens:
+        if t.get("type") == "text" and isinstance(t.get("content"), str) and not t.get("styles"):
+            parts.append(t["content"])
+        else:
+            key = f"REF_{len(held)}"
+            held[key] = t
+            parts.append(f"`|{key}|`")
+    return "".join(parts), held

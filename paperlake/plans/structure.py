@@ -48,12 +48,16 @@ def section_parents(sections: DataFrame, id_col: str = "doc_id", order: str = "p
     return rows.withColumn("parent", parent.cast("long")).drop(*[f"__l{n}" for n in range(deepest)])
 
 
+#: Token types that number_blocks looks at: all that the kernel needs to write for it.
+BLOCKS = ["equation", "table", "figure", "algorithm", "math_env", "section"]
+
+
 def number_blocks(tokens: DataFrame, id_col: str = "doc_id", order: str = "token_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, order, type, name, numbering, and the carried columns, for numbered equations, tables, figures and algorithms (document-wide), and theorems (by level-1 section).
 
     Equations in table cells, titles and placeholders are never numbered.
     """
-    rows = tokens.filter((F.col("slot") == "content") & (F.col("type").isin("equation", "table", "figure", "algorithm", "math_env", "section")))
+    rows = tokens.filter((F.col("slot") == "content") & (F.col("type").isin(*BLOCKS)))
     rows = rows.select(id_col, order, "type", "name", "numbered", "level", *carry)
     top = (F.col("type") == "section") & (F.col("level") == 1)
     rows = rows.withColumn("seen", _count(top, [id_col], order)).withColumn("n1", _count(top & F.col("numbered"), [id_col], order))
@@ -84,15 +88,18 @@ def merge_text(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return texts.drop("run")
 
 
-def list_depths(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, token_id, depth for each list: how many lists it lies in, itself included.
+def list_depths(tokens: DataFrame, id_col: str = "doc_id", types: tuple[str, ...] = ("list",)) -> DataFrame:
+    """id, token_id, type, depth for each list, and for tokens of the other types asked for: how many lists it lies in, itself included.
 
-    An ancestor is a list that began before and whose last descendant is not before this one: lists still open, a running count of begins less ends.
+    An ancestor is a list that began before and whose last descendant is not before this token: lists still open, a running count of begins less ends. The
+    tokens are read once.
     """
-    lists = tokens.filter("type = 'list'").select(id_col, "token_id", "last_desc")
-    events = lists.select(id_col, F.col("token_id").alias("at"), F.lit(1).alias("step"), "token_id").unionByName(lists.select(id_col, F.col("last_desc").alias("at"), F.lit(-1).alias("step"), "token_id"))
+    event = lambda at, step: F.struct(F.col(at).alias("at"), F.lit(step).alias("step"))
+    steps = F.when(F.col("type") == "list", F.array(event("token_id", 1), event("last_desc", -1))).otherwise(F.array(event("token_id", 0)))
+    events = tokens.filter(F.col("type").isin("list", *types)).select(id_col, "token_id", "type", F.explode(steps).alias("e")).select(id_col, "token_id", "type", "e.at", "e.step")
     w = Window.partitionBy(id_col).orderBy("at", F.desc("step"), "token_id").rowsBetween(*UPTO)
-    return events.withColumn("depth", F.sum("step").over(w).cast("long")).filter("step = 1").select(id_col, "token_id", "depth")
+    counted = events.withColumn("depth", F.sum("step").over(w).cast("long"))
+    return counted.filter((F.col("step") >= 0) & F.col("type").isin(*types)).select(id_col, "token_id", "type", "depth")
 
 
 def enclosing_section(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -121,7 +121,7 @@ def enclosing_sections(spark, d):
 @query(with_lines("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::VARCHAR AS numbering, 'x_{' || i || '}' AS text FROM l WHERE i % 2 = 0"))
 def equation_numbers(spark, d):
     piece = F.when(F.col("i") % 2 == 0, tex("\\begin{equation}\nx_{", F.col("i").cast("string"), "}\n\\end{equation}")).otherwise(tex("$y$ \\begin{equation*} z \\end{equation*} \\[ w \\]"))
-    tokens = parse_documents(write(lines(spark, d), "doc_id", "i", piece))
+    tokens = parse_documents(write(lines(spark, d), "doc_id", "i", piece), types=structure.BLOCKS)
     return structure.number_blocks(tokens, carry=("text",)).select("doc_id", "numbering", "text")
 
 
@@ -129,7 +129,7 @@ def equation_numbers(spark, d):
 def theorem_numbers(spark, d):
     name = F.when(F.col("i") % 2 == 0, "lemma").otherwise("theorem")
     made = F.when(F.col("i") % 4 == 0, tex("\\section{S}")).when(F.col("line") == "", "").otherwise(tex("\\begin{", name, "}", escape(F.col("line")), "\\end{", name, "} \\begin{theorem*}x\\end{theorem*} \\begin{proof}p\\end{proof}"))
-    return structure.number_blocks(parse_documents(write(lines(spark, d), "doc_id", "i", made))).select("doc_id", "name", "numbering")
+    return structure.number_blocks(parse_documents(write(lines(spark, d), "doc_id", "i", made), types=structure.BLOCKS)).select("doc_id", "name", "numbering")
 
 
 @query(with_lines("SELECT doc_id, count(*)::BIGINT AS n FROM l WHERE i % 2 = 0 AND line <> '' GROUP BY doc_id"))
@@ -283,15 +283,15 @@ def table_spans(spark, d):
     return cells.groupBy("doc_id").agg(F.sum(F.when(F.col("col") == 0, F.col("colspan"))).alias("colspans"), F.sum(F.when(F.col("col") == 1, F.col("rowspan"))).alias("rowspans"))
 
 
-@query("SELECT o_custkey % 200 AS doc_id, count(DISTINCT o_orderkey)::BIGINT AS outer_items, count(*)::BIGINT AS inner_items, count(DISTINCT o_orderkey)::BIGINT AS lists_2 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+@query("SELECT o_custkey AS doc_id, count(DISTINCT o_orderkey)::BIGINT AS outer_items, count(*)::BIGINT AS inner_items, count(DISTINCT o_orderkey)::BIGINT AS lists_2 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def list_depth(spark, d):
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    rows = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("doc_id", F.col("o_custkey") % 200)
+    rows = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("doc_id", F.col("o_custkey"))
     piece = tex("\\item order \\begin{enumerate}", F.repeat(F.lit("\\item[a] line "), F.col("n").cast("int")), "\\end{enumerate}")
-    tokens = parse_documents(write(rows, "doc_id", "o_orderkey", piece, "\n", "\\begin{itemize}", "\\end{itemize}"))
-    depth = structure.list_depths(tokens).select("doc_id", F.col("token_id").alias("parent_id"), F.col("depth").alias("of"))
-    counted = tokens.filter("type = 'item'").join(depth, ["doc_id", "parent_id"])
-    return counted.groupBy("doc_id").agg(F.count_if(F.col("of") == 1).alias("outer_items"), F.count_if(F.col("of") == 2).alias("inner_items"), F.countDistinct(F.when(F.col("of") == 2, F.col("parent_id"))).alias("lists_2"))
+    tokens = parse_documents(write(rows, "doc_id", "o_orderkey", piece, "\n", "\\begin{itemize}", "\\end{itemize}"), types=["list", "item"])
+    found = structure.list_depths(tokens, types=("list", "item"))
+    item, of = F.col("type") == "item", F.col("depth")
+    return found.groupBy("doc_id").agg(F.count_if(item & (of == 1)).alias("outer_items"), F.count_if(item & (of == 2)).alias("inner_items"), F.count_if(~item & (of == 2)).alias("lists_2"))
 
 
 @query(with_lines("SELECT doc_id, md5(string_agg(line || '/' || CASE WHEN i % 2 = 0 THEN 'bold' ELSE 'italic,bold' END, ' ' ORDER BY i)) AS digest FROM l WHERE line <> '' GROUP BY doc_id"))
@@ -333,9 +333,9 @@ def footnotes(spark, d):
     return inside.groupBy("doc_id").agg(F.count("*").alias("notes"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT o_orderkey AS doc_id, 'C' || o_custkey AS first, o_orderpriority AS second FROM orders WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS doc_id, 'C' || o_custkey AS first, o_orderpriority AS second FROM orders")
 def authors(spark, d):
-    docs = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("doc_id"), tex("\\author{C", F.col("o_custkey").cast("string"), " \\and ", F.col("o_orderpriority"), "}").alias("text"))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), tex("\\author{C", F.col("o_custkey").cast("string"), " \\and ", F.col("o_orderpriority"), "}").alias("text"))
     rows = parse_documents(docs).filter("slot = 'author'")
     return rows.groupBy("doc_id").agg(F.max(F.when(F.col("slot_key") == "0", F.col("text"))).alias("first"), F.max(F.when(F.col("slot_key") == "1", F.col("text"))).alias("second"))
 

@@ -49,7 +49,10 @@ def unpack(name: str, content: bytes) -> Iterator[tuple[str, bytes | None, str |
             pass
         if name.endswith((".tar.gz", ".tgz", ".gz")):
             with gzip.open(io.BytesIO(content)) as g:
-                text = g.read(MOST_BYTES)
+                text = g.read(MOST_BYTES + 1)
+            if len(text) > MOST_BYTES:
+                yield name, None, "too large"
+                return
             base = name.rpartition("/")[2].removesuffix(".gz")
             base = base if base.endswith(".tex") else base + ".tex"
             main = b"\\documentclass" in text or b"\\begin{document}" in text
@@ -87,11 +90,13 @@ def explode(found: DataFrame, root: str = "") -> DataFrame:
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """Adds text and encoding: UTF-8 where the bytes are valid, else Windows-1252 where only its bytes occur, else Latin-1."""
+    """Adds text and encoding: UTF-16 or UTF-32 where a byte order mark says so, UTF-8 where the bytes are valid, else Windows-1252 where only its bytes occur, else Latin-1."""
     raw = F.col("content")
+    begin = F.hex(F.substring(raw, 1, 4))
+    wide = F.when(begin.isin("FFFE0000", "0000FEFF"), "utf-32").when(begin.rlike("^(?:FFFE|FEFF)"), "utf-16")
     odd = F.hex(raw).rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
-    encoding = F.when(F.is_valid_utf8(raw.cast("string")), "utf-8").when(odd, "latin-1").otherwise("cp1252")
-    text = F.when(F.col("encoding") == "utf-8", F.decode(raw, "UTF-8")).when(F.col("encoding") == "latin-1", F.decode(raw, "ISO-8859-1")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), *_CP1252))
+    encoding = F.when(wide.isNotNull(), wide).when(F.is_valid_utf8(raw.cast("string")), "utf-8").when(odd, "latin-1").otherwise("cp1252")
+    text = F.when(F.col("encoding") == "utf-16", F.decode(raw, "UTF-16")).when(F.col("encoding") == "utf-32", F.decode(raw, "UTF-32")).when(F.col("encoding") == "utf-8", F.decode(raw, "UTF-8")).when(F.col("encoding") == "latin-1", F.decode(raw, "ISO-8859-1")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), *_CP1252))
     return files.withColumn("encoding", encoding).withColumn("text", F.regexp_replace(text, "^\ufeff", ""))
 
 
@@ -127,17 +132,34 @@ def include_edges(files: DataFrame) -> DataFrame:
     return exact.join(known2, (F.col("paper_id") == F.col("p2")) & (F.col("with_ext") == F.col("t2")), "left").select("paper_id", "rel_path", "named", F.coalesce("t1", "t2").alias("target"))
 
 
-def reachable(files: DataFrame, most: int = 32) -> DataFrame:
-    """paper_id, rel_path, depth: files that a paper's main file includes, directly or not; a cycle is entered once."""
-    edges = include_edges(files).filter("target IS NOT NULL").select("paper_id", "rel_path", "target").distinct()
-    seen = main_files(files).select("paper_id", "rel_path", F.lit(0).cast("long").alias("depth"))
-    edge, start = "paperlake_edges", "paperlake_start"
-    edges.createOrReplaceTempView(edge)
-    seen.createOrReplaceTempView(start)
-    return files.sparkSession.sql(
-        f"WITH RECURSIVE r(paper_id, rel_path, depth) AS (SELECT paper_id, rel_path, depth FROM {start} UNION ALL SELECT r.paper_id, e.target, r.depth + 1 FROM r JOIN {edge} e ON r.paper_id = e.paper_id AND r.rel_path = e.rel_path WHERE r.depth < {most})"
-        " SELECT paper_id, rel_path, min(depth) AS depth FROM r GROUP BY paper_id, rel_path"
-    )
+def reachable(files: DataFrame) -> DataFrame:
+    """paper_id, rel_path, depth: files that a paper's main file includes, directly or not, however deep; a cycle is entered once. depth is the shortest way.
+
+    A paper's edges are few and belong together: they are followed where they are brought together, breadth first.
+    """
+    edges = include_edges(files).filter("target IS NOT NULL").groupBy("paper_id").agg(F.collect_set(F.struct("rel_path", "target")).alias("edges"))
+    rows = main_files(files).select("paper_id", "rel_path").join(edges, "paper_id", "left").select(F.col("paper_id").cast("string").alias("paper_id"), "rel_path", "edges")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for paper, main, found in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                next_of: dict[str, list[str]] = {}
+                for e in found or []:
+                    next_of.setdefault(e["rel_path"], []).append(e["target"])
+                depth, queue = {main: 0}, [main]
+                for path in queue:
+                    for t in sorted(next_of.get(path, [])):
+                        if t not in depth:
+                            depth[t] = depth[path] + 1
+                            queue.append(t)
+                for path, d in depth.items():
+                    for c, v in zip(out, (paper, path, d), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["paper_id", "rel_path", "depth"])
+
+    kind = files.schema["paper_id"].dataType
+    return rows.mapInArrow(follow, "paper_id string, rel_path string, depth long").withColumn("paper_id", F.col("paper_id").cast(kind))
 
 
 def write_json(documents: DataFrame, path: str) -> None:
