@@ -3,10 +3,10 @@ r"""Secret scans with an incremental blob ledger, in DataFrame operations only.
 Every historical version of every path is a blob, addressed by the SHA-256 of its content. A ledger holds which (blob, rule, rule version)
 have been scanned and what was found; only pairs that it lacks are scanned, each blob once however many versions hold it, and findings
 are joined back to all paths. Giving the ledger that a scan returns to the next one makes scanning incremental; a changed rule (a new version) is scanned
-over all blobs again, the others not. ``counted`` scans so in two steps: all versions with the base rules, then, with the ledger of that, with all rules, of which
-only the added ones are still to be scanned.
+over all blobs again, the others not. The query begins with an empty ledger, so it scans every blob once; its findings are read from the ledger that the scan leaves.
 
-A blob that very many versions hold is one row of the scan; its findings go back to them by a broadcast of such blobs (``join_hot``), the others' by a shuffle.
+Content is shuffled only to bring a blob's copies together for the scan, and not at all if the ledger has every pair; all else works on addresses. A blob that very many versions hold is one row of the scan; its
+findings go back to them by a broadcast of such blobs (``join_hot``), the others' by a shuffle.
 
 Spans are code points, end exclusive. The engine's regex functions return texts, not places: a rule's matches and the gaps between them
 alternate, so a match begins at the sum of the lengths before it, a running sum per (blob, rule).
@@ -51,40 +51,57 @@ RULES = BASE + ADDED
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,stop:int>>"
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger) for versions (path, content) and the ledger so far.
-
-    findings: path, blob, and spans: an array of (start, rank of rule, stop) in that order, for every version. ledger: LEDGER rows of the pairs that this
-    scan added; append them to the ledger so far.
-    """
-    addressed = versions.select(F.col("path").alias("path"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")).withColumn("blob", F.sha2("content", 256))
-    paths = checkpoint(addressed.select("path", "blob"))
-    blobs = addressed.groupBy("blob").agg(F.first("content").alias("content"))
+def addresses(versions: DataFrame) -> DataFrame:
+    """path, blob for every version: narrow, kept, and read by everything that needs no content."""
+    return checkpoint(_addressed(versions).select("path", "blob"))
+
+
+def _addressed(versions: DataFrame) -> DataFrame:
+    return versions.select(F.col("path").alias("path"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")).withColumn("blob", F.sha2("content", 256))
+
+
+def scan_unseen(versions: DataFrame, paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """LEDGER rows of all pairs of a blob of these versions and a rule version that the ledger lacks: append them to it. paths: the versions' addresses."""
     every = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    todo = paths.select("blob").distinct()
     if ledger is None:
-        blobs = blobs.withColumn("todo", every)
+        todo = todo.withColumn("todo", every)
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
+        unseen = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+        todo = checkpoint(todo.join(seen, "blob", "left").select("blob", unseen.alias("todo")).filter(F.size("todo") > 0))
+    ranks = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for k, r in enumerate(rules)])
+    new = todo.select("blob", F.explode(F.filter(ranks, lambda r: F.array_contains("todo", F.concat_ws(":", r["rule"], r["version"])))).alias("r")).select("blob", "r.*")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    if ledger is not None and todo.isEmpty():
+        return new.select("blob", "rule", "version", none.alias("spans"))
+    blobs = _addressed(versions).groupBy("blob").agg(F.first("content").alias("content"))
+    blobs = blobs.withColumn("todo", every) if ledger is None else blobs.join(todo, "blob")
     hits = F.array(*[_hits(k, r) for k, r in enumerate(rules)])
     scanned = blobs.select("blob", F.filter(hits, lambda h: h.isNotNull()).alias("hits"))
     one = scanned.select("blob", F.explode("hits").alias("h")).select("blob", "h.rank", F.posexplode(F.arrays_zip("h.gap", "h.own", "h.kept")).alias("n", "m"))
     before = Window.partitionBy("blob", "rank").orderBy("n")
     placed = one.select("blob", "rank", F.col("m.kept").alias("kept"), F.col("m.own").alias("own"), F.sum(F.col("m.gap") + F.col("m.own")).over(before).cast("int").alias("stop")).filter("kept")
     placed = placed.select("blob", "rank", (F.col("stop") - F.col("own")).alias("start"), "stop")
-    per_blob = placed.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "stop"))).alias("spans"))
-    if ledger is not None:
-        kinds = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
-        known = ledger.select("blob", kinds[F.concat_ws(":", "rule", "version")].alias("rank"), F.explode("spans").alias("s")).filter("rank is not null")
-        both = placed.unionByName(known.select("blob", "rank", F.col("s.start").alias("start"), F.col("s.stop").alias("stop")))
-        per_blob = both.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "stop"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    findings = join_hot(paths, checkpoint(per_blob), "blob", paths.groupBy("blob").agg(F.count("*").alias("n")), paths.count(), "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
-    ranks = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for k, r in enumerate(rules)])
-    new = blobs.select("blob", F.explode(F.filter(ranks, lambda r: F.array_contains("todo", F.concat_ws(":", r["rule"], r["version"])))).alias("r")).select("blob", "r.*")
     found = placed.groupBy("blob", "rank").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    added = new.join(found, ["blob", "rank"], "left").select("blob", "rule", "version", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"))
-    return findings, added
+    return new.join(found, ["blob", "rank"], "left").select("blob", "rule", "version", F.coalesce("spans", none).alias("spans"))
+
+
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob, and spans: an array of (start, rank of rule, stop) in that order, for every version, read from the ledger."""
+    kinds = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
+    known = ledger.select("blob", kinds[F.concat_ws(":", "rule", "version")].alias("rank"), F.explode("spans").alias("s")).filter("rank is not null")
+    per_blob = known.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), "rank", F.col("s.stop").alias("stop")))).alias("spans"))
+    empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
+    counts = paths.groupBy("blob").agg(F.count("*").alias("n"))
+    return join_hot(paths, checkpoint(per_blob), "blob", counts, paths.count(), "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings of all versions (path, content), LEDGER rows that this scan added to the ledger so far)."""
+    paths = addresses(versions)
+    added = checkpoint(scan_unseen(versions, paths, ledger, rules))
+    return findings(paths, added if ledger is None else ledger.unionByName(added), rules), added
 
 
 def _hits(rank: int, rule: Rule) -> F.Column:
@@ -101,15 +118,14 @@ def _hits(rank: int, rule: Rule) -> F.Column:
 
 
 def counted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the findings of all documents' scans, first by the base rules into a new ledger, then by all."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: the findings of all documents, through a new ledger."""
     docs = only(documents, doc_id="long", text="string").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    _, ledger = scan(docs, None, BASE)
-    findings, _ = scan(docs, checkpoint(ledger), rules)
+    found, _ = scan(docs, None, rules)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     number = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
-    return findings.select(
+    return found.select(
         F.col("path").alias("doc_id"), *[number(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
     )
