@@ -123,7 +123,7 @@ def pairs_as_environments(text: str) -> str:
     if "\\end" not in text:
         return text
     found = [m for m in _PAIR.finditer(text) if not escaped(text, m.start())]
-    ends = {m[2] for m in found if m[1]}
+    ends = {m[2] for m in found if m[1]} - {"csname"}
     open_: dict[str, list[re.Match]] = {}
     put: dict[int, tuple[int, str]] = {}
     for m in found:

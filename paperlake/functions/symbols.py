@@ -18,7 +18,7 @@ CORE = {
     "ge": "≥", "geq": "≥", "neq": "≠", "ne": "≠", "approx": "≈", "equiv": "≡", "sim": "∼", "simeq": "≃", "cong": "≅", "propto": "∝", "ll": "≪", "gg": "≫", "to": "→", "rightarrow": "→",
     "leftarrow": "←", "leftrightarrow": "↔", "Rightarrow": "⇒", "Leftarrow": "⇐", "Leftrightarrow": "⇔", "mapsto": "↦", "uparrow": "↑", "downarrow": "↓", "forall": "∀", "exists": "∃", "nexists": "∄", "in": "∈", "notin": "∉", "ni": "∋",
     "subset": "⊂", "subseteq": "⊆", "supset": "⊃", "supseteq": "⊇", "cup": "∪", "cap": "∩", "setminus": "∖", "emptyset": "∅", "varnothing": "∅", "partial": "∂", "nabla": "∇", "sum": "∑", "prod": "∏", "int": "∫",
-    "oint": "∮", "sqrt": "√", "angle": "∠", "perp": "⊥", "parallel": "∥", "wedge": "∧", "vee": "∨", "neg": "¬", "lnot": "¬", "oplus": "⊕", "otimes": "⊗", "top": "⊤", "bot": "⊥", "vdash": "⊢",
+    "oint": "∮", "sqrt": "√", "angle": "∠", "perp": "⊥", "parallel": "∥", "wedge": "∧", "vee": "∨", "neg": "¬", "lnot": "¬", "oplus": "⊕", "oslash": "⊘", "otimes": "⊗", "top": "⊤", "bot": "⊥", "vdash": "⊢",
     "models": "⊨", "ell": "ℓ", "hbar": "ℏ", "Re": "ℜ", "Im": "ℑ", "aleph": "ℵ", "wp": "℘", "prime": "′", "dagger": "†", "ddagger": "‡", "langle": "⟨", "rangle": "⟩", "lfloor": "⌊", "rfloor": "⌋", "lceil": "⌈",
     "rceil": "⌉", "checkmark": "✓", "square": "□", "blacksquare": "■", "triangle": "△", "diamond": "⋄", "clubsuit": "♣", "heartsuit": "♡", "spadesuit": "♠", "flat": "♭", "natural": "♮", "sharp": "♯", "textmu": "µ", "LaTeX": "LaTeX", "TeX": "TeX",
 }
@@ -32,7 +32,7 @@ CYRILLIC = "A B V G D E ZH Z I ISHRT K L M N O P R S T U F H C CH SH SHCH HRDSN
 #: TeX names of fewer than six letters that are entity names too. Longer entity names are all taken; shorter ones are abbreviations of HTML's own.
 SHORT_NAMES = frozenset(
     "prec succ asymp doteq frown smile Vdash vDash bumpe nmid nsim ncong nleq ngeq lneq gneq lneqq gneqq nless ngtr npar napid nprec nsucc Subset Supset Cap Cup uplus sqcup sqcap odot amalg unlhd unrhd ltimes rtimes barvee vert Vert"
-    " circeq beth gimel daleth eth hslash lll ggg leqq geqq lhd rhd mho Uparrow Bbbk imath jmath lbrace rbrace wr ominus oslash coprod iint iiint male female phone cent yen sung lnsim gnsim lnap gnap iff bigcap bigcup bigvee".split()
+    " circeq beth gimel daleth eth hslash lll ggg leqq geqq lhd rhd mho Uparrow Bbbk imath jmath lbrace rbrace wr ominus coprod iint iiint male female phone cent yen sung lnsim gnsim lnap gnap iff bigcap bigcup bigvee".split()
 )
 #: Text commands named for what they show, by their character's Unicode name.
 NAMED = {

@@ -23,7 +23,7 @@ _SPACE = re.compile(r"\s+")
 _COMMAND = re.compile(r"\\(?:([a-zA-Z]+|@[a-zA-Z@]+)|(.))", re.S)
 _CODE_POINT = re.compile(r"\\u(?=[a-fA-F]{0,3}\d)(0?[0-9a-fA-F]{4}(?![0-9a-fA-F])|10[0-9a-fA-F]{4}|[0-9a-fA-F]{4})")
 _LETTERED = re.compile(r"\\([a-zA-Z@]+)")
-_DIMENSION = re.compile(r"\s*=?\s*(?:by\s*)?-?\s*(?:\\[a-zA-Z]+|[\d.,]*\s*(?:true)?\s*(?:pt|em|ex|cm|mm|in|bp|pc|dd|cc|sp|mu|fil+)?(?![a-zA-Z])\s*(?:\\[a-zA-Z]+)?)(?:\s*(?:plus|minus)\s*-?[\d.]+\s*(?:pt|em|ex|cm|mm|in|fil+)?)*")
+_DIMENSION = re.compile(r"\s*=?\s*(?:by\s*)?-?\s*(?:[\d.,]*\\[a-zA-Z@]+|[\d.,]*\s*(?:true)?\s*(?:pt|em|ex|cm|mm|in|bp|pc|dd|cc|sp|mu|fil+)?(?![a-zA-Z]))(?:\s*(?:plus|minus)\s*-?[\d.]+\s*(?:pt|em|ex|cm|mm|in|fil+)?)*")
 _ASSIGNED = re.compile(r"\s*=\s*-?(?:[\d.]+\s*(?:pt|em|ex|cm|mm|in)?(?![a-zA-Z])|\\[a-zA-Z@]+)")
 _FACTOR = re.compile(r"-?\d*\.?\d+\Z")
 _COND = re.compile(r"\\(if[a-zA-Z@]*|elseif|elsif|else|or|fi)(?![a-zA-Z@])")
@@ -394,7 +394,7 @@ class Parser:
         if name is None:
             self.sign(sign, source, out, frame)
             return
-        if (longer := _LETTERED.match(m[0] + source.text[source.at : source.at + 40])) and longer[1] != name and (longer[1] in self.macros or longer[1] in DEFINITIONS or longer[1] in HANDLERS or longer[1] in DROP):
+        if (longer := _LETTERED.match(m[0] + source.text[source.at : source.at + 40])) and longer[1] != name and (longer[1] in self.macros or longer[1] in DEFINITIONS or longer[1] in HANDLERS or longer[1] in DROP or longer[1] in self.ifs):
             source.at += len(longer[1]) - len(name)
             name = longer[1]
         elif longer and longer[1].startswith("Hy@"):
@@ -1076,6 +1076,12 @@ def _cmidrule(p, source, name, out, frame):
     source.arguments("[{")
 
 
+@handles("advance divide multiply")
+def _arithmetic(p, source, name, out, frame):
+    source.match(re.compile(r"\s*\\?[a-zA-Z@]+\d*"))
+    source.match(_DIMENSION)
+
+
 @handles("baselineskip lineskip")
 def _line_skip(p, source, name, out, frame):
     """The length after it goes; so does a factor before it, which was read as text: 1.5\\baselineskip."""
@@ -1379,3 +1385,8 @@ def _font(p, source, kind):
     m = source.match(re.compile(r"\s*\\([a-zA-Z@]+)\s*=\s*\S+(?:\s+(?:at|scaled)\s+[\d.]+\s*(?:pt|em)?)?"))
     if m:
         p.macros[m[1]] = Macro(m[1], "", kind="font")
+
+
+def is_command(name: str) -> bool:
+    """Whether a name has a meaning of its own, beside the characters that symbols stand for."""
+    return any(name in x for x in (HANDLERS, DEFINITIONS, STYLES, BOXES, DROP, DIMENSIONED, SPACES, FONT_SWITCHES, SIZE_SWITCHES, CONDITIONS, symbols.ACCENTS, symbols.ALPHABETS)) or name.lower() in INSENSITIVE

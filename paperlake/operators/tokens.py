@@ -77,8 +77,9 @@ def flatten(tree: list[dict]) -> list[dict]:
     return rows
 
 
-def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", preprocess: bool = False, types: list[str] | None = None, files_col: str | None = None) -> DataFrame:
-    """TOKENS rows, led by the id, of every document; types keeps only rows of those types. files_col: a map of further texts by path.
+def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", preprocess: bool = False, types: list[str] | None = None, files_col: str | None = None, expand_styles: bool = False) -> DataFrame:
+    """TOKENS rows, led by the id, of every document; types keeps only rows of those types. files_col: a map of further texts by path;
+    expand_styles: whether definitions of style files among them keep their bodies.
 
     Documents are read one at a time and rows written in batches, so memory holds one document. A document that cannot be read to its end gives the rows
     read before and one of type error with the reason as its text; null and empty texts give no row.
@@ -94,7 +95,7 @@ def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             for k in range(b.num_rows):
                 doc, text = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                for row in rows_of(text, preprocess, dict(b.column(2)[k].as_py() or {}) if files_col else None):
+                for row in rows_of(text, preprocess, dict(b.column(2)[k].as_py() or {}) if files_col else None, expand_styles):
                     if wanted is None or row["type"] in wanted:
                         held[0].append(doc)
                         for c, n in zip(held[1:], NAMES, strict=True):
@@ -108,10 +109,10 @@ def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(make, f"`{id_col}` {id_type}, {TOKENS}")
 
 
-def rows_of(text: str | None, preprocess: bool = False, files: dict[str, str] | None = None) -> list[dict]:
+def rows_of(text: str | None, preprocess: bool = False, files: dict[str, str] | None = None, expand_styles: bool = False) -> list[dict]:
     if not text:
         return []
-    parser = Parser(files)
+    parser = Parser(files, expand_styles)
     try:
         rows = flatten(parser.document(text, preprocess))
     except (ValueError, RecursionError) as e:

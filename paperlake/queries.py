@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import columns
+from paperlake.functions import symbols as SYMBOLS
+from paperlake.operators.kernel import is_command
 from paperlake.operators.tokens import parse_documents
 from paperlake.plans import document, graph, structure
 from paperlake.plans.synth import LINES_SQL, escape, lines, table, tex, write
@@ -466,6 +468,183 @@ read_back("line_breaks", lambda x, i: tex("\\mbox{", x, "}\\\\[2pt] next"), "lin
 read_back("typed_conditions", lambda x, i: tex("\\ifnum 1<2 ", x, "\\else no\\fi \\ifthenelse{c}{", i, "}{no} \\@ifundefined{z}{t}{no}"), "line || ' ' || i || ' t'")
 
 
+# layout that goes
+read_back("layout_contents", lambda x, i: tex("\\tableofcontents\\startcontents[a]\\contentspage\\printcontents[a]{b}{c}{d}\\addtocontents{toc}{\\x}\\titlecontents{a}{b}{c}{d}{e}{f}", x, "\\listoftables\\phantomsection"), "line")
+read_back("layout_pages", lambda x, i: tex("\\enlargethispage{2cm}\\pagecolor{red}\\samepage\\allowdisplaybreaks\\clearpage\\flushtop\\filbreak\\goodbreak\\raggedright ", x, "\\pagenumbering{roman}\\balance"), "line")
+read_back("layout_skips", lambda x, i: tex("\\bigskip\\medskip\\lastskip\\vskip 3pt plus 1pt minus 2pt\\abovedisplayshortskip 4pt \\penalty-100 \\clubpenalty=10000 \\interfootnotelinepenalty=500 ", x), "line")
+read_back("layout_styles", lambda x, i: tex("\\pagestyle{p}\\thispagestyle{q}\\theoremstyle{r}\\bibliographystyle{s}\\setcitestyle{t}\\renewpagestyle{u}{v}\\lstset{a=b}\\setlist[c]{d}\\captionsetup[e]{f=g}", x), "line")
+read_back("layout_margins", lambda x, i: tex("\\topmargin=2cm \\oddsidemargin 1in \\footskip=1cm \\marginparwidth 2pt \\itemindent=1em \\vfuzz2pt \\hoffset=-1in \\parindent 0pt ", x), "line")
+read_back("layout_line_skip", lambda x, i: tex("\\lineskip 2pt \\baselineskip=12pt ", x, " 1.5\\baselineskip{}"), "line")
+read_back("layout_rules", lambda x, i: tex("\\hline\\toprule\\midrule\\cmidrule(lr){1-2}\\cline{1-2}\\specialrule{a}{b}{c}\\rule{1cm}{2cm}\\hrule\\morecmidrules\\Xhline{2pt}\\cdashline{1-2}\\addlinespace[2pt]", x, "\\hrulefill"), "line")
+read_back("layout_options", lambda x, i: tex("\\ProcessOptions\\PassOptionsToPackage{a}{b}\\ExecuteBibliographyOptions{c}\\DeclareOption{d}{e}\\DeclareGraphicsExtensions{f}\\NeedsTeXFormat{g}[h]\\ProvidesPackage{i}[j]", x), "line")
+read_back("layout_fonts", lambda x, i: tex("\\DeclareFontShape{a}{b}{c}{d}{e}{f}\\DeclareFontFamily{a}{b}{c}\\DeclareSymbolFont{a}{b}{c}{d}{e}\\SetMathAlphabet{a}{b}{c}{d}{e}{f}\\textfont\\a=\\b \\setmathfont{F}\\fontsize{1}{2}\\selectfont ", x), "line")
+read_back("layout_counters", lambda x, i: tex("\\setcounter{a}{1}\\stepcounter{a}\\addtocounter{a}{2}\\numberwithin{a}{b}\\counterwithin{a}{b}\\refstepcounter{a}\\newcounter{b}[a]\\makeatletter\\@addtoreset{a}{b}\\c@page\\makeatother\\arabic{a}\\roman{a}\\value{a}", x), "line")
+read_back("layout_setup", lambda x, i: tex("\\hypersetup{a=b}\\geometry{c}\\mathtoolset{d}\\tcbset{e}\\usetikzlibrary{f}\\pgfplotsset{g}\\graphicspath{{h/}}\\hyphenation{a-b}\\newmdenv[a]{b}\\linespread{1.2}", x), "line")
+read_back("layout_registers", lambda x, i: tex("\\wd0 \\ht\\bx=2pt \\dp1 \\advance\\x by 2pt \\showthe\\unskip\\makeatletter\\Hy@raisedlink{q}\\@empty\\p@\\z@\\makeatother\\global\\relax ", x), "line")
+read_back("layout_dates", lambda x, i: tex("\\date{2020}\\subjclass{c}\\pacs{d}\\typeout{e}\\pdfinfo{f}\\pdfoutput=1 \\setdefaultlanguage{g}\\tracinglostchars=0 ", x, "\\today"), "line")
+read_back("layout_boxes_raised", lambda x, i: tex("\\raise 2pt\\hbox{", x, "} \\lower1ex\\hbox{", i, "}"), "line || ' ' || i")
+read_back("phantoms", lambda x, i: tex(x, "\\hspace{1cm}", i, "\\kern 2pt b"), "line || ' ' || i || 'b'")
+# macros
+read_back("macro_renewal", lambda x, i: tex("\\renewcommand{\\v}{v", i, "}\\v{} \\out{", x, "}"), "'v' || i || ' [v' || i || ' ' || line || ']'", "\\newcommand{\\v}{a}\\newcommand{\\out}[1]{[\\v{} #1]}\n")
+read_back("macro_provided", lambda x, i: tex("\\robust{", x, "} \\op "), "'<' || line || '>'", "\\providecommand{\\robust}[1]{<#1>}\\DeclareMathOperator{\\op}{op}\n")
+read_back("macro_csname_use", lambda x, i: tex("\\csname greet\\endcsname{", x, "} \\csname g\\kind\\endcsname{", i, "}"), "'Hi ' || line || '! Hi ' || i || '!'", "\\newcommand{\\greet}[1]{Hi #1!}\\newcommand{\\kind}{reet}\n")
+read_back("macro_named", lambda x, i: tex("\\nm{} ", x), "'N ' || line", "\\makeatletter\\@namedef{nm}{N}\\makeatother\n")
+read_back("macro_nested_parameters", lambda x, i: tex("\\outer{", i, "}\\inner{", x, "}"), "i || '-' || line", "\\newcommand{\\outer}[1]{\\renewcommand{\\inner}[1]{#1-##1}}\\newcommand{\\inner}[1]{}\n")
+read_back("macro_protected_names", lambda x, i: tex("\\textbf{", x, "} \\caption{c}"), "line || ' c'", "\\renewcommand{\\textbf}[1]{no}\\newcommand{\\caption}{no}\n")
+read_back("macro_registers", lambda x, i: tex("\\ln=2pt \\tk{a}\\ct=3 ", x), "line", "\\newlength{\\ln}\\newtoks\\tk\\newcount\\ct\\setlength{\\ln}{1pt}\n")
+read_back("macro_fonts", lambda x, i: tex("\\big ", x), "line", "\\font\\big=cmr10 at 12pt\n")
+read_back("macro_theorem_titles", lambda x, i: tex("\\begin{claimx}[", i, "]", x, "\\end{claimx}"), "i || ' ' || line", "\\newtheorem{claimx}{Claim}\n")
+read_back("macro_spaces", lambda x, i: tex("\\a ", x, "\\a{} ", i), "'A ' || line || 'A ' || i", "\\def\\a{A}\n")
+read_back("macro_optional", lambda x, i: tex("\\m{", x, "} \\m[", i, "]{b}"), "'d:' || line || ' ' || i || ':b'", "\\newcommand{\\m}[2][d]{#1:#2}\n")
+read_back("macro_missing_arguments", lambda x, i: tex("\\two{", x, "} / \\two"), "'(' || line || ',) / (,)'", "\\newcommand{\\two}[2]{(#1,#2)}\n")
+# conditionals
+read_back("if_else_or", lambda x, i: tex("\\iffalse no\\else ", x, "\\fi \\iftrue ", i, "\\else no\\fi"), "line || ' ' || i")
+read_back("if_files", lambda x, i: tex("\\IfFileExists{f}{", x, "}{no} \\ifdim 1pt<2pt d\\else no\\fi"), "line || ' d'")
+read_back("if_nested", lambda x, i: tex("\\ifdraft\\ifnum 1<2 ", x, "\\else no\\fi\\else\\ifx\\a\\b no\\fi no\\fi"), "line", "\\newif\\ifdraft\n")
+read_back("if_bools", lambda x, i: tex("\\ifbool{b}{", x, "}{no} \\setbool{b}{true}", i), "line || ' ' || i", "\\newbool{b}\n")
+# text
+read_back("style_names", lambda x, i: tex("\\textsf{a} \\texttt{b} \\textsl{c} \\textup{d} \\textmd{e} \\underline{", x, "} \\uppercase{f} \\textsuperscript{g}"), "'a b c d e ' || line || ' f g'")
+read_back("escapes", lambda x, i: tex("\\# \\$ \\% \\& \\_ \\{ \\} \\textbackslash{} ", x), "'# $ % & _ { } \\ ' || line")
+read_back("spaces", lambda x, i: tex("a\\quad b\\,c\\;d~e\\ f\\thinspace g\\!h ", x), "'a b c d e f gh ' || line")
+read_back("accents_in_words", lambda x, i: tex("Erd\\H{o}s G\\\"odel na\\\"{\\i}ve \\c{c}a \\v{s} \\r{a} ", x), "'Erdős Gödel naïve ça š å ' || line")
+read_back("cyrillic_and_dings", lambda x, i: tex("\\CYRZH\\cyra{} \\textonehalf{} \\textsection{} ", x), "'Жа ½ § ' || line")
+read_back("alphabets", lambda x, i: tex("\\mathbb{R} \\mathfrak{g} \\mathsfbf{A} \\mathbit{x} ", x), "'ℝ 𝔤 𝗔 𝒙 ' || line")
+read_back("unknown_stay_readable", lambda x, i: tex("\\unheard{", x, "} ", i), "line || ' ' || i")
+read_back("pair_environments", lambda x, i: tex("\\center ", x, "\\endcenter\\quote ", i, "\\endquote"), "line || ' ' || i")
+read_back("one_column", lambda x, i: tex("\\twocolumn[", x, "]\\onecolumn ", i), "line || ' ' || i")
+read_back("special_boxes", lambda x, i: tex("\\parbox[t]{2cm}{", x, "} \\makebox[1cm][l]{m} \\framebox[1cm]{f} \\colorbox{red}{c} \\fcolorbox{a}{b}{d} \\scalebox{2}[3]{s} \\rotatebox{90}{r} \\resizebox{1cm}{!}{z}"), "line || ' m f c d s r z'")
+read_back("deferred_boxes", lambda x, i: tex("\\savebox{\\bx}[1cm][l]{", x, "}\\setbox1=\\hbox{", i, "}\\usebox{\\bx} \\box1 \\copy1"), "line || ' ' || i || ' ' || i", "\\newsavebox{\\bx}\n")
+read_back("multicolumns", lambda x, i: tex("\\begin{multicols}{2}", x, "\\end{multicols}\\begin{spacing}{1.2}", i, "\\end{spacing}\\begin{adjustwidth}{a}{b}c\\end{adjustwidth}"), "line || ' ' || i || ' c'")
+
+
+def tokens_back(name: str, piece: Callable[[F.Column, F.Column], F.Column], pick: Callable[[], F.Column], sql: str, types: list[str], before: str = "", **how) -> None:
+    """Like read_back, for tokens of some types: what pick makes of each, in order."""
+
+    def run(spark, d):
+        made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece(escape(F.col("line")), F.col("i").cast("string")), "\n", before)
+        found = parse_documents(made, types=types, **how).filter(F.col("type").isin(*types)).select("doc_id", "token_id", pick().alias("p"))
+        return found.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_id", "p"))), lambda x: x["p"]), " ")).alias("digest"))
+
+    run.__name__ = name
+    query(with_lines(f"SELECT doc_id, md5(string_agg({sql}, ' ' ORDER BY i)) AS digest FROM l WHERE line <> '' GROUP BY doc_id"))(run)
+
+
+def fields(*names: str) -> Callable[[], F.Column]:
+    return lambda: F.concat_ws("|", *[F.array_join(n, ",") if n in ("keys", "labels", "styles") else F.col(n).cast("string") for n in names])
+
+
+tokens_back("equation_forms", lambda x, i: tex("$a_{", i, "}$ \\(b\\) $$c$$ \\[d\\] \\begin{displaymath}e\\end{displaymath}\\begin{gather*}f\\end{gather*}\\begin{multline}g\\end{multline}"), fields("text", "display", "numbered"), "'a_{' || i || '} b c|block d|block e|block f|block g|block|true'", ["equation"])
+tokens_back("equation_labels", lambda x, i: tex("\\begin{align}x &= y \\label{a", i, "}\\\\ z \\label{b}\\end{align}"), fields("labels", "align"), "'a' || i || ',b|true'", ["equation"])
+tokens_back("equation_argument_braces", lambda x, i: tex("$\\n{", i, "} \\b{", i, "}$"), fields("text"), "'\\Vert{' || i || '}\\Vert x{' || i || '}y'", ["equation"], "\\newcommand{\\n}[1]{\\Vert#1\\Vert}\\newcommand{\\b}[1]{x#1y}\n")
+tokens_back("equation_pairs", lambda x, i: tex("$$\\cases a_{", i, "} \\array b\\endarray\\endcases$$"), fields("text"), "'\\begin{cases} a_{' || i || '} \\begin{array} b\\end{array}\\end{cases}'", ["equation"])
+tokens_back("equation_placeholders", lambda x, i: tex("$x \\eqref{e", i, "} \\cite{c}$"), fields("text"), "'x ___PLACEHOLDER_0___ ___PLACEHOLDER_1___'", ["equation"])
+tokens_back("paired_delimiters", lambda x, i: tex("$\\norm*{", i, "}$"), fields("text"), "'|' || i || '|'", ["equation"], "\\DeclarePairedDelimiter{\\norm}{|}{|}\n")
+tokens_back("math_alphabets", lambda x, i: tex("$\\mathbfx{", i, "}$"), fields("text"), "i::VARCHAR", ["equation"], "\\DeclareMathAlphabet{\\mathbfx}{OT1}{cmr}{b}{n}\n")
+tokens_back("parts_and_chapters", lambda x, i: tex("\\part{P}\\chapter*{C}\\SECTION{", i, "}\\label{s", i, "}"), fields("level", "numbered", "labels"), "'0|true 1|false 1|true|s' || i", ["section"])
+tokens_back("captions", lambda x, i: tex("\\begin{table}\\caption*{a}\\captionof{figure}{b}\\end{table}"), fields("type"), "'caption caption'", ["caption"])
+tokens_back("graphics_options", lambda x, i: tex("\\includegraphics[width=1cm]{g", i, ".png}\\begin{overpic}[o]{h", i, "}\\end{overpic}"), fields("text"), "'g' || i || '.png h' || i", ["includegraphics"])
+tokens_back("pdf_pages", lambda x, i: tex("\\includepdf[pages={1,", i, "}]{f.pdf}"), fields("text", "pages"), "'f.pdf|1,' || i", ["includepdf"])
+tokens_back("reference_forms", lambda x, i: tex("\\ref{a", i, "}\\autoref{b}\\cref{c,d}\\eqref{e}\\pageref{f}\\hyperref[g]{t}"), fields("keys"), "'a' || i || ' b c,d e f g'", ["ref"])
+tokens_back("citation_forms", lambda x, i: tex("\\citep[see][p. 2]{a", i, "}\\citet*{b}\\citeauthor{c}\\citeyear{d}\\citealp{e, f}"), fields("keys"), "'a' || i || ' b c d e,f'", ["citation"])
+tokens_back("links", lambda x, i: tex("\\href{u", i, "}{t}\\url{v}\\doi{10.1/w}\\path{p}"), fields("text"), "'u' || i || ' v https://doi.org/10.1/w p'", ["url"])
+tokens_back("verbatim_inline", lambda x, i: tex("\\verb|$\\a{| \\verb*+b", i, "+"), fields("text", "display"), "'$\\a{|inline b' || i || '|inline'", ["code"])
+tokens_back("diagrams", lambda x, i: tex("\\begin{tikzpicture}\\draw (", i, ");\\end{tikzpicture}\\begin{picture}(1,2)\\end{picture}"), fields("name", "text"), "'tikzpicture|\\begin{tikzpicture}\\draw (' || i || ');\\end{tikzpicture} picture|\\begin{picture}(1,2)\\end{picture}'", ["diagram"])
+tokens_back("algorithms", lambda x, i: tex("\\begin{algorithm}[h]\\caption{c}\\begin{algorithmic}[1]\\State s", i, "\\end{algorithmic}\\end{algorithm}"), fields("type", "numbered"), "'algorithm|true algorithmic'", ["algorithm", "algorithmic"])
+tokens_back("theorem_names", lambda x, i: tex("\\begin{mythm}[T", i, "]a\\end{mythm}\\begin{proof}b\\end{proof}\\begin{lemma*}c\\end{lemma*}"), fields("name", "numbered"), "'lemma|true proof lemma'", ["math_env"], "\\newtheorem{mythm}{Lemma}\n")
+tokens_back("list_kinds", lambda x, i: tex("\\begin{description}\\item[t", i, "] a\\end{description}\\begin{enumerate}\\item b\\end{enumerate}\\list{x}{y}\\item c\\endlist"), fields("name"), "'description enumerate list'", ["list"])
+tokens_back("nested_figures", lambda x, i: tex("\\begin{figure*}\\begin{subfigure}[b]{2cm}\\includegraphics{a}\\end{subfigure}\\subfloat[c]{d}\\end{figure*}\\begin{wrapfigure}{r}{2cm}x\\end{wrapfigure}"), fields("type", "numbered"), "'figure|true subfigure figure|true'", ["figure", "subfigure"])
+tokens_back("affiliations", lambda x, i: tex("\\affil[1]{A", i, "}\\email{b@c}\\address{D}\\keywords{k}"), fields("type"), "'affiliation email address keywords'", ["affiliation", "email", "address", "keywords"])
+tokens_back("appendix_switch", lambda x, i: tex("\\appendix\\section{A", i, "}"), fields("type"), "'appendix section'", ["appendix", "section"])
+tokens_back("unclosed_conditions", lambda x, i: tex("\\ifnever{", i, "}\\iftrue a\\fi"), fields("command"), "'\\ifnever'", ["command"])
+tokens_back("quotations", lambda x, i: tex("\\begin{quotation}", x, "\\end{quotation}\\begin{quote}q\\end{quote}"), fields("type"), "'quote quote'", ["quote"])
+tokens_back("bibliography_items", lambda x, i: tex("\\begin{thebibliography}{9}\\bibitem[L", i, "]{k", i, "} A, \\newblock B\\end{thebibliography}"), fields("cite_key", "label", "format"), "'k' || i || '|L' || i || '|bibitem'", ["bibitem"])
+tokens_back("notes", lambda x, i: tex("a\\footnote{b", i, "}\\thanks{c}\\footnotemark[3]"), fields("type"), "'footnote footnote footnote'", ["footnote"])
+
+
+def preprocessed(name: str, piece: Callable[[F.Column, F.Column], F.Column], sql: str, before: str = "") -> None:
+    """A query that reads back text as a file is read: definitions first replaced in the text."""
+
+    def run(spark, d):
+        made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece(escape(F.col("line")), F.col("i").cast("string")), "\n", "junk\\documentclass{article}\n" + before)
+        rows = structure.merge_text(parse_documents(made, preprocess=True))
+        joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: F.trim(x["text"])), " ").alias("t"))
+        return joined.select("doc_id", F.md5("t").alias("digest"))
+
+    run.__name__ = name
+    query(with_lines(f"SELECT doc_id, md5(string_agg({sql}, ' ' ORDER BY i)) AS digest FROM l WHERE line <> '' GROUP BY doc_id"))(run)
+
+
+preprocessed("expand_definitions", lambda x, i: tex("\\bq ", x, "\\eq \\two{", i, "}"), "line || ' 2' || i", "\\def\\bq{\\begin{quote}}\\def\\eq{\\end{quote}}\\newcommand{\\two}[1]{2#1}\n")
+preprocessed("expand_conditions", lambda x, i: tex("\\ifdraft ", x, "\\else no\\fi \\makeatletter\\@ifundefined{z}{no}{no}\\makeatother ", i), "line || ' ' || i", "\\newif\\ifdraft\n")
+preprocessed("expand_additions", lambda x, i: tex("\\addto\\captions{\\renewcommand{\\nm}{N", i, "}}\\nm{} ", x), "'N' || i || ' ' || line", "\\newcommand{\\nm}{a}\n")
+
+
+@query(with_lines("SELECT doc_id, count(*)::BIGINT AS n, sum(i)::BIGINT AS total FROM l WHERE line <> '' GROUP BY doc_id"))
+def style_files(spark, d):
+    """Definitions of a package that a paper brings along: in conditions, in groups, behind \\AtBeginDocument, and in a package of its own."""
+    made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", tex("\\num{\\one{", F.col("i").cast("string"), "}}\\two\\three\\four"), "", "\\documentclass{own}\\usepackage{p}\n")
+    style = "\\RequirePackage{q}{\\newcommand{\\one}[1]{#1}}\\newif\\ifx@y\\ifx@y\\newcommand{\\two}{A}\\else\\newcommand{\\three}{no}\\fi\\AtBeginDocument{\\newcommand{\\four}{B}}"
+    files = F.create_map(F.lit("p.sty"), F.lit(style), F.lit("q.sty"), F.lit("\\usepackage{p}\\def\\five{C}"), F.lit("own.cls"), F.lit("\\LoadClass{article}\\IfFileExists{p.sty}{\\def\\three{D}}{}"))
+    tokens = parse_documents(made.withColumn("files", files), preprocess=True, files_col="files", types=["text"], expand_styles=True)
+    numbers = F.filter(F.split(F.regexp_replace("text", r"\D+", " "), " "), lambda x: x != "")
+    return tokens.groupBy("doc_id").agg(F.sum(F.size(numbers)).cast("long").alias("n"), F.sum(F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))).alias("total"))
+
+
+@query(with_lines("SELECT doc_id, count(*)::BIGINT AS n FROM l GROUP BY doc_id"))
+def errors_kept(spark, d):
+    """A document that breaks off gives the tokens read before it, and a row that says why."""
+    from paperlake.operators.tokens import errors
+
+    made = write(lines(spark, d), "doc_id", "i", tex("\\url{", F.col("i").cast("string"), "}"), "", "", "\\def\\a{\\a}\\a \\url{never}")
+    tokens = parse_documents(made, types=["url"])
+    said = errors(tokens).filter("message LIKE '%does not end%'").select("doc_id").distinct()
+    return tokens.filter("type = 'url'").join(said, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id AS paper_id, (max(turn) + 1)::BIGINT AS files, max(turn)::BIGINT AS deepest FROM conversations GROUP BY conv_id")
+def include_depth(spark, d):
+    rows = table(spark, d, "conversations")
+    files = rows.select(F.col("conv_id").alias("paper_id"), F.when(F.col("turn") == 0, "main.tex").otherwise(tex("t", F.col("turn").cast("string"), ".tex")).alias("rel_path"), F.when(F.col("turn") == 0, "\\documentclass{x}\\input{t1}\\input{main}").otherwise(tex("\\include{t", (F.col("turn") + 1).cast("string"), "}")).alias("text"))
+    return bundles.reachable(files).groupBy("paper_id").agg(F.count("*").alias("files"), F.max("depth").alias("deepest"))
+
+
+@query("SELECT conv_id AS paper_id, md5(text) AS digest FROM conversations WHERE turn = 0")
+def single_files(spark, d):
+    """Main files as single compressed files, and what is not a paper reported."""
+    import gzip
+
+    rows = table(spark, d, "conversations").filter("turn = 0")
+    packed = rows.select(F.concat(F.lit("/c"), F.col("conv_id").cast("string"), F.lit(".gz")).alias("path"), F.udf(lambda t: gzip.compress(("\\documentclass{x}" + t).encode()), "binary")("text").alias("content"))
+    files = bundles.decode(bundles.explode(packed).filter("error IS NULL"))
+    return files.select(F.regexp_extract("paper_id", r"(\d+)", 1).cast("long").alias("paper_id"), F.md5(F.substring("text", 18, 1 << 30)).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def wide_encodings(spark, d):
+    docs = table(spark, d, "documents")
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).when(F.col("doc_id") % 3 == 1, F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-16LE")).otherwise(F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8"))
+    return bundles.decode(docs.select("doc_id", content.alias("content"))).select("doc_id", F.md5("text").alias("digest"))
+
+
+def _symbols_sql() -> str:
+    from html.entities import html5, name2codepoint
+
+    kept = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and k[:-1].isalpha() and len(k) > 6 and k[:-1] not in name2codepoint}
+    kept = {k: v for k, v in kept.items() if k in SYMBOL_NAMES}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in kept.items()) + ") AS t(symbol, text)"
+
+
+#: Names of the symbol table whose characters are letters, signs or arrows by themselves: none that text treats as space, markup or a command of its own.
+SYMBOL_NAMES = frozenset(k for k, v in SYMBOLS.entities().items() if len(k) > 5 and not v.isspace() and v.isprintable() and not v.isascii() and not is_command(k) and SYMBOLS.symbols()[k] == v)
+
+
+@query(_symbols_sql())
+def symbol_table(spark, d):
+    """Every mathematical symbol that has a command, read by the kernel."""
+    rows = spark.createDataFrame([(k, f"\\{k}{{}}") for k in sorted(SYMBOL_NAMES)], "symbol string, text string")
+    return parse_documents(rows, "symbol", types=["text"]).select("symbol", "text")
+
+
 # -- more structure ------------------------------------------------------------------------------------------------------
 
 
