@@ -23,7 +23,7 @@ _SPACE = re.compile(r"\s+")
 _COMMAND = re.compile(r"\\(?:([a-zA-Z]+|@[a-zA-Z@]+)|(.))", re.S)
 _CODE_POINT = re.compile(r"\\u(?=[a-fA-F]{0,3}\d)(0?[0-9a-fA-F]{4}(?![0-9a-fA-F])|10[0-9a-fA-F]{4}|[0-9a-fA-F]{4})")
 _LETTERED = re.compile(r"\\([a-zA-Z@]+)")
-_DIMENSION = re.compile(r"\s*=?\s*(?:by\s*)?-?\s*(?:[\d.,]*\\[a-zA-Z@]+|[\d.,]*\s*(?:true)?\s*(?:pt|em|ex|cm|mm|in|bp|pc|dd|cc|sp|mu|fil+)?(?![a-zA-Z]))(?:\s*(?:plus|minus)\s*-?[\d.]+\s*(?:pt|em|ex|cm|mm|in|fil+)?)*")
+_DIMENSION = re.compile(r"\s*=?\s*(?:by\s*)?-?\s*(?:[\d.,]*\\[a-zA-Z@]+|[\d.,]*\s*(?:true)?\s*(?:pt|em|ex|cm|mm|in|bp|pc|dd|cc|sp|mu|fil+)?(?![a-zA-Z]))(?:\s*(?:plus|minus)\s*-?[\d.]+\s*(?:pt|em|ex|cm|mm|in|fil+)?)*[ \t]?")
 _ASSIGNED = re.compile(r"\s*=\s*-?(?:[\d.]+\s*(?:pt|em|ex|cm|mm|in)?(?![a-zA-Z])|\\[a-zA-Z@]+)")
 _FACTOR = re.compile(r"-?\d*\.?\d+\Z")
 _COND = re.compile(r"\\(if[a-zA-Z@]*|elseif|elsif|else|or|fi)(?![a-zA-Z@])")

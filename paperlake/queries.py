@@ -595,9 +595,9 @@ def errors_kept(spark, d):
     """A document that breaks off gives the tokens read before it, and a row that says why."""
     from paperlake.operators.tokens import errors
 
-    made = write(lines(spark, d), "doc_id", "i", tex("\\url{", F.col("i").cast("string"), "}"), "", "", "\\def\\a{\\a}\\a \\url{never}")
+    made = write(lines(spark, d), "doc_id", "i", tex("\\url{", F.col("i").cast("string"), "}"), "", "", "\\ifthenelse{a}\\url{never}")
     tokens = parse_documents(made, types=["url"])
-    said = errors(tokens).filter("message LIKE '%does not end%'").select("doc_id").distinct()
+    said = errors(tokens).filter("message LIKE '%three blocks%'").select("doc_id").distinct()
     return tokens.filter("type = 'url'").join(said, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
