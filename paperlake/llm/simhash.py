@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only, parts
+from .common import checkpoint, join_hot, only, parts
 from .components import connected
 
 BITS = 64
@@ -197,13 +197,16 @@ def _shared(bucket: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, key, root (a fingerprint that names the component), component_id for each row."""
+    """doc_id, fp, key, root (a fingerprint that names the component), component_id for each row. Fingerprints of very many rows, and components of very many
+    fingerprints, are joined by a broadcast of such ones (``join_hot``)."""
     made = checkpoint(fingerprints(documents))
-    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = connected(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(nodes.select("fp", "root").join(named, "root"), "fp")
+    nodes = checkpoint(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    of_root = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"), F.sum("n").alias("rows"))
+    totals = of_root.agg(F.sum("n").alias("nodes"), F.sum("rows").alias("rows")).first()
+    named = checkpoint(join_hot(nodes.select("fp", "root"), of_root.select("root", "component_id"), "root", of_root.select("root", "n"), totals.nodes or 0))
+    return join_hot(made, named, "fp", nodes.select("fp", "n"), totals.rows or 0)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
