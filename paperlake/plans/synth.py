@@ -21,8 +21,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write(rows: DataFrame, key: str, order: str, piece: Column, glue: str = "\n", before: str = "", after: str = "") -> DataFrame:
-    """One text a key: pieces in order."""
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("p")))).alias("all"))
+    """One text a key: pieces in order. Dealt by a number of partitions of our own choice: texts that pack well would be put together in a few tasks by their
+    compressed size, but what follows, reading them, takes a second a megabyte."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(width, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("p")))).alias("all"))
     body = F.array_join(F.transform("all", lambda x: x["p"]), glue)
     return grouped.select(key, F.concat(F.lit(before), body, F.lit(after)).alias("text"))
 
