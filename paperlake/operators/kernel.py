@@ -56,6 +56,7 @@ class Parser:
         self.macros: dict[str, Macro] = {}
         self.environments: dict[str, Macro] = {}
         self.titles: dict[str, str] = {}
+        self.reference_names: dict[str, tuple[str, str]] = {}
         self.ifs: set[str] = set()
         self.colors: dict[str, dict[str, str]] = {}
         self.aliases: dict[str, str] = {}
@@ -1313,6 +1314,14 @@ def _newtheorem(p, source, kind):
     source.block("[")
 
 
+@defines("crefname Crefname")
+def _crefname(p, source, kind):
+    """How references to a type are to be called, one and several: recorded only."""
+    parts = source.arguments("{{{")
+    if len(parts) == 3:
+        p.reference_names[parts[0].strip()] = (parts[1].strip(), parts[2].strip())
+
+
 @defines("floatname")
 def _floatname(p, source, kind):
     name, title = (*source.arguments("{{"), "", "")[:2]
@@ -1354,7 +1363,7 @@ def _define_key(p, source, kind):
     p.keys[(family or "").strip(), (key or "").strip()] = source.block() or ""
 
 
-@defines(" ".join(SKIPPED))
+@defines(" ".join(k for k in SKIPPED if k not in ("crefname", "Crefname")))
 def _skipped(p, source, kind):
     """Registers and counters: declared names are erased wherever they are used."""
     spec = SKIPPED[kind]

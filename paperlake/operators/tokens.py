@@ -146,6 +146,7 @@ def definitions(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     continue
                 found = [(m.kind, m.name, m.n_args, m.defaults, m.body, m.math_only) for m in [*p.macros.values(), *p.environments.values()]]
                 found += [("theorem", n, 0, [], t, False) for n, t in p.titles.items()] + [("color", n, 0, [], f"{c['format']}:{c['value']}", False) for n, c in p.colors.items()]
+                found += [("crefname", n, 0, [], f"{one}/{many}", False) for n, (one, many) in p.reference_names.items()]
                 for f in found:
                     for c, v in zip(out, (doc, *f), strict=True):
                         c.append(v)

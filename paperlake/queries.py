@@ -626,6 +626,52 @@ def wide_encodings(spark, d):
     return bundles.decode(docs.select("doc_id", content.alias("content"))).select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("SELECT p_partkey AS doc_id, 'fig.' || p_size || '/figs.' AS body FROM part")
+def reference_names(spark, d):
+    from paperlake.operators import tokens
+
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), tex("\\crefname{figure}{fig.", F.col("p_size").cast("string"), "}{figs.}x").alias("text"))
+    return tokens.definitions(docs).filter("kind = 'crefname'").select("doc_id", "body")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id % 500 FROM documents INTERSECT SELECT DISTINCT p_partkey FROM part))::BIGINT AS resolved, (SELECT count(*) FROM (SELECT DISTINCT doc_id % 500 FROM documents EXCEPT SELECT DISTINCT p_partkey FROM part))::BIGINT AS missing, (SELECT count(*) FROM (SELECT DISTINCT doc_id % 500 FROM documents UNION SELECT DISTINCT p_partkey FROM part))::BIGINT AS known")
+def key_sets(spark, d):
+    """Keys that are cited and keys that have an entry, as sets."""
+    cited = table(spark, d, "documents").select("doc_id", tex("\\cite{", (F.col("doc_id") % 500).cast("string"), "}").alias("text"))
+    cites = graph.cite_edges(parse_documents(cited)).select("key").distinct()
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), tex("\\begin{thebibliography}{1}\\bibitem{", F.col("p_partkey").cast("string"), "} x\\end{thebibliography}").alias("text"))
+    entries = graph.bib_entries(parse_documents(items)).select(F.col("cite_key").alias("key")).distinct()
+    counted = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("k", F.lit(1))
+    both = counted(cites.intersect(entries), "resolved").join(counted(cites.subtract(entries), "missing"), "k").join(counted(cites.union(entries).distinct(), "known"), "k")
+    return both.drop("k")
+
+
+@query(with_lines("SELECT doc_id, i // 3 AS k, string_agg('x' || i, ' ' ORDER BY i) AS body FROM l GROUP BY ALL"))
+def json_round_trip(spark, d):
+    """Documents written as JSON lines' text and read back by a schema: the texts below every top section."""
+    piece = tex(F.when(F.col("i") % 3 == 0, "\\section{S}\n").otherwise(""), "x", F.col("i").cast("string"))
+    made = document.documents_json(write(lines(spark, d), "doc_id", "i", piece))
+    schema = "tokens array<struct<type:string,content:array<struct<type:string,content:string>>>>"
+    found = made.select("doc_id", F.posexplode(F.from_json("json", schema).getField("tokens")).alias("k", "t")).filter("t.type = 'section'")
+    return found.select("doc_id", F.col("k").cast("long").alias("k"), F.regexp_replace(F.array_join(F.transform("t.content", lambda c: c["content"]), " "), r"\s+", " ").alias("body"))
+
+
+@query(with_lines("SELECT doc_id, count(*)::BIGINT AS n, sum(i)::BIGINT AS total FROM l GROUP BY doc_id"))
+def streamed_tokens(spark, d):
+    """Documents read as a stream, in micro-batches until all are read; their tokens are as those of a batch."""
+    import uuid
+
+    from paperlake.streaming import ingest
+
+    docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), lambda k: F.concat(F.lit("\\url{"), k.cast("string"), F.lit("}"))), " ")
+    tokens = ingest.stream_tokens(docs.select("doc_id", words.alias("text")), types=["url"])
+    counted = tokens.filter("type = 'url'").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("text").cast("long")).alias("total"))
+    name = f"streamed_{uuid.uuid4().hex}"
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def _symbols_sql() -> str:
     from html.entities import html5, name2codepoint
 

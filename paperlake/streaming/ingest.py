@@ -24,3 +24,15 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str):
         tokens.write.mode("overwrite").partitionBy("type").parquet(f"{out}/batch={batch_id}")
 
     return stream_files(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: list[str] | None = None) -> DataFrame:
+    """Tokens of a streaming table of documents: a document is one row, so the kernel needs no state and appends as rows come."""
+    return parse_documents(documents, id_col, text_col, types=types)
+
+
+def stream_counts(tokens: DataFrame, at_col: str, delay: str, window: str) -> DataFrame:
+    """Tokens by type and window of event time; late rows within the delay are counted, state older than it is dropped."""
+    from pyspark.sql import functions as F
+
+    return tokens.withWatermark(at_col, delay).groupBy(F.window(at_col, window).alias("w"), "type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "type", "n")

@@ -198,3 +198,49 @@ def test_preamble(spark):
     got = spark.createDataFrame([(tex,)], "t string").select(columns.preamble(F.col("t"))).first()[0]
     assert got.strip().startswith("\\usepackage{p}") and got.strip().endswith("\\makeatother")
     assert lexing.comment_on_line("a % b\nc", 4) and not lexing.comment_on_line("a % b\nc", 7) and not lexing.comment_on_line(r"a \% b", 5)
+
+
+def test_report_of_errors(spark, tmp_path):
+    from paperlake.sources import logs
+
+    df = spark.createDataFrame([("a", r"\ifthenelse{x}"), ("b", r"\ifthenelse{x}"), ("c", "fine")], "paper string, body string")
+    found = errors(parse_documents(df, "paper", "body"), "paper")
+    to = logs.logger("paperlake.test", "INFO", f"{tmp_path}/log.txt")
+    assert logs.logger("paperlake.test", "INFO", f"{tmp_path}/log.txt") is to and len(to.handlers) == 2
+    assert logs.report(found, to) == 2 and "(2 times)" in open(f"{tmp_path}/log.txt", encoding="utf-8").read()
+    with pytest.raises(ValueError):
+        logs.report(found, to, strict=True)
+    assert logs.report(found.filter("stage = 'none'"), to, strict=True) == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "double", "date", "decimal(20,2)", "binary"])
+def test_ids_of_any_type(spark, kind):
+    from pyspark.sql import functions as F
+
+    value = "20200102" if kind != "date" else "2020-01-02"
+    df = spark.createDataFrame([(value, "x")], "k string, text string").select(F.col("k").cast(kind).alias("k"), "text")
+    made = parse_documents(df, "k")
+    assert made.schema["k"].dataType == df.schema["k"].dataType and made.first().k == df.first().k
+    assert document.documents_json(df, "k").first().k == df.first().k
+
+
+def test_archives_that_are_too_large_are_reported(spark, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(bundles, "MOST_BYTES", 1000)
+    assert list(bundles.unpack("a.gz", gzip.compress(b"\\documentclass{x}" + b"a" * 2000))) == [("a.gz", None, "too large")]
+    ((name, text, error),) = bundles.unpack("b.gz", gzip.compress(b"\\documentclass{x}"))
+    assert (name, error) == ("b.tex", None) and text == b"\\documentclass{x}"
+
+
+def test_includes_of_any_depth(spark):
+    n = 60
+    rows = [("p", "main.tex", r"\documentclass{x}\input{f0}\input{f3}")] + [("p", f"f{k}.tex", rf"\input{{f{k + 1}}}\input{{main}}") for k in range(n)] + [("q", "main.tex", r"\documentclass{x}")]
+    got = {(r.paper_id, r.rel_path): r.depth for r in bundles.reachable(spark.createDataFrame(rows, "paper_id string, rel_path string, text string")).collect()}
+    assert got["p", "main.tex"] == got["q", "main.tex"] == 0 and got["p", f"f{n - 1}.tex"] == n - 3 and len(got) == n + 2
+
+
+def test_wide_encodings(spark):
+    rows = [(e, ("\ufeff" if mark else "") + "né", e, mark) for e, mark in (("utf-16", False), ("utf-16-be", True), ("utf-16-le", True), ("utf-32", False), ("utf-8", True), ("utf-8", False), ("cp1252", False))]
+    df = spark.createDataFrame([(t.encode(e),) for _, t, e, _ in rows], "content binary")
+    assert [r.text for r in bundles.decode(df).collect()] == ["né"] * len(rows)
