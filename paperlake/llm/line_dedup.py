@@ -368,3 +368,20 @@ def clean(documents: DataFrame) -> DataFrame:
     left = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
     out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
     return out.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[f"`{c}`" for c in documents.columns])
+
+
+#: Every pair of different lines that share a shingle, counted by a join; for small tables.
+SQL = r"""
+WITH l AS (SELECT doc_id, k - 1 AS number, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS words FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, k)),
+p AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, number) AS place FROM l WHERE words <> ''),
+d AS (SELECT words, min(place) AS first FROM p GROUP BY words),
+w AS (SELECT first, string_split(words, ' ') AS w FROM d),
+s AS (SELECT DISTINCT first, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT first, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w)),
+n AS (SELECT first, count(*) AS n FROM s GROUP BY first),
+met AS (SELECT a.first AS x, b.first AS y, count(*) AS both_have FROM s a JOIN s b ON a.gram = b.gram AND a.first < b.first GROUP BY ALL),
+near AS (SELECT DISTINCT y AS first FROM met JOIN n nx ON nx.first = x JOIN n ny ON ny.first = y WHERE 5 * both_have >= 4 * (nx.n + ny.n - both_have)),
+gone AS (SELECT p.doc_id, p.number, near.first IS NOT NULL AS near FROM p JOIN d USING (words) LEFT JOIN near ON near.first = d.first WHERE near.first IS NOT NULL OR p.place <> d.first),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (near) AS near, string_agg(number, ',' ORDER BY number) AS removed FROM gone GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT t.doc_id, t.n_lines::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.near, 0)::BIGINT AS n_near, coalesce(g.removed, '') AS removed FROM t LEFT JOIN g ON t.doc_id IS NOT DISTINCT FROM g.doc_id
+"""

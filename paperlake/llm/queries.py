@@ -55,4 +55,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_html_extraction, op2_chat_formatting, op3_document_fingerprints, op4_simhash_near_dedup, op5_packing, op6_secret_scans, op7_line_dedup, op8_toxicity, op9_mixing, op10_quality_rules,
 )}
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op6_secret_scans": secret_scan.SQL, "op9_mixing": mixing.SQL, "op10_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op6_secret_scans": secret_scan.SQL, "op7_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL, "op10_quality_rules": quality.SQL}
