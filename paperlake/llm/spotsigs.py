@@ -7,7 +7,7 @@ the Jaccard ratio of two sets, pruned: sets of partitions further apart have lik
 
 Defined results: a null or empty text has an empty fingerprint; a text without any anchor chain has its words as signatures, one without words
 the whole text; two empty sets have likeness 1, an empty and another 0; equal texts have equal fingerprints; extra columns are ignored.
-In ``with_edits`` documents are ordered by doc_id (nulls first), rows that repeat a doc_id by text; the last one's next is the first; an empty table
+In ``with_edits`` documents are ordered by doc_id (nulls first), rows that repeat a doc_id by their text's hash, then text; the last one's next is the first; an empty table
 gives an empty result.
 """
 
@@ -120,25 +120,34 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 
 
 def followed(documents: DataFrame) -> DataFrame:
-    """slot, ghost, doc_id, text, sorted in each partition: runs of doc_id in slots, each followed by a ghost: the row that comes next.
+    """slot, ghost, doc_id, text, sorted in each partition: runs of the order in slots, each followed by a ghost: the row that comes next.
 
-    Slots are cut at quantiles of doc_id and their first ids fetched (one number a slot); texts are shuffled once.
+    Slots are cut at quantiles of doc_id; a doc_id (or null) that fills several slots' share by itself is cut further by the hash that orders its rows. Each
+    slot's count and first row's key are fetched (some numbers a slot), texts are shuffled once.
     """
-    rows = only(documents, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = only(documents, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     n = parts(rows)
     ids = rows.select(F.col("doc_id").cast("double").alias("at"))
     cuts = sorted(set(ids.stat.approxQuantile("at", [k / (4 * n) for k in range(1, 4 * n)], 1 / (16 * n))))
     cutter = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="at", outputCol="cut", handleInvalid="keep")
     cut = lambda df: cutter.transform(df.withColumn("at", F.col("doc_id").cast("double"))).withColumn("slot", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("cut")).cast("long")).drop("at", "cut")
-    heads = sorted(tuple(r) for r in cut(rows.select("doc_id")).groupBy("slot").agg(F.min("doc_id")).collect())
-    to = [(s, head, heads[k - 1][0], 1 if k else 2) for k, (s, head) in enumerate(heads)]
-    spark = rows.sparkSession
-    heads_df = spark.createDataFrame(to, "h_slot long, head long, h_to long, h_ghost long")
-    marked = cut(rows).join(F.broadcast(heads_df), (F.col("slot") == F.col("h_slot")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("slot").alias("slot"), F.lit(0).cast("long").alias("ghost"))
-    dealt = marked.withColumn("to", F.explode(F.when(F.col("h_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("h_to").alias("slot"), F.col("h_ghost").alias("ghost"))))))
-    dealt = dealt.select("to.slot", "to.ghost", "doc_id", "text")
-    return dealt.repartition(n, "slot").sortWithinPartitions("slot", "ghost", "doc_id", "text")
+    keyed = cut(rows.select("doc_id", "h"))
+    counts = keyed.groupBy("slot").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()
+    even = max(1, sum(r.n for r in counts) // (4 * n))
+    heavy = {r.slot: -(-r.n // even) for r in counts if r.n > 4 * even and r.a == r.b}
+    many = F.lit(1)
+    for slot, k in heavy.items():
+        many = F.when(F.col("slot") == slot, k).otherwise(many)
+    sub = F.least(many - 1, F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * many)).cast("long")
+    heads = sorted(keyed.withColumn("sub", sub).groupBy("slot", "sub").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect(), key=lambda r: (r.slot, r.sub))
+    to = [(r.slot, r.sub, k, r.first.doc_id, r.first.h, (k - 1) % len(heads), 1 if k else 2) for k, r in enumerate(heads)]
+    heads_df = rows.sparkSession.createDataFrame(to, "h_slot long, h_sub long, g long, head long, head_h long, h_to long, h_ghost long")
+    marked = cut(rows).withColumn("sub", sub).join(F.broadcast(heads_df), (F.col("slot") == F.col("h_slot")) & (F.col("sub") == F.col("h_sub")))
+    own = F.struct(F.col("g").alias("slot"), F.lit(0).cast("long").alias("ghost"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h"))
+    dealt = marked.withColumn("to", F.explode(F.when(is_head, F.array(own, F.struct(F.col("h_to").alias("slot"), F.col("h_ghost").alias("ghost")))).otherwise(F.array(own))))
+    dealt = dealt.select("to.slot", "to.ghost", "doc_id", "text", "h")
+    return dealt.repartition(n, "slot").sortWithinPartitions("slot", "ghost", "doc_id", "h", "text").select("slot", "ghost", "doc_id", "text")
 
 
 def with_edits(documents: DataFrame, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators held against other implementations of their rules: an HTML parser of the standard library, signatures word by word, toxic hits word by word."""
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -174,3 +175,22 @@ def test_scores_on_repeated_rows_and_very_long_texts(spark):
     kept = toxicity.keep(df, model)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(d for d, _, p in got if not p)
     assert toxicity.keep(df.filter("doc_id = 9"), model).count() == 0
+
+
+def test_a_document_id_that_fills_many_slots(spark):
+    rows = [(None, f"null row {k}") for k in range(150)] + [(7, f"the seventh row {k} of the many") for k in range(300)] + [(k, f"row {k} and the other words") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slots = spotsigs.followed(df).filter("ghost = 0").groupBy("slot").count().collect()
+    assert max(r["count"] for r in slots) < 100
+    order = [(r.doc_id, r.text) for r in df.selectExpr("*", "xxhash64(text) AS h").orderBy("doc_id", "h", "text").collect()]
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    known = spotsigs.Hashes(spotsigs.ANCHORS)
+    got = spotsigs.with_edits(df).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for (d, t), (_, u) in following.items():
+        want.setdefault(d, []).append((len(t), spotsigs.likeness(spotsigs.signatures(t, known), spotsigs.signatures(u, known)), hashlib.sha256(spotsigs.edited(t, u).encode()).hexdigest()))
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append((r.n_chars, r.near_next, r.edited_sha256))
+    assert {d: sorted(x) for d, x in found.items()} == {d: sorted(x) for d, x in want.items()}
