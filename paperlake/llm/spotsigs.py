@@ -14,7 +14,9 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +130,8 @@ def followed(documents: DataFrame) -> DataFrame:
     rows = only(documents, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     n = parts(rows)
     ids = rows.select(F.col("doc_id").cast("double").alias("at"))
-    cuts = sorted(set(ids.stat.approxQuantile("at", [k / (4 * n) for k in range(1, 4 * n)], 1 / (16 * n))))
+    found = Counter(ids.stat.approxQuantile("at", [k / (4 * n) for k in range(1, 4 * n)], 1 / (16 * n)))
+    cuts = sorted({*found, *(math.nextafter(at, math.inf) for at, times in found.items() if times > 1)})  # an id that is several quantiles gets a slot to itself
     cutter = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="at", outputCol="cut", handleInvalid="keep")
     cut = lambda df: cutter.transform(df.withColumn("at", F.col("doc_id").cast("double"))).withColumn("slot", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("cut")).cast("long")).drop("at", "cut")
     keyed = cut(rows.select("doc_id", "h"))
