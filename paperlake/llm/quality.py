@@ -4,8 +4,8 @@ Text measures are computed per document, once, and kept as narrow rows. For each
 is kept: counts in bins of an integer scale whose bins double every 32 steps (each bin at most 1/32 wide relative to its values). Such sketches merge by
 adding counts, so they are built by a partial aggregation before the shuffle, a hot source is no single task's work, and the
 result does not depend on the order of merging. From its sketches each group gets its own fences: the quartiles, and beyond them ``REACH`` times the spread between them.
-A measure that is nearly constant in a group has no spread of its own; there the spread is what one occurrence (for repeated words, one window) makes
-in a document of the group's median length. A group of fewer than ``LEAST_ROWS`` documents takes the fences of its language's merged sketch, or, if that is too small as well, of all documents'.
+The spread is no less than a bin is wide, so what the sketch can't tell apart is not fenced apart; and a measure that is nearly constant in a group, and so has no spread of its own, has that which
+one occurrence (for repeated words, one window) makes in a document of the group's median length. A group of fewer than ``LEAST_ROWS`` documents takes the fences of its language's merged sketch, or, if that is too small as well, of all documents'.
 A document fails if a measure lies beyond its group's fence.
 
 Defined results: a null or empty text has no words and fails the base rules; null lang and source are groups of their own;
@@ -79,10 +79,14 @@ def ratios() -> dict[str, F.Column]:
     return {"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")}
 
 
+def width_of(v) -> F.Column:
+    """Width of the value's bin: values below 64 have bins of their own; above, there are 32 bins for every doubling."""
+    return F.when(v < 64, 1).otherwise(F.pow(F.lit(2.0), F.length(F.bin(v)) - 6)).cast("long")
+
+
 def bin_of(v) -> F.Column:
-    """Lower edge of the value's bin: values below 64 have bins of their own; above, 32 bins for every doubling."""
-    width = F.pow(F.lit(2.0), F.length(F.bin(v)) - 6)
-    return F.when(v < 64, v).otherwise((F.floor(v / width) * width).cast("long"))
+    """Lower edge of the value's bin."""
+    return (F.floor(v / width_of(v)) * width_of(v)).cast("long")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -104,8 +108,9 @@ def fences(sketch: DataFrame, group: tuple[str, ...]) -> DataFrame:
     out = []
     for k, (counted, unit, both) in FENCED.items():
         one = F.floor(F.lit(1000 * counted) / F.greatest(F.col(f"q2_{unit}"), F.lit(1)))
-        reach = REACH * F.greatest(F.col(f"q3_{k}") - F.col(f"q1_{k}"), one)
-        out += [(F.col(f"q3_{k}") + reach).alias(f"high_{k}")] + [(F.col(f"q1_{k}") - reach).alias(f"low_{k}")] * both
+        q1, q3 = F.col(f"q1_{k}"), F.col(f"q3_{k}")
+        reach = REACH * F.greatest(q3 - q1, one, width_of(q3))
+        out += [(q3 + width_of(q3) - 1 + reach).alias(f"high_{k}")] + [(q1 - reach).alias(f"low_{k}")] * both
     return wide.select(*group, "rows", *out)
 
 
@@ -154,7 +159,8 @@ x AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_leng
 k AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v // (1::BIGINT << (length(bin(v)) - 6)::INT)) * (1::BIGINT << (length(bin(v)) - 6)::INT) END AS bin FROM x),
 levels AS (SELECT 0 AS level, * FROM k UNION ALL SELECT 1, lang, NULL, measure, bin FROM k UNION ALL SELECT 2, NULL, NULL, measure, bin FROM k),
 q AS (SELECT level, lang, source, measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2, quantile_disc(bin, 0.75) AS q3 FROM levels GROUP BY ALL),
-u AS (SELECT a.*, 6 * greatest(a.q3 - a.q1, (CASE WHEN a.measure = 'repeats' THEN 5000 ELSE 1000 END) // greatest(c.q2, 1)) AS reach FROM q a JOIN q c ON a.level = c.level AND a.lang IS NOT DISTINCT FROM c.lang
+u AS (SELECT a.level, a.lang, a.source, a.measure, a.n, a.q1, a.q3 + a.width - 1 AS q3, 6 * greatest(a.q3 - a.q1, a.width, (CASE WHEN a.measure = 'repeats' THEN 5000 ELSE 1000 END) // greatest(c.q2, 1)) AS reach
+   FROM (SELECT *, CASE WHEN q3 < 64 THEN 1 ELSE 1::BIGINT << (length(bin(q3)) - 6)::INT END AS width FROM q) a JOIN q c ON a.level = c.level AND a.lang IS NOT DISTINCT FROM c.lang
    AND a.source IS NOT DISTINCT FROM c.source AND c.measure = CASE WHEN a.measure = 'dup_lines' THEN 'lines' ELSE 'words' END),
 f AS (SELECT level, lang, source, max(n) AS n, max(q3 + reach) FILTER (measure = 'symbols') AS hs, max(q3 + reach) FILTER (measure = 'dup_lines') AS hd,
    max(q3 + reach) FILTER (measure = 'repeats') AS hr, max(q3 + reach) FILTER (measure = 'word_length') AS hw, max(q1 - reach) FILTER (measure = 'word_length') AS lw FROM u GROUP BY ALL),

@@ -40,8 +40,9 @@ def brute(rows):
 
         inside = True
         for k, counted, unit in (("symbols", 1, "words"), ("dup", 1, "lines"), ("repeats", 5, "words"), ("length", 1, "words")):
-            reach = quality.REACH * max(quartile(k, 3) - quartile(k, 1), 1000 * counted // max(1, quartile(unit, 2)))
-            inside &= v[k] <= quartile(k, 3) + reach and (k != "length" or v[k] >= quartile(k, 1) - reach)
+            width = 1 << max(0, quartile(k, 3).bit_length() - 6)
+            reach = quality.REACH * max(quartile(k, 3) - quartile(k, 1), width, 1000 * counted // max(1, quartile(unit, 2)))
+            inside &= v[k] <= quartile(k, 3) + width - 1 + reach and (k != "length" or v[k] >= quartile(k, 1) - reach)
         kept[d] = inside
     return kept
 
