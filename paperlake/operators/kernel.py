@@ -18,7 +18,8 @@ from .catalogue import (
 from .macros import MOST_EXPANSIONS, Input, Macro, parameters, wrap_math
 
 Token = dict
-_PLAIN = re.compile(r"[^\\${}%~\s]+")
+#: Words with single blanks between them: a sentence is one step.
+_PLAIN = re.compile(r"[^\\${}%~\s]++(?: [^\\${}%~\s]++)*+")
 _SPACE = re.compile(r"\s+")
 _COMMAND = re.compile(r"\\(?:([a-zA-Z]+|@[a-zA-Z@]+)|(.))", re.S)
 _CODE_POINT = re.compile(r"\\u(?=[a-fA-F]{0,3}\d)(0?[0-9a-fA-F]{4}(?![0-9a-fA-F])|10[0-9a-fA-F]{4}|[0-9a-fA-F]{4})")
@@ -337,7 +338,7 @@ class Parser:
             macro = self.macros.get(name) or self.macros.get(name.rstrip("@"))
             if macro:
                 self.count()
-                before = out[-1] if out else ""
+                before = next((x for x in reversed(out) if x), "")
                 expanded = macro.expand(source, True)
                 source.push(wrap_math(expanded, before, source.text[source.at : source.at + 1]) if not macro.params else expanded)
             elif name in CITES or name in REFS or name in ("includegraphics", "cref", "Cref", "footnote", "url", "href", "hyperref", "caption"):

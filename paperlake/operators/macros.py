@@ -186,19 +186,18 @@ def parameters(text: str) -> list[str]:
 
 #: One atom of math: a braced group, a command without arguments, or a character.
 _ATOM = re.compile(r"\{(?:[^{}\\]|\\.|\{(?:[^{}\\]|\\.|\{[^{}]*\})*\})*\}|\\[a-zA-Z@]+|\\.|[^\\{}]", re.S)
-#: A command whose argument is not braced: it takes in what comes next.
-_OPEN_END = re.compile(r"\\[a-zA-Z@]+\s+\w+\Z")
+#: What takes only the next atom: a script sign, or a command, which may have arguments.
+_BINDS = re.compile(r"(?:[_^]|\\[a-zA-Z@]+)\s*\Z")
 
 
 def wrap_math(expanded: str, before: str, after: str) -> str:
     """An expansion as it can stand between its neighbours in math. TeX reads tokens, so there a macro's result never joins the text around it; in a text that is
-    read again it would, and gets braces: where it is more than one atom and the sign before binds only one, where a word or number on either side would grow together
-    with it, and where it ends in a command with a bare argument.
+    read again it would, and gets braces: where it is more than one atom and what stands before takes only one, and where a letter or digit on either side would
+    grow together with its own.
     """
     text = expanded.strip()
-    if not text or _ATOM.fullmatch(text):
-        joined = bool(text) and text[-1].isalnum() and text[0] != "\\" and (before[-1:].isalnum() or after[:1].isalnum())
-        return "{" + text + "}" if joined else text
-    binds = before[-1:] in ("_", "^")
-    grows = (text[0].isalnum() and before[-1:].isalnum()) or (text[-1].isalnum() and after[:1].isalnum())
-    return "{" + text + "}" if binds or grows or _OPEN_END.search(text) and before else text
+    if not text:
+        return text
+    one = _ATOM.fullmatch(text) is not None
+    grows = text[0].isalnum() and before[-1:].isalnum() or text[-1].isalnum() and after[:1].isalnum() and not (one and text[0] == "\\")
+    return "{" + text + "}" if grows or not one and _BINDS.search(before) else text

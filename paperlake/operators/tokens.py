@@ -77,8 +77,8 @@ def flatten(tree: list[dict]) -> list[dict]:
     return rows
 
 
-def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", preprocess: bool = False, types: list[str] | None = None, files_col: str | None = None, expand_styles: bool = False) -> DataFrame:
-    """TOKENS rows, led by the id, of every document; types keeps only rows of those types. files_col: a map of further texts by path;
+def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", preprocess: bool = False, types: list[str] | None = None, files_col: str | None = None, expand_styles: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """TOKENS rows, led by the id, of every document; types keeps only rows of those types, columns only those columns (the rest never leaves the kernel). files_col: a map of further texts by path;
     expand_styles: whether definitions of style files among them keep their bodies.
 
     Documents are read one at a time and rows written in batches, so memory holds one document. A document that cannot be read to its end gives the rows
@@ -86,27 +86,31 @@ def parse_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     id_type = documents.schema[id_col].dataType.simpleString()
     arrow_id = to_arrow_type(documents.schema[id_col].dataType)
-    schema = pa.schema([(id_col, arrow_id), *COLUMNS])
+    chosen_columns = [(n, t) for n, t in COLUMNS if columns is None or n in columns]
+    schema = pa.schema([(id_col, arrow_id), *chosen_columns])
     wanted = set(types) | {"error"} if types else None
     chosen = documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *([F.col(f"`{files_col}`")] if files_col else []))
 
+    def batch(ids: list, rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), *[pa.array([r[n] for r in rows], t) for n, t in chosen_columns]], schema=schema)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in schema]
+        ids, held = [], []
         for b in batches:
             for k in range(b.num_rows):
                 doc, text = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                for row in rows_of(text, preprocess, dict(b.column(2)[k].as_py() or {}) if files_col else None, expand_styles):
-                    if wanted is None or row["type"] in wanted:
-                        held[0].append(doc)
-                        for c, n in zip(held[1:], NAMES, strict=True):
-                            c.append(row[n])
-                if len(held[0]) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
-                    held = [[] for _ in schema]
-        if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
-
-    return chosen.mapInArrow(make, f"`{id_col}` {id_type}, {TOKENS}")
+                rows = rows_of(text, preprocess, dict(b.column(2)[k].as_py() or {}) if files_col else None, expand_styles)
+                if wanted is not None:
+                    rows = [r for r in rows if r["type"] in wanted]
+                ids += [doc] * len(rows)
+                held += rows
+                if len(held) >= 5000:
+                    yield batch(ids, held)
+                    ids, held = [], []
+        if held:
+            yield batch(ids, held)
+
+    return chosen.mapInArrow(make, ", ".join([f"`{id_col}` {id_type}", *[f"`{n}` {_SPARK[t]}" for n, t in chosen_columns]]))
 
 
 def rows_of(text: str | None, preprocess: bool = False, files: dict[str, str] | None = None, expand_styles: bool = False) -> list[dict]:

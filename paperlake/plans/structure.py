@@ -66,6 +66,8 @@ def number_blocks(tokens: DataFrame, id_col: str = "doc_id", order: str = "token
     return rows.filter(F.col("numbered") & (F.col("type") != "section")).select(id_col, order, "type", "name", numbering.alias("numbering"), *carry)
 
 
+#: Columns that merge_text reads.
+MERGED = ["token_id", "parent_id", "slot", "slot_key", "row", "col", "ord", "type", "styles", "text"]
 OPENING, CLOSING = r"[\s(\[{“‘]$", r"^[\s,.;:!?)\]}”’]"
 
 

@@ -146,7 +146,7 @@ def theorem_proofs(spark, d):
 
 def texts(made: DataFrame) -> DataFrame:
     """doc_id and the digest of all text, merged."""
-    rows = structure.merge_text(parse_documents(made))
+    rows = structure.merge_text(parse_documents(made, columns=structure.MERGED))
     joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: F.trim(x["text"])), " ").alias("t"))
     return joined.select("doc_id", F.md5("t").alias("digest"))
 
@@ -290,7 +290,7 @@ def list_depth(spark, d):
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     rows = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("doc_id", F.col("o_custkey"))
     piece = tex("\\item order \\begin{enumerate}", F.repeat(F.lit("\\item[a] line "), F.col("n").cast("int")), "\\end{enumerate}")
-    tokens = parse_documents(write(rows, "doc_id", "o_orderkey", piece, "\n", "\\begin{itemize}", "\\end{itemize}"), types=["list", "item"])
+    tokens = parse_documents(write(rows, "doc_id", "o_orderkey", piece, "\n", "\\begin{itemize}", "\\end{itemize}"), types=["list", "item"], columns=["token_id", "type", "last_desc"])
     found = structure.list_depths(tokens, types=("list", "item"))
     item, of = F.col("type") == "item", F.col("depth")
     return found.groupBy("doc_id").agg(F.count_if(item & (of == 1)).alias("outer_items"), F.count_if(item & (of == 2)).alias("inner_items"), F.count_if(~item & (of == 2)).alias("lists_2"))
@@ -300,7 +300,7 @@ def list_depth(spark, d):
 def style_runs(spark, d):
     body = escape(F.col("line"))
     made = F.when(F.col("i") % 2 == 0, tex("\\textbf{", body, "}")).otherwise(tex("\\textit{\\textbf{", body, "}}"))
-    merged = structure.merge_text(parse_documents(write(lines(spark, d).filter("line <> ''"), "doc_id", "i", tex(made, "\\url{x}")), types=["text", "url"])).filter("text <> 'x'")
+    merged = structure.merge_text(parse_documents(write(lines(spark, d).filter("line <> ''"), "doc_id", "i", tex(made, "\\url{x}")), types=["text", "url"], columns=structure.MERGED)).filter("text <> 'x'")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("first", F.concat(F.trim("text"), F.lit("/"), F.array_join("styles", ",")).alias("p")))), lambda x: x["p"])
     return merged.groupBy("doc_id").agg(F.md5(F.array_join(parts, " ")).alias("digest"))
 
@@ -566,7 +566,7 @@ def preprocessed(name: str, piece: Callable[[F.Column, F.Column], F.Column], sql
 
     def run(spark, d):
         made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece(escape(F.col("line")), F.col("i").cast("string")), "\n", "junk\\documentclass{article}\n" + before)
-        rows = structure.merge_text(parse_documents(made, preprocess=True))
+        rows = structure.merge_text(parse_documents(made, preprocess=True, columns=structure.MERGED))
         joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: F.trim(x["text"])), " ").alias("t"))
         return joined.select("doc_id", F.md5("t").alias("digest"))
 

@@ -35,6 +35,7 @@ CASES = [
     (r"\newcommand{\maker}[1]{\newcommand{\made}[1]{#1 of ##1}}\maker{king}\made{hearts}", [text("king of hearts")]),
     (r"\DeclarePairedDelimiter{\floor}{<}{>} $\floor*{z}$", [{"type": "equation", "content": "<z>"}]),
     (r"\newcommand{\scr}{\mathcal L} $y^\scr$", [{"type": "equation", "content": r"y^{\mathcal L}"}]), (r"\newcommand{\ab}{a+b} $x_\ab c 2\ab$", [{"type": "equation", "content": "x_{a+b} c 2{a+b}"}]),
+    (r"\newcommand{\scr}{\mathcal L}\newcommand{\al}{\alpha} $\frac\scr 2=\scr\al^2$", [{"type": "equation", "content": r"\frac{\mathcal L} 2=\mathcal L\alpha^2"}]),
     (r"\@namedef{river}{Elbe}\river", [text("Elbe")]), (r"\newlength{\gap}\setlength{\gap}{1em}left\gap right", [text("left right")]), (r"\newtoks\box@t \box@t{abc}rest", [text("rest")]),
     (r"\newcommand{\hail}[1]{Ave #1}\csname hail\endcsname{Eva}", [text("Ave Eva")]), (r"\newcommand{\kind}{ail}\def\hail{H}\csname h\kind\endcsname", [text("H")]), (r"\newcommand{\q}{z} $\csname q\endcsname+1$", [{"type": "equation", "content": "z+1"}]),
     (r"\newenvironment{framed}[2][top]{\begin{center}#1/#2}{\end{center}}\begin{framed}{low}body\end{framed}", [{"type": "group", "name": "center", "content": [text("top/low body")]}]),
