@@ -162,7 +162,12 @@ def frequencies(surveyed: DataFrame) -> tuple[np.ndarray, int, int]:
 def ordered(token: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each line, rarest first, and their lines (ascending)."""
     rank = level[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    by = np.lexsort((token, rank, line))
+    # line, rank and half of the token in one number sort several times faster; should two tokens of a line agree in that half, all three are sorted in full
+    short = (line.astype(np.uint64) << np.uint64(40)) | (rank.astype(np.uint64) << np.uint64(32)) | (token >> np.uint64(32))
+    by = np.argsort(short)
+    same = short[by[1:]] == short[by[:-1]]
+    if (token[by[1:]] != token[by[:-1]])[same].any() or (len(line) and line.max() >= 1 << 24):
+        by = np.lexsort((token, rank, line))
     token, line = token[by], line[by]
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (line[1:] != line[:-1]))) if len(token) else np.zeros(0, bool)
     return token[new], line[new]

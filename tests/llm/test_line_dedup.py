@@ -137,3 +137,15 @@ def test_hot_tokens_in_tiles_lose_nothing(spark):
         own = np.flatnonzero(token == t).tolist()
         assert all(any({a, b} <= m for m in met.values()) for a in own for b in own)
     assert all(len({token[k] for k in m}) == 1 for m in met.values())
+
+
+def test_order_of_tokens_with_equal_halves():
+    rng = np.random.default_rng(3)
+    level = rng.integers(0, 4, line_dedup.COUNTERS).astype(np.uint8)
+    for high in (4, 1 << 31):
+        token = (rng.integers(0, high, 5000).astype(np.uint64) << np.uint64(32)) | rng.integers(0, 50, 5000).astype(np.uint64)
+        line = np.sort(rng.integers(0, 40, 5000))
+        got, of = line_dedup.ordered(token, line, level)
+        rank = lambda t: level[t & (line_dedup.COUNTERS - 1)]
+        want = sorted({(a, int(rank(t)), t) for a, t in zip(line.tolist(), token.tolist(), strict=True)})
+        assert list(zip(of.tolist(), got.tolist(), strict=True)) == [(a, t) for a, _, t in want]
