@@ -8,7 +8,7 @@ Rarity comes from a frequency sketch of fixed size (2^20 counters, summed over a
 time, never results. Prefix entries travel in packed blocks, one a bucket of tokens, with as many buckets as keep each small. Runs of few lines give candidate pairs; of a
 longer run (``RUN``) only membership is passed on, and its lines are verified where they meet, earliest mates first: no group emits its pairs.
 A run longer than ``TILE`` is dealt to pairs of tiles, each of which meets in a task of its own; a token too frequent even to gather its entries (``WIDE``) is
-dealt so before they meet. A line that very many documents hold is marked by a broadcast of such lines (at most eight a partition, by a count), the others by a shuffle.
+dealt so before they meet. Whole token sets are made again, in the tasks that read the texts, of the lines that a filter of bounded size lets through. A line that very many documents hold is marked by a broadcast of such lines (at most eight a partition, by a count), the others by a shuffle.
 
 Defined results: a line of one to four words has no shingle and goes only if an earlier line has the same
 words. Lines without a word are kept, as are null and empty texts; documents that agree in doc_id and text
@@ -35,6 +35,7 @@ CHUNK = 1 << 14
 RUN = 32
 TILE = 2048
 WIDE = 1 << 22
+MOST_BITS = 1 << 27
 #: Prefix entries in a bucket, about, and bytes of text taken at a time.
 BUCKET, BYTES_AT_ONCE = 400_000, 1_200_000
 _ENTRY = np.dtype([("token", "<u8"), ("line", "<i8"), ("size", "<u2"), ("place", "<u2")])
@@ -173,6 +174,14 @@ def ordered(token: np.ndarray, line: np.ndarray, level: np.ndarray) -> tuple[np.
     return token[new], line[new]
 
 
+def fresh(found: Lines, seen: set[int]) -> np.ndarray:
+    """Which lines are the first of their hash in a task; seen holds the hashes so far."""
+    _, first = np.unique(found.hash, return_index=True)
+    out = np.zeros(len(found.hash), bool)
+    out[[k for k in first.tolist() if (h := int(found.hash[k])) not in seen and not seen.add(h)]] = True
+    return out
+
+
 def to_tile_pairs(token: np.ndarray, line: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token of a tile pair, place of its member) so that any two lines of a token meet in at least one of its tile pairs, and none holds over two tiles."""
     at = np.repeat(np.arange(len(token)), tiles)
@@ -191,11 +200,7 @@ def prefix_entries(documents: DataFrame, level: np.ndarray, buckets: int, wide:
         seen, held, size = set(), [], 0
         for _, texts in runs(batches):
             found = Lines(texts)
-            _, first = np.unique(found.hash, return_index=True)
-            fresh = np.array([k for k in first.tolist() if (h := int(found.hash[k])) not in seen and not seen.add(h)], np.int64)
-            wanted = np.zeros(len(found.hash), bool)
-            wanted[fresh] = True
-            own = wanted[found.line]
+            own = fresh(found, seen)[found.line]
             token, line = ordered(found.token[own], found.line[own], shared.value)
             n = np.bincount(line, minlength=len(found.hash))
             place = np.arange(len(token)) - (np.cumsum(n) - n)[line]
@@ -275,24 +280,60 @@ def candidates(entries: DataFrame, run: int = RUN, tile: int = TILE) -> DataFram
     return entries.groupBy("bucket").applyInArrow(meet, "token long, x long, y long")
 
 
-def token_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line, tokens for wanted lines (doc_id, key, number), read again from their documents."""
-    per = wanted.groupBy("doc_id", "key").agg(F.collect_list("number").alias("numbers")).withColumnsRenamed({"doc_id": "w_doc", "key": "w_key"})
-    rows = _texts(documents).join(per, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("key") == F.col("w_key"))).select("doc_id", "text", "numbers")
+def places(line: np.ndarray, bits: int) -> np.ndarray:
+    """The two places of each line's hash in a filter of so many bits (a power of two)."""
+    h = line.view(np.uint64)
+    return np.concatenate((h, h >> np.uint64(32))) & np.uint64(bits - 1)
+
+
+def line_filter(wanted: DataFrame, n: int, most: int = MOST_BITS) -> np.ndarray:
+    """A Bloom filter of the n lines wanted, as bytes: eight bits a line, at most MOST_BITS (16 MB). Fuller than that it lets more lines through, which costs time and loses none."""
+    bits = min(most, 1 << max(10, (8 * n).bit_length()))
+    chunk = min(bits // 8, CHUNK)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits, bool)
+        for b in batches:
+            held[places(b.column(0).to_numpy(), bits).astype(np.int64)] = True
+        packed = np.packbits(held, bitorder="little").reshape(-1, chunk)
+        full = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([packed[k].tobytes() for k in full], pa.binary())], names=["chunk", "bits"])
+
+    def either(t: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in t["bits"]])
+        return pa.table({"chunk": t["chunk"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros((bits // 8 // chunk, chunk), np.uint8)
+    for r in wanted.select("line").mapInArrow(mark, "chunk long, bits binary").groupBy("chunk").applyInArrow(either, "chunk long, bits binary").collect():
+        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def token_sets(documents: DataFrame, passing: np.ndarray) -> DataFrame:
+    """line, tokens for the lines that pass a filter, once a task, read again where the texts are: no text is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(passing)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in runs(batches):
-            chosen = [b"\n".join(t.split(b"\n")[n] for n in numbers) for t, numbers in zip(texts, b.column(2).to_pylist(), strict=True)]
-            found = Lines(chosen)
-            line, token = found.line, found.token
+        seen: set[int] = set()
+        bits = 8 * len(shared.value)
+        for _, texts in runs(batches):
+            found = Lines(texts)
+            at = places(found.hash, bits).astype(np.int64)
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            n = len(found.hash)
+            kept = (hit[:n] & hit[n:]).astype(bool)
+            kept &= fresh(found, seen)
+            own = kept[found.line]
+            token, line = found.token[own], found.line[own]
             by = np.lexsort((token, line))
             line, token = line[by], token[by]
             new = np.concatenate(([True], (token[1:] != token[:-1]) | (line[1:] != line[:-1]))) if len(token) else np.zeros(0, bool)
             line, token = line[new], token[new]
-            offset = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(found.hash))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(found.hash), pa.ListArray.from_arrays(pa.array(offset), pa.array(token.view(np.int64)))], names=["line", "tokens"])
+            size = np.bincount(line, minlength=n)[kept]
+            offset = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(found.hash[kept]), pa.ListArray.from_arrays(pa.array(offset), pa.array(token.view(np.int64)))], names=["line", "tokens"])
 
-    return rows.mapInArrow(make, "line long, tokens array<long>").dropDuplicates(["line"])
+    return _texts(documents).mapInArrow(make, "line long, tokens array<long>")
 
 
 def near_earlier(sets: list[np.ndarray]) -> list[int]:
@@ -324,9 +365,9 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
     buckets = max(4 * parts(documents), tokens // (4 * BUCKET))  # a prefix is about a fifth of a line's tokens
     met = checkpoint(candidates(prefix_entries(documents, level, buckets, wide), run, tile).distinct())
     pairs, members = met.filter("token is null").select("x", "y"), met.filter("token is not null").select("token", F.col("x").alias("line"))
-    wanted = met.select(F.col("x").alias("line")).unionByName(met.filter("y is not null").select(F.col("y").alias("line"))).distinct()
-    at = first.join(wanted, "line").select("line", "first", "first.doc_id", "first.key", "first.number")
-    sets = checkpoint(token_sets(documents, at).join(at.select("line", "first"), "line"))
+    wanted = checkpoint(met.select(F.col("x").alias("line")).unionByName(met.filter("y is not null").select(F.col("y").alias("line"))).distinct())
+    read = token_sets(documents, line_filter(wanted, wanted.count()))
+    sets = checkpoint(read.join(wanted, "line", "left_semi").dropDuplicates(["line"]).join(first, "line"))
     side = lambda n: sets.select(F.col("line").alias(n), F.col("tokens").alias(f"t{n}"), F.col("first").alias(f"f{n}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").filter(F.size(F.array_intersect("tx", "ty")) * (OVER + UNDER) >= OVER * (F.size("tx") + F.size("ty")))
     lost = both.select(F.when(F.col("fx") > F.col("fy"), F.col("x")).otherwise(F.col("y")).alias("line"))

@@ -149,3 +149,15 @@ def test_order_of_tokens_with_equal_halves():
         rank = lambda t: level[t & (line_dedup.COUNTERS - 1)]
         want = sorted({(a, int(rank(t)), t) for a, t in zip(line.tolist(), token.tolist(), strict=True)})
         assert list(zip(of.tolist(), got.tolist(), strict=True)) == [(a, t) for a, _, t in want]
+
+
+@pytest.mark.parametrize("most", [1 << 10, 1 << 27])
+def test_filter_lets_every_wanted_line_through(spark, most):
+    rng = np.random.default_rng(8)
+    lines = rng.integers(-(1 << 63), 1 << 63, 3000)
+    df = spark.createDataFrame([(int(x),) for x in lines], "line long").repartition(5)
+    found = line_dedup.line_filter(df, 3000, most)
+    at = line_dedup.places(np.concatenate((lines, rng.integers(-(1 << 63), 1 << 63, 5000))), 8 * len(found)).astype(np.int64)
+    hit = ((found[at >> 3] >> (at & 7)) & 1).astype(bool)
+    through = hit[:8000] & hit[8000:]
+    assert through[:3000].all() and (most < 1 << 20 or through[3000:].mean() < 0.1)
