@@ -37,6 +37,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{k}`").cast(v).alias(k) for k, v in columns.items()])
 
 
+def whole(documents: DataFrame, **columns) -> DataFrame:
+    """d, a struct of all the documents' columns, beside the given columns: whatever names the documents have, they can't meet an operator's own. ``select("d.*")`` gives them back."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), *[v.alias(k) for k, v in columns.items()])
+
+
 def parts(df: DataFrame, at_least: int = 8) -> int:
     """Partitions for an explicit repartition: the session's shuffle width, which the cluster sizes to its data."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_hot, only, parts
+from .common import checkpoint, join_hot, only, parts, whole
 
 SHINGLE = 5
 #: Least Jaccard ratio, as a fraction.
@@ -409,11 +409,12 @@ def summary(documents: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame) -> DataFrame:
     """The documents without their removed lines, with their columns; those that lost every word are left out."""
-    rows = documents.withColumn("__text_key", F.xxhash64(F.col("text")))
-    out = rows.join(_per_document(documents.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
-    left = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
-    out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left))
-    return out.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[f"`{c}`" for c in documents.columns])
+    rows = whole(documents, doc_id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text").cast("string")))
+    out = rows.join(_per_document(documents.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
+    left = F.array_join(F.filter(F.split(F.col("d.text"), "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
+    out = out.withColumn("left", F.when(F.col("__removed").isNull(), F.col("d.text")).otherwise(left))
+    kept = out.filter(F.col("__removed").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[F.col("left").alias(c) if c == "text" else F.col(f"d.`{c}`") for c in documents.columns])
 
 
 #: Every pair of different lines that share a shingle, counted by a join; for small tables.

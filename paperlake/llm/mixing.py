@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, n_words, only, parts
+from .common import checkpoint, n_words, parts, whole
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -61,11 +61,10 @@ def targets(sources: DataFrame, budget_percent: int = BUDGET_PERCENT, max_repeat
 
 
 def _homes(documents: DataFrame, seed: int) -> DataFrame:
-    """The documents' columns with __home (a source's name, never null), __size, and __place and __slice in the source's shuffle."""
-    text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return documents.withColumns({
-        "__home": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")), "__size": n_words(F.col("text")), "__place": F.md5(F.concat_ws(":", F.lit(str(seed)), doc, text)),
-    }).withColumn("__slice", F.substring("__place", 1, 3))
+    """d (the documents), doc_id, source, home (the source's name, never null), size, and place and slice in the source's shuffle."""
+    doc, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
+    return whole(documents, doc_id=doc, source=source, home=F.coalesce(F.concat(F.lit("s"), source), F.lit("")), size=n_words(text), place=place, slice=F.substring(place, 1, 3))
 
 
 class Queue:
@@ -74,22 +73,21 @@ class Queue:
 
     def __init__(self, documents: DataFrame, weights, budget_percent: int, max_repeats: int, seed: int):
         self.repeats = max_repeats
-        homes = _homes(only(documents, doc_id="long", source="string", text="string"), seed)
-        self.rows = checkpoint(homes.select("doc_id", "source", F.col("__home").alias("home"), F.col("__size").alias("size"), F.col("__place").alias("place"), F.col("__slice").alias("slice")))
+        self.rows = checkpoint(_homes(documents, seed).drop("d"))
         sums = checkpoint(self.rows.groupBy("home", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("size")))
         goals, budget = targets(ranked(sums, weights), budget_percent, max_repeats)
         before = Window.partitionBy("home").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("home", "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
         self.slices = checkpoint(offsets.join(goals, "home").select("home", "slice", "offset", "rank", "target", "source_size"))
-        self.placed = checkpoint(self.place(self.rows, "home", "slice", "place", "doc_id", "size"))
+        self.placed = checkpoint(self.place(self.rows))
         self.cut = self._truncate(budget)
 
-    def place(self, rows: DataFrame, home: str, slice_: str, place: str, doc_id: str, size: str) -> DataFrame:
+    def place(self, rows: DataFrame) -> DataFrame:
         """The rows with rank, target, source_size, and end: the source's running count of words up to the row's end."""
-        within = Window.partitionBy(home, slice_).orderBy(place, doc_id, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = rows.withColumn("__run", F.sum(size).over(within))
+        within = Window.partitionBy("home", "slice").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = rows.withColumn("__run", F.sum("size").over(within))
         s = self.slices.select(F.col("home").alias("__h"), F.col("slice").alias("__s"), F.col("offset").alias("__offset"), F.col("rank").alias("__rank"), F.col("target").alias("__target"), F.col("source_size").alias("__source_size"))
-        return run.join(s, (F.col(home) == F.col("__h")) & (F.col(slice_) == F.col("__s"))).withColumn("__end", F.col("__offset") + F.col("__run")).drop("__h", "__s", "__run", "__offset")
+        return run.join(s, (F.col("home") == F.col("__h")) & (F.col("slice") == F.col("__s"))).withColumn("__end", F.col("__offset") + F.col("__run")).drop("__h", "__s", "__run", "__offset")
 
     def _truncate(self, budget: int) -> tuple[float, int, int, int] | None:
         open_ = self.placed.filter("size > 0 AND __target > 0")
@@ -141,14 +139,14 @@ def mix(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERC
     q = Queue(documents, weights, budget_percent, max_repeats, seed)
     if not q.cut:
         return documents.filter(F.lit(False))
-    placed = q.place(_homes(documents, seed), "__home", "__slice", "__place", "doc_id", "__size")
-    start = [r * F.col("__source_size") + F.col("__end") - F.col("__size") for r in range(max_repeats)]
-    times = F.array(*[F.when((F.col("__size") > 0) & (F.col("__target") > 0) & ((s + F.col("__size") / 2) / F.col("__target") < q.cut[0]), (s + F.col("__size")) / F.col("__target")) for s in start])
+    placed, size = q.place(_homes(documents, seed)), F.col("size")
+    start = [r * F.col("__source_size") + F.col("__end") - size for r in range(max_repeats)]
+    times = F.array(*[F.when((size > 0) & (F.col("__target") > 0) & ((s + size / 2) / F.col("__target") < q.cut[0]), (s + size) / F.col("__target")) for s in start])
     read = placed.withColumn("__finish", F.explode(F.array_compact(times)))
     # the sources' words are spread evenly over virtual time, so equal ranges of it hold equal shares
     n = parts(documents)
     ranges = read.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("__finish") / q.cut[0] * n)).cast("int"))
-    return ranges.sortWithinPartitions("__finish", "__rank", "__end").select(*[f"`{c}`" for c in documents.columns])
+    return ranges.sortWithinPartitions("__finish", "__rank", "__end").select("d.*")
 
 
 #: Written apart from the code above: the refill runs to its end by recursion, and all packets of all documents stand in one queue.

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, only
+from .common import checkpoint, only, whole
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -137,8 +137,8 @@ def judge(documents: DataFrame) -> DataFrame:
 
 def keep(documents: DataFrame) -> DataFrame:
     """The documents that pass, with their columns (rows of one doc_id and text are judged alike)."""
-    verdict = judge(documents).groupBy("doc_id").agg(F.bool_and("kept").alias("__kept")).withColumnRenamed("doc_id", "__doc")
-    return documents.join(verdict, F.col("doc_id").eqNullSafe(F.col("__doc"))).filter("__kept").select(*[f"`{c}`" for c in documents.columns])
+    verdict = judge(documents).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).withColumnRenamed("doc_id", "judged")
+    return whole(documents, doc_id=F.col("doc_id").cast("long")).join(verdict, F.col("doc_id").eqNullSafe(F.col("judged"))).filter("kept").select("d.*")
 
 
 SQL = r"""

@@ -39,6 +39,18 @@ def test_each_stage_on_odd_rows(spark, folder):
     assert {d for d, _ in kept["packing"]} == {r[0] or 0 for r in rows()}
 
 
+def test_columns_of_any_name_keep_their_values(spark, folder):
+    from paperlake.llm import quality
+
+    names = ["d", "key", "home", "size", "place", "slice", "left", "n", "rank", "kept", "judged", "__doc", "__key", "__removed", "__finish", "__end", "__target", "fp", "root"]
+    docs = spark.createDataFrame([(k, f"document {k} has words enough to be kept by rules of all kinds and more", "en", "a", 3, *[f"{n}{k}" for n in names]) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in [*corpus_pipeline.STAGES[:-1], ("quality", lambda _, x, __: quality.keep(x))]:
+        made = stage(spark, docs, folder)
+        assert made.columns == docs.columns
+        got = made.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+
+
 def test_whole_run_on_odd_rows(spark, folder):
     packed = corpus_pipeline.run(spark, folder).collect()
     assert packed and all(r.length > 0 for r in packed)
