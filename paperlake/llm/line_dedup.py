@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_hot, only, parts, whole
+from .common import checkpoint, join_hot, only, parts
 
 SHINGLE = 5
 #: Least Jaccard ratio, as a fraction.
@@ -396,25 +396,24 @@ def removed_lines(documents: DataFrame, run: int = RUN, tile: int = TILE, wide:
 
 def _per_document(documents: DataFrame) -> DataFrame:
     gone = removed_lines(documents)
-    return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("number")).alias("removed"), F.count_if("near").alias("n_near")).withColumnsRenamed({"doc_id": "__doc", "key": "__key", "removed": "__removed", "n_near": "__near"})
+    return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("number")).alias("removed"), F.count_if("near").alias("n_near")).withColumnsRenamed({"doc_id": "__paperlake_doc", "key": "__paperlake_key", "removed": "__paperlake_removed", "n_near": "__paperlake_near"})
 
 
 def summary(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near, removed (line numbers from 0, comma-joined) for each row."""
     rows = only(documents, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = rows.join(_per_document(documents), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
-    removed = F.coalesce("__removed", F.array().cast("array<long>"))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+    out = rows.join(_per_document(documents), F.col("doc_id").eqNullSafe(F.col("__paperlake_doc")) & (F.col("key") == F.col("__paperlake_key")), "left")
+    removed = F.coalesce("__paperlake_removed", F.array().cast("array<long>"))
+    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("__paperlake_near", F.lit(0)).cast("long").alias("n_near"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
 def clean(documents: DataFrame) -> DataFrame:
     """The documents without their removed lines, with their columns; those that lost every word are left out."""
-    rows = whole(documents, doc_id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text").cast("string")))
-    out = rows.join(_per_document(documents.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left")
-    left = F.array_join(F.filter(F.split(F.col("d.text"), "\n"), lambda x, i: ~F.array_contains("__removed", i.cast("long"))), "\n")
-    out = out.withColumn("left", F.when(F.col("__removed").isNull(), F.col("d.text")).otherwise(left))
-    kept = out.filter(F.col("__removed").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*[F.col("left").alias(c) if c == "text" else F.col(f"d.`{c}`") for c in documents.columns])
+    rows = documents.withColumn("__paperlake_text_key", F.xxhash64(F.col("text")))
+    out = rows.join(_per_document(documents.select("doc_id", "text")), F.col("doc_id").eqNullSafe(F.col("__paperlake_doc")) & (F.col("__paperlake_text_key") == F.col("__paperlake_key")), "left")
+    left = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("__paperlake_removed", i.cast("long"))), "\n")
+    out = out.withColumn("text", F.when(F.col("__paperlake_removed").isNull(), F.col("text")).otherwise(left))
+    return out.filter(F.col("__paperlake_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[f"`{c}`" for c in documents.columns])
 
 
 #: Every pair of different lines that share a shingle, counted by a join; for small tables.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, n_words, parts, whole
+from .common import checkpoint, n_words, only, parts
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -61,10 +61,11 @@ def targets(sources: DataFrame, budget_percent: int = BUDGET_PERCENT, max_repeat
 
 
 def _homes(documents: DataFrame, seed: int) -> DataFrame:
-    """d (the documents), doc_id, source, home (the source's name, never null), size, and place and slice in the source's shuffle."""
-    doc, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
-    return whole(documents, doc_id=doc, source=source, home=F.coalesce(F.concat(F.lit("s"), source), F.lit("")), size=n_words(text), place=place, slice=F.substring(place, 1, 3))
+    """The documents' columns with __paperlake_home (a source's name, never null), __paperlake_size, and __paperlake_place and __paperlake_slice in the source's shuffle."""
+    text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return documents.withColumns({
+        "__paperlake_home": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")), "__paperlake_size": n_words(F.col("text")), "__paperlake_place": F.md5(F.concat_ws(":", F.lit(str(seed)), doc, text)),
+    }).withColumn("__paperlake_slice", F.substring("__paperlake_place", 1, 3))
 
 
 class Queue:
@@ -73,28 +74,29 @@ class Queue:
 
     def __init__(self, documents: DataFrame, weights, budget_percent: int, max_repeats: int, seed: int):
         self.repeats = max_repeats
-        self.rows = checkpoint(_homes(documents, seed).drop("d"))
+        homes = _homes(only(documents, doc_id="long", source="string", text="string"), seed)
+        self.rows = checkpoint(homes.select("doc_id", "source", F.col("__paperlake_home").alias("home"), F.col("__paperlake_size").alias("size"), F.col("__paperlake_place").alias("place"), F.col("__paperlake_slice").alias("slice")))
         sums = checkpoint(self.rows.groupBy("home", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("size")))
         goals, budget = targets(ranked(sums, weights), budget_percent, max_repeats)
         before = Window.partitionBy("home").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("home", "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
         self.slices = checkpoint(offsets.join(goals, "home").select("home", "slice", "offset", "rank", "target", "source_size"))
-        self.placed = checkpoint(self.place(self.rows))
+        self.placed = checkpoint(self.place(self.rows, "home", "slice", "place", "doc_id", "size"))
         self.cut = self._truncate(budget)
 
-    def place(self, rows: DataFrame) -> DataFrame:
+    def place(self, rows: DataFrame, home: str, slice_: str, place: str, doc_id: str, size: str) -> DataFrame:
         """The rows with rank, target, source_size, and end: the source's running count of words up to the row's end."""
-        within = Window.partitionBy("home", "slice").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = rows.withColumn("__run", F.sum("size").over(within))
-        s = self.slices.select(F.col("home").alias("__h"), F.col("slice").alias("__s"), F.col("offset").alias("__offset"), F.col("rank").alias("__rank"), F.col("target").alias("__target"), F.col("source_size").alias("__source_size"))
-        return run.join(s, (F.col("home") == F.col("__h")) & (F.col("slice") == F.col("__s"))).withColumn("__end", F.col("__offset") + F.col("__run")).drop("__h", "__s", "__run", "__offset")
+        within = Window.partitionBy(home, slice_).orderBy(place, doc_id, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = rows.withColumn("__paperlake_run", F.sum(size).over(within))
+        s = self.slices.select(F.col("home").alias("__paperlake_h"), F.col("slice").alias("__paperlake_s"), F.col("offset").alias("__paperlake_offset"), F.col("rank").alias("__paperlake_rank"), F.col("target").alias("__paperlake_target"), F.col("source_size").alias("__paperlake_source_size"))
+        return run.join(s, (F.col(home) == F.col("__paperlake_h")) & (F.col(slice_) == F.col("__paperlake_s"))).withColumn("__paperlake_end", F.col("__paperlake_offset") + F.col("__paperlake_run")).drop("__paperlake_h", "__paperlake_s", "__paperlake_run", "__paperlake_offset")
 
     def _truncate(self, budget: int) -> tuple[float, int, int, int] | None:
-        open_ = self.placed.filter("size > 0 AND __target > 0")
-        reading = open_.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(self.repeats - 1)))).withColumn("start", F.col("r") * F.col("__source_size") + F.col("__end") - F.col("size"))
+        open_ = self.placed.filter("size > 0 AND __paperlake_target > 0")
+        reading = open_.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(self.repeats - 1)))).withColumn("start", F.col("r") * F.col("__paperlake_source_size") + F.col("__paperlake_end") - F.col("size"))
         cutting = reading.withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long"))))
         n = F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("own"))
-        packets = cutting.select(F.col("__rank").alias("rank"), n.alias("n"), (F.col("start") + F.col("own") + n).alias("end"), "__target").withColumn("finish", F.col("end") / F.col("__target"))
+        packets = cutting.select(F.col("__paperlake_rank").alias("rank"), n.alias("n"), (F.col("start") + F.col("own") + n).alias("end"), "__paperlake_target").withColumn("finish", F.col("end") / F.col("__paperlake_target"))
         packets = packets.withColumn("range", F.when(F.col("finish") < 1, F.floor(F.col("finish") * RANGES)).otherwise(RANGES + F.floor(F.log2("finish") * RANGES)))
         upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most some thousands of ranges
         reached = packets.groupBy("range").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") >= budget).orderBy("range").first()
@@ -107,7 +109,7 @@ class Queue:
     def served(self, end, n) -> F.Column:
         """Words of a packet (n words up to the source's end-th) that lie before the truncation."""
         finish, rank, at, words = self.cut
-        f, r = end / F.col("__target"), F.col("__rank")
+        f, r = end / F.col("__paperlake_target"), F.col("__paperlake_rank")
         here = (f == finish) & (r == rank)
         return F.when((f < finish) | (f == finish) & (r < rank) | here & (end < at), n).when(here & (end == at), F.lit(words).cast("long")).otherwise(F.lit(0).cast("long"))
 
@@ -115,22 +117,22 @@ class Queue:
         """Words of a placed row that the truncated queue holds. Only a document in service at the truncation is looked at packet by packet."""
         total = nothing = F.lit(0).cast("long")
         for r in range(self.repeats if self.cut else 0):
-            total = total + F.when((size > 0) & (F.col("__target") > 0), self._of_reading(r * F.col("__source_size") + F.col("__end") - size, size)).otherwise(nothing)
+            total = total + F.when((size > 0) & (F.col("__paperlake_target") > 0), self._of_reading(r * F.col("__paperlake_source_size") + F.col("__paperlake_end") - size, size)).otherwise(nothing)
         return total
 
     def _of_reading(self, start, size) -> F.Column:
         step = F.lit(PACKET).cast("long")
         packet = lambda own: self.served(start + own + F.least(step, size - own), F.least(step, size - own))
         each = F.aggregate(F.sequence(F.lit(0).cast("long"), size - 1, step), F.lit(0).cast("long"), lambda a, own: a + packet(own))
-        before, after = (start + size) / F.col("__target") < self.cut[0], start / F.col("__target") > self.cut[0]
+        before, after = (start + size) / F.col("__paperlake_target") < self.cut[0], start / F.col("__paperlake_target") > self.cut[0]
         return F.when(before, size).when(after, F.lit(0).cast("long")).otherwise(each)
 
 
 def plan(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken (the words that the mix takes of it, repeats counted), virtual_finish (of its first reading)."""
     q = Queue(documents, weights, budget_percent, max_repeats, seed)
-    finish = F.when(F.col("__target") > 0, F.col("__end") / F.col("__target"))
-    return q.placed.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), q.taken(F.col("size")).alias("taken"), finish.alias("virtual_finish"))
+    finish = F.when(F.col("__paperlake_target") > 0, F.col("__paperlake_end") / F.col("__paperlake_target"))
+    return q.placed.select("doc_id", "source", "size", F.col("__paperlake_source_size").alias("source_size"), F.col("__paperlake_target").alias("target"), q.taken(F.col("size")).alias("taken"), finish.alias("virtual_finish"))
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -139,14 +141,14 @@ def mix(documents: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERC
     q = Queue(documents, weights, budget_percent, max_repeats, seed)
     if not q.cut:
         return documents.filter(F.lit(False))
-    placed, size = q.place(_homes(documents, seed)), F.col("size")
-    start = [r * F.col("__source_size") + F.col("__end") - size for r in range(max_repeats)]
-    times = F.array(*[F.when((size > 0) & (F.col("__target") > 0) & ((s + size / 2) / F.col("__target") < q.cut[0]), (s + size) / F.col("__target")) for s in start])
-    read = placed.withColumn("__finish", F.explode(F.array_compact(times)))
+    placed = q.place(_homes(documents, seed), "__paperlake_home", "__paperlake_slice", "__paperlake_place", "doc_id", "__paperlake_size")
+    start = [r * F.col("__paperlake_source_size") + F.col("__paperlake_end") - F.col("__paperlake_size") for r in range(max_repeats)]
+    times = F.array(*[F.when((F.col("__paperlake_size") > 0) & (F.col("__paperlake_target") > 0) & ((s + F.col("__paperlake_size") / 2) / F.col("__paperlake_target") < q.cut[0]), (s + F.col("__paperlake_size")) / F.col("__paperlake_target")) for s in start])
+    read = placed.withColumn("__paperlake_finish", F.explode(F.array_compact(times)))
     # the sources' words are spread evenly over virtual time, so equal ranges of it hold equal shares
     n = parts(documents)
-    ranges = read.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("__finish") / q.cut[0] * n)).cast("int"))
-    return ranges.sortWithinPartitions("__finish", "__rank", "__end").select("d.*")
+    ranges = read.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("__paperlake_finish") / q.cut[0] * n)).cast("int"))
+    return ranges.sortWithinPartitions("__paperlake_finish", "__paperlake_rank", "__paperlake_end").select(*[f"`{c}`" for c in documents.columns])
 
 
 #: Written apart from the code above: the refill runs to its end by recursion, and all packets of all documents stand in one queue.

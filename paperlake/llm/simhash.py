@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_hot, only, parts, whole
+from .common import checkpoint, join_hot, only, parts
 from .components import connected
 
 BITS = 64
@@ -217,8 +217,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def deduplicate(documents: DataFrame) -> DataFrame:
     """One document of each component, with its columns: that of the least doc_id (of rows with the same doc_id, any one text)."""
     chosen = components(documents).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
-    chosen = chosen.select(F.col("m.doc_id").alias("__doc"), F.col("m.key").alias("__key")).distinct()
-    rows = whole(documents, doc_id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text").cast("string")))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")), "left_semi")
-    n = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))
-    return kept.withColumn("n", n).filter("n = 1").select("d.*")
+    chosen = chosen.select(F.col("m.doc_id").alias("__paperlake_doc"), F.col("m.key").alias("__paperlake_key")).distinct()
+    rows = documents.withColumn("__paperlake_text_key", F.xxhash64(F.col("text")))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__paperlake_doc")) & (F.col("__paperlake_text_key") == F.col("__paperlake_key")), "left_semi")
+    n = F.row_number().over(Window.partitionBy("doc_id", "__paperlake_text_key").orderBy(F.lit(0)))
+    return kept.withColumn("__paperlake_n", n).filter("__paperlake_n = 1").select(*[f"`{c}`" for c in documents.columns])
