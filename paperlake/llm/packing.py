@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import only
 WINDOW = 2048
 END_ID = 1
 SHARD = 8192
-MEMO = 400_000
+MEMO = 150_000
 #: What may follow a word's letters and still be looked up with them: characters that are neither letter, number nor space.
 MARKS = ".,;:!?)\""
 #: The byte-level vocabulary's public pre-tokeniser.
@@ -63,9 +64,8 @@ class Encoder(dict):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in set(printable))
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
@@ -76,6 +76,13 @@ class Encoder(dict):
         self.fast, self.single = core.encode_ordinary, core.encode_single_piece
         self.starts, self.tails, self.newline = {}, {}, self.plain("\n")
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own; made when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def plain(self, text: str) -> bytes:
         return array("I", self.fast(text)).tobytes()
 
