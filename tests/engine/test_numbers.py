@@ -40,3 +40,14 @@ def test_if_nested_on_lines_that_begin_with_a_unit(spark, tables):
 def test_nested_conditions_keep_the_first_word():
     assert read(r"\newif\ifdraft \ifdraft\ifnum 1<2 inland\else no\fi\fi") == ["inland"]
     assert read(r"\ifnum\x<20 pt\else no\fi \ifdim 1pt<2in deep\else no\fi") == ["pt deep"]
+
+
+def test_typed_conditions_on_lines_that_begin_with_a_unit(spark, tables):
+    assert differing(spark, tables, "typed_conditions") == []
+
+
+def test_comparisons_end_after_one_number():
+    assert read(r"\ifnum 1<2 true love\else no\fi") == ["true love"]
+    assert read(r"\ifnum\x>-12 mm wide\else no\fi") == ["mm wide"]
+    assert read(r"\ifnum 3=\y interior\else no\fi") == ["interior"]
+    assert read("\\ifnum 1<2\ninner\\else no\\fi") == ["inner"]
