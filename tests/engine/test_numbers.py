@@ -51,3 +51,13 @@ def test_comparisons_end_after_one_number():
     assert read(r"\ifnum\x>-12 mm wide\else no\fi") == ["mm wide"]
     assert read(r"\ifnum 3=\y interior\else no\fi") == ["interior"]
     assert read("\\ifnum 1<2\ninner\\else no\\fi") == ["inner"]
+
+
+def test_layout_dates_on_lines_that_begin_with_a_unit(spark, tables):
+    assert differing(spark, tables, "layout_dates") == []
+
+
+def test_whole_parameters_take_no_unit():
+    assert read(r"a \pdfoutput=1 in b \tracinglostchars=0 inès c") == ["a in b inès c"]
+    assert read(r"\pdfsuppresswarningpagegroup=1\textbf{x} plus 3") == ["x", " plus 3"]
+    assert read(r"\tracinglostchars\z@ true \pdfoutput = -1  mm") == ["true mm"]
