@@ -58,9 +58,9 @@ DROPPED = {
 }
 DROP = {name: spec for spec, names in DROPPED.items() for name in names.split()}
 #: Lengths assigned or skipped in TeX's own way: the command and the dimension after it.
-DIMENSIONED = frozenset("vskip hskip kern mkern raise lower penalty hoffset voffset topmargin oddsidemargin evensidemargin baselineskip lineskip parskip parindent tabcolsep itemsep parsep topsep partopsep abovedisplayskip belowdisplayskip hangindent tolerance emergencystretch clubpenalty widowpenalty interfootnotelinepenalty abovedisplayshortskip belowdisplayshortskip abovecaptionskip belowcaptionskip footskip headheight headsep footnotesep marginparsep marginparwidth itemindent vfuzz hfuzz arrayrulewidth heavyrulewidth overfullrule".split())
+DIMENSIONED = frozenset("vskip hskip kern mkern raise lower hoffset voffset topmargin oddsidemargin evensidemargin baselineskip lineskip parskip parindent tabcolsep itemsep parsep topsep partopsep abovedisplayskip belowdisplayskip hangindent emergencystretch abovedisplayshortskip belowdisplayshortskip abovecaptionskip belowcaptionskip footskip headheight headsep footnotesep marginparsep marginparwidth itemindent vfuzz hfuzz arrayrulewidth heavyrulewidth overfullrule".split())
 #: Whole numbers assigned in the same way; they take no unit.
-INTEGERS = frozenset("pdfoutput pdfsuppresswarningpagegroup tracinglostchars".split())
+INTEGERS = frozenset("penalty tolerance clubpenalty widowpenalty interfootnotelinepenalty pdfoutput pdfsuppresswarningpagegroup tracinglostchars".split())
 #: Commands for white space and the text that they leave.
 SPACES = {"quad": " ", "qquad": " ", "xspace": " ", "space": " ", ",": " ", ";": " ", ":": " ", " ": " ", "!": "", "/": "", ">": " ", "thinspace": " ", "enspace": " ", "indent": "\t", "newline": "\n", "linebreak": "\n", "pagebreak": "\n", "newpage": "\n", "nopagebreak": "\n", "nolinebreak": "\n"}
 #: User macros may not take these names.

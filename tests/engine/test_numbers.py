@@ -61,3 +61,13 @@ def test_whole_parameters_take_no_unit():
     assert read(r"a \pdfoutput=1 in b \tracinglostchars=0 inès c") == ["a in b inès c"]
     assert read(r"\pdfsuppresswarningpagegroup=1\textbf{x} plus 3") == ["x", " plus 3"]
     assert read(r"\tracinglostchars\z@ true \pdfoutput = -1  mm") == ["true mm"]
+
+
+def test_layout_skips_on_lines_that_begin_with_a_unit(spark, tables):
+    assert differing(spark, tables, "layout_skips") == []
+
+
+def test_penalties_take_no_unit():
+    assert read(r"a \penalty-100 in b \clubpenalty=10000 em c") == ["a in b em c"]
+    assert read(r"\tolerance 500 plus 3 \widowpenalty\@M ex \interfootnotelinepenalty=500 minus 2") == ["plus 3 ex minus 2"]
+    assert read(r"\penalty10000\emph{kept}") == ["kept"]
