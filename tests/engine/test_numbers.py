@@ -71,3 +71,13 @@ def test_penalties_take_no_unit():
     assert read(r"a \penalty-100 in b \clubpenalty=10000 em c") == ["a in b em c"]
     assert read(r"\tolerance 500 plus 3 \widowpenalty\@M ex \interfootnotelinepenalty=500 minus 2") == ["plus 3 ex minus 2"]
     assert read(r"\penalty10000\emph{kept}") == ["kept"]
+
+
+def test_macro_registers_on_lines_that_begin_with_a_unit(spark, tables):
+    assert differing(spark, tables, "macro_registers") == []
+
+
+def test_counts_take_no_unit_and_lengths_do():
+    assert read(r"\newcount\ct \newlength{\ln} a \ct=3 in b \ln=2in c \ct -4 exès d") == ["a in b c exès d"]
+    assert read(r"\newcount\ct \advance\ct by 1 in a \multiply\ct by 2 em b \advance\ct3 pt c \advance\x by 2pt d") == ["in a em b pt c d"]
+    assert read(r"\advance\count0 by -1 mm a \divide\x 2 cm b \advance\tolerance by 5 sp c") == ["mm a cm b sp c"]
