@@ -14,10 +14,24 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([%&$#_{}])", r"\\$1")
 
 
+#: Blanks of every width, which SQL's trim takes off; and what else the kernel takes for white space, or LaTeX for a sign of its own, though it is text.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+ODD = BLANKS[1:] + "\x0b\x1c\x1d\x1e\x1f\x85\u2028\u2029~"
+
+
+def literal(text: Column) -> Column:
+    """Like escape, for any line: what would not be read back as it stands is written by its code point, and {} ends it."""
+    plain = F.regexp_replace(text, r"([%&$#_{}\\])", r"\\$1")
+    put = F.replace(plain, F.lit("\\\\"), F.lit("\\u005c{}"))
+    for c in ODD:
+        put = F.replace(put, F.lit(c), F.lit(f"\\u{ord(c):04x}{{}}"))
+    return F.when(text.rlike(rf"[\\{ODD}]"), put).otherwise(plain)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, i (from 0), line, with blanks collapsed and trimmed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return docs.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+    return docs.withColumn("line", F.trim(F.regexp_replace("line", r"[\t\n\f\r ]+", " "), F.lit(BLANKS)))
 
 
 def write(rows: DataFrame, key: str, order: str, piece: Column, glue: str = "\n", before: str = "", after: str = "") -> DataFrame:

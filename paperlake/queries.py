@@ -12,7 +12,7 @@ from paperlake.functions import symbols as SYMBOLS
 from paperlake.operators.kernel import is_command
 from paperlake.operators.tokens import parse_documents
 from paperlake.plans import document, graph, structure
-from paperlake.plans.synth import LINES_SQL, escape, lines, table, tex, write
+from paperlake.plans.synth import LINES_SQL, escape, lines, literal, table, tex, write
 from paperlake.sources import bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,11 +439,11 @@ def main_files(spark, d):
 # -- one command a line, read back as text ----------------------------------------------------------------------------
 
 
-def read_back(name: str, piece: Callable[[F.Column, F.Column], F.Column], sql: str, before: str = "") -> None:
+def read_back(name: str, piece: Callable[[F.Column, F.Column], F.Column], sql: str, before: str = "", quote: Callable[[F.Column], F.Column] = escape) -> None:
     """A query that writes a command around every line and must read the SQL expression's text."""
 
     def run(spark, d):
-        made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece(escape(F.col("line")), F.col("i").cast("string")), "\n", before)
+        made = write(lines(spark, d).filter("line <> ''"), "doc_id", "i", piece(quote(F.col("line")), F.col("i").cast("string")), "\n", before)
         return texts(made)
 
     run.__name__ = name
@@ -465,7 +465,7 @@ read_back("layout_environments", lambda x, i: tex("\\begin{minipage}[t]{2cm}", x
 read_back("loops_and_comments", lambda x, i: tex("\\foreach \\k in {1,2}{no}\\forloop{a}{b}{c}{d}\\begin{comment}", x, "\\end{comment}", x), "line")
 read_back("unicode_escapes", lambda x, i: tex(x, " \\u00e9\\alpha{}"), "line || ' éα'")
 read_back("line_breaks", lambda x, i: tex("\\mbox{", x, "}\\\\[2pt] next"), "line || chr(10) || 'next'")
-read_back("typed_conditions", lambda x, i: tex("\\ifnum 1<2 ", x, "\\else no\\fi \\ifthenelse{c}{", i, "}{no} \\@ifundefined{z}{t}{no}"), "line || ' ' || i || ' t'")
+read_back("typed_conditions", lambda x, i: tex("\\ifnum 1<2 ", x, "\\else no\\fi \\ifthenelse{c}{", i, "}{no} \\@ifundefined{z}{t}{no}"), "line || ' ' || i || ' t'", quote=literal)
 
 
 # layout that goes
